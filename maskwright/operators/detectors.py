@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from dataclasses import dataclass, field, replace
-from functools import lru_cache
+from dataclasses import dataclass, replace
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
@@ -14,9 +13,17 @@ from ..functions import checks
 from ..functions import fixed_values as fixed
 from ..functions.entropy import shannon_entropy, window_entropy
 from ..functions.text import SPACE, as_column, java_pattern, java_quote, let, trim_all
-from .spans import claim_in_order, explode_spans, find_spans, longest_cover, no_spans, resolve_overlaps
+from .spans import (
+    claim_in_order,
+    find_spans,
+    greedy_cover,
+    longest_cover,
+    no_spans,
+    resolve_overlaps,
+)
 
 DEFAULT_TYPES = tuple(fixed.ENTITY_PRIORITY)
+_BUILT: dict = {}
 
 
 @dataclass(frozen=True)
@@ -30,11 +37,13 @@ class Gates:
     text: Column
     has_digit: Column
     has_at: Column
+    name: str | None = None
 
     @classmethod
     def of(cls, text) -> "Gates":
+        name = text if isinstance(text, str) else None
         text = as_column(text)
-        return cls(text, F.regexp_like(text, F.lit("[0-9]")), text.contains("@"))
+        return cls(text, F.regexp_like(text, F.lit("[0-9]")), text.contains("@"), name)
 
 
 @dataclass(frozen=True)
@@ -73,27 +82,43 @@ def known_secrets(g: Gates) -> Column:
     return find_spans(g.text, every, "SECRET", 0.99, meta=lambda v: {"secretType": name(v)}, when=lead)
 
 
+def _entropy(size: int) -> Callable[[Column], Column]:
+    """``struct(best, window)``: the larger of whole and windowed entropy, and the latter."""
+    return lambda v: let(
+        F.struct(
+            shannon_entropy(v).alias("whole"), window_entropy(v, size, 4)["max_entropy"].alias("window")
+        ),
+        lambda h: F.struct(F.greatest(h["whole"], h["window"]).alias("best"), h["window"].alias("window")),
+    )
+
+
+def _entropy_meta(encoding: str):
+    return lambda v, h: {
+        "detector": "ShannonEntropy",
+        "encoding": encoding,
+        "entropy": F.round(h["best"], 2),
+        "slidingWindowMax": F.round(h["window"], 2),
+    }
+
+
+def _not_data_uri(prefix: Column) -> Column:
+    return ~F.regexp_like(prefix, F.lit(_p("DATA_URI_BEFORE")))
+
+
 def hex_secrets(g: Gates, threshold: float = fixed.HEX_ENTROPY, size: int = fixed.ENTROPY_WINDOW) -> Column:
-    entropy = lambda v: F.greatest(shannon_entropy(v), window_entropy(v, size, 4)["max_entropy"])
     return find_spans(
         g.text,
         _p("HEX_TOKEN"),
         "SECRET",
-        lambda v: F.least(F.lit(0.98), 0.75 + entropy(v) / 4.0 * 0.23),
-        keep=lambda v: entropy(v) >= threshold,
-        before=(50, lambda pre: ~F.regexp_like(pre, F.lit(_p("DATA_URI_BEFORE")))),
-        meta=lambda v: {
-            "detector": "ShannonEntropy",
-            "encoding": "hex",
-            "entropy": F.round(entropy(v), 2),
-            "slidingWindowMax": F.round(window_entropy(v, size, 4)["max_entropy"], 2),
-        },
+        lambda v, h: F.least(F.lit(0.98), 0.75 + h["best"] / 4.0 * 0.23),
+        derive=_entropy(size),
+        keep=lambda v, h: h["best"] >= threshold,
+        before=(50, _not_data_uri),
+        meta=_entropy_meta("hex"),
     )
 
 
 def opaque_secrets(g: Gates, threshold: float = fixed.OPAQUE_ENTROPY, size: int = fixed.ENTROPY_WINDOW) -> Column:
-    entropy = lambda v: F.greatest(shannon_entropy(v), window_entropy(v, size, 4)["max_entropy"])
-
     def varied(v: Column) -> Column:
         has = lambda cls: F.regexp_like(v, F.lit(cls)).cast("int")
         return has("[A-Z]") + has("[a-z]") + has("[0-9]") + has(r"[+/=_\-]") >= 2
@@ -102,17 +127,11 @@ def opaque_secrets(g: Gates, threshold: float = fixed.OPAQUE_ENTROPY, size: int
         g.text,
         _p("OPAQUE_TOKEN"),
         "SECRET",
-        lambda v: F.least(F.lit(0.98), 0.70 + entropy(v) / 6.0 * 0.28),
-        keep=lambda v: varied(v)
-        & ~F.regexp_like(v, F.lit("^https?://"))
-        & (entropy(v) >= threshold),
-        before=(50, lambda pre: ~F.regexp_like(pre, F.lit(_p("DATA_URI_BEFORE")))),
-        meta=lambda v: {
-            "detector": "ShannonEntropy",
-            "encoding": "base64_or_alphanumeric",
-            "entropy": F.round(entropy(v), 2),
-            "slidingWindowMax": F.round(window_entropy(v, size, 4)["max_entropy"], 2),
-        },
+        lambda v, h: F.least(F.lit(0.98), 0.70 + h["best"] / 6.0 * 0.28),
+        derive=_entropy(size),
+        keep=lambda v, h: varied(v) & ~F.regexp_like(v, F.lit("^https?://")) & (h["best"] >= threshold),
+        before=(50, _not_data_uri),
+        meta=_entropy_meta("base64_or_alphanumeric"),
     )
 
 
@@ -249,36 +268,30 @@ def financial(g: Gates) -> Column:
 # --- network -------------------------------------------------------------------
 
 
+def _by_subnet(inside_label: str, version: str) -> dict:
+    """Span fields that depend on whether an address is private."""
+    return {
+        "type_": lambda v, inside: F.when(inside, "INTERNAL_IP").otherwise("IP_ADDRESS"),
+        "meta": lambda v, inside: {
+            "version": version,
+            "isInternal": inside,
+            "subnet": F.when(inside, inside_label).otherwise("PUBLIC"),
+        },
+    }
+
+
 def classified_ipv4(g: Gates) -> Column:
-    inside = lambda v: checks.private_ipv4(v)
     return find_spans(
-        g.text,
-        _p("IPV4"),
-        lambda v: F.when(inside(v), "INTERNAL_IP").otherwise("IP_ADDRESS"),
-        0.98,
+        g.text, _p("IPV4"), confidence=0.98, derive=checks.private_ipv4,
         before=(10, lambda pre: _not_version(pre) & ~F.regexp_like(pre, F.lit(_p("MAPPED_V4_BEFORE")))),
-        meta=lambda v: {
-            "version": "v4",
-            "isInternal": inside(v),
-            "subnet": F.when(inside(v), "RFC_1918_OR_LOCAL").otherwise("PUBLIC"),
-        },
-        when=g.has_digit,
+        when=g.has_digit, **_by_subnet("RFC_1918_OR_LOCAL", "v4"),
     )
 
 
 def classified_ipv6(g: Gates) -> Column:
-    inside = lambda v: checks.private_ipv6(v)
     return find_spans(
-        g.text,
-        _p("IPV6_CLASSIFIED"),
-        lambda v: F.when(inside(v), "INTERNAL_IP").otherwise("IP_ADDRESS"),
-        0.96,
-        meta=lambda v: {
-            "version": "v6",
-            "isInternal": inside(v),
-            "subnet": F.when(inside(v), "RFC_4193_OR_LOCAL").otherwise("PUBLIC"),
-        },
-        when=g.text.contains(":"),
+        g.text, _p("IPV6_CLASSIFIED"), confidence=0.96, derive=checks.private_ipv6,
+        when=g.text.contains(":"), **_by_subnet("RFC_4193_OR_LOCAL", "v6"),
     )
 
 
@@ -386,8 +399,6 @@ def names(g: Gates, registered: Mapping[str, str] | None = None) -> Column:
         prefixed_organizations(g),
         listed_names(g, fixed.KNOWN_ORGANIZATIONS, "ORGANIZATION", 0.95),
     ] + [listed_names(g, group, type_, 0.98) for type_, group in sorted(by_type.items())]
-    from .spans import greedy_cover
-
     return greedy_cover(F.concat(*found), lambda s, i: (s["start"] - s["end"], i))
 
 
@@ -455,6 +466,10 @@ def user_rules(g: Gates, dictionaries: Sequence[Dictionary], patterns: Sequence[
     return longest_cover(F.concat(*found)) if found else no_spans()
 
 
+def _ranked(spans: Column, rank: int) -> Column:
+    return F.transform(spans, lambda s: s.withField("rank", F.lit(rank)))
+
+
 # --- the set -------------------------------------------------------------------
 
 
@@ -473,24 +488,23 @@ class DetectorSet:
     extra: tuple[Detector, ...] = ()
     hex_threshold: float = fixed.HEX_ENTROPY
     opaque_threshold: float = fixed.OPAQUE_ENTROPY
-    _cache: dict = field(default_factory=dict, compare=False, repr=False)
 
     def with_detector(self, detector: Detector) -> "DetectorSet":
-        return replace(self, extra=self.extra + (detector,), _cache={})
+        return replace(self, extra=self.extra + (detector,))
 
     def with_names(self, names_: Mapping[str, str]) -> "DetectorSet":
-        return replace(self, registered=self.registered + tuple(names_.items()), _cache={})
+        return replace(self, registered=self.registered + tuple(names_.items()))
 
     def with_dictionary(self, *dictionaries: Dictionary) -> "DetectorSet":
         """Add dictionaries; one with a known name takes the old one's place."""
         new = {d.name for d in dictionaries}
         kept = tuple(d for d in self.dictionaries if d.name not in new)
-        return replace(self, dictionaries=kept + dictionaries, _cache={})
+        return replace(self, dictionaries=kept + dictionaries)
 
     def with_pattern(self, *patterns: PatternRule) -> "DetectorSet":
         new = {p.name for p in patterns}
         kept = tuple(p for p in self.patterns if p.name not in new)
-        return replace(self, patterns=kept + patterns, _cache={})
+        return replace(self, patterns=kept + patterns)
 
     @property
     def types(self) -> tuple[str, ...]:
@@ -515,6 +529,21 @@ class DetectorSet:
         )
         return built_in + self.extra
 
+    def _spans(self, detector: Detector, gates: Gates) -> Column:
+        """Building an expression takes longer than planning it, so the built-in
+        ones are kept per session and column name."""
+        if gates.name is None or detector in self.extra:
+            return detector.expr(gates)
+        settings = {
+            "rules": (self.dictionaries, self.patterns),
+            "names": self.registered,
+            "entropy": (self.hex_threshold, self.opaque_threshold),
+        }
+        key = (id(SparkContext._active_spark_context), gates.name, detector.name, settings.get(detector.name))
+        if key not in _BUILT:
+            _BUILT[key] = detector.expr(gates)
+        return _BUILT[key]
+
     def raw(self, gates: Gates) -> Column:
         """Union of the detectors that can yield an enabled type."""
         types = self.types
@@ -522,30 +551,24 @@ class DetectorSet:
         for rank, detector in enumerate(self.detectors):
             if not set(detector.types) & set(types):
                 continue
-            spans = detector.expr(gates)
+            spans = self._spans(detector, gates)
             if not set(detector.types) <= set(types):
                 spans = F.filter(spans, lambda s: s["type"].isin(*types))
-            arrays.append(F.transform(spans, lambda s, r=rank: s.withField("rank", F.lit(r))))
+            arrays.append(_ranked(spans, rank))
         return F.concat(*arrays) if arrays else no_spans()
 
     def find(self, text) -> Column:
         """Resolved spans of a text column."""
+        key = (id(SparkContext._active_spark_context), text, self)
         if not isinstance(text, str):
             return resolve_overlaps(self.raw(Gates.of(text)))
-        # Building the expression takes longer than planning it; keep it per name.
-        key = (id(SparkContext._active_spark_context), text)
-        if key not in self._cache:
-            self._cache[key] = resolve_overlaps(self.raw(Gates.of(text)))
-        return self._cache[key]
-
-
-@lru_cache(maxsize=64)
-def _default_set(enabled: tuple[str, ...]) -> DetectorSet:
-    return DetectorSet(enabled=enabled)
+        if key not in _BUILT:
+            _BUILT[key] = resolve_overlaps(self.raw(Gates.of(text)))
+        return _BUILT[key]
 
 
 def detector_set(enabled: Iterable[str] | None = None) -> DetectorSet:
-    return _default_set(tuple(enabled) if enabled is not None else DEFAULT_TYPES)
+    return DetectorSet(enabled=tuple(enabled) if enabled is not None else DEFAULT_TYPES)
 
 
 def find_entities(text, enabled: Iterable[str] | None = None, detectors: DetectorSet | None = None) -> Column:

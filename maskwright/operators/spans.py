@@ -88,17 +88,19 @@ def find_spans(
     *,
     group: Callable[[Column], Column] | None = None,
     group_offset: Callable[[Column, Column], Column] | None = None,
-    keep: Callable[[Column], Column] | None = None,
+    derive: Callable[[Column], Column] | None = None,
+    keep: Callable[..., Column] | None = None,
     before: tuple[int, Callable[[Column], Column]] | None = None,
-    meta: Callable[[Column], Mapping[str, object]] | Mapping[str, object] | None = None,
+    meta: Callable[..., Mapping[str, object]] | Mapping[str, object] | None = None,
     when: Column | None = None,
 ) -> Column:
     """All matches of a Java ``pattern`` as spans.
 
     ``group`` narrows the match to a part of it (an empty part drops it),
     ``keep`` filters on the value, ``before`` on the given number of characters
-    in front of it. ``type_`` and ``confidence`` may be functions of the value.
-    ``when`` is a cheap test that spares the pattern; the pattern itself is tried
+    in front of it. ``derive`` computes a column from the value once per match;
+    ``keep``, ``type_``, ``confidence`` and ``meta`` may be functions of the value,
+    and of that column if there is one. ``when`` is a cheap test that spares the pattern; the pattern itself is tried
     once for a hit before the text is cut up.
     """
     text = as_column(text)
@@ -114,10 +116,7 @@ def find_spans(
                 ),
             ),
         )
-    if group is not None:
         hits = F.filter(hits, lambda h: h["value"] != "")
-    if keep is not None:
-        hits = F.filter(hits, lambda h: keep(h["value"]))
     if before is not None:
         width, accept = before
         hits = F.filter(
@@ -130,11 +129,21 @@ def find_spans(
                 )
             ),
         )
+    if derive is not None:
+        hits = F.transform(hits, lambda h: h.withField("derived", derive(h["value"])))
+
+    def pick(given, hit: Column):
+        if isinstance(given, Column) or not callable(given):
+            return given
+        return given(hit["value"], hit["derived"]) if derive is not None else given(hit["value"])
+
+    if keep is not None:
+        hits = F.filter(hits, lambda h: pick(keep, h))
 
     def to_span(hit: Column) -> Column:
-        value = hit["value"]
-        pick = lambda v: v(value) if callable(v) and not isinstance(v, Column) else v
-        return make_span(pick(type_), value, hit["start"], pick(confidence), metadata(pick(meta)))
+        return make_span(
+            pick(type_, hit), hit["value"], hit["start"], pick(confidence, hit), metadata(pick(meta, hit))
+        )
 
     found = F.regexp_like(text, F.lit(pattern))
     if when is not None:

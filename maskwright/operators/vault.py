@@ -399,12 +399,15 @@ def placeholder_map(
         F.explode(F.array_distinct(F.regexp_extract_all(text_col, F.lit(_PLACEHOLDER), F.lit(0)))).alias("_used"),
     ).withColumn("_low", F.lower("_used"))
     entries = vault.select(
-        *session_cols, F.lower("placeholder").alias("_low"), "placeholder", "original_value", "seq"
+        *session_cols,
+        F.lower("placeholder").alias("_low"),
+        F.struct("placeholder", "original_value", "seq").alias("_entry"),
     )
     hits = used.join(entries, [*session_cols, "_low"]).select(
         *keys,
         F.struct(
-            "_used", (F.col("_used") == F.col("placeholder")).alias("exact"), "seq", "placeholder", "original_value"
+            "_used", (F.col("_used") == F.col("_entry.placeholder")).alias("exact"), "_entry.seq",
+            "_entry.placeholder", "_entry.original_value",
         ).alias("_hit"),
     )
     # Ascending by exactness: the last entry of a spelling wins.

@@ -23,6 +23,7 @@ AUDIT_SCHEMA = (
     "response_dlp_triggered boolean, response_entities_redacted int"
 )
 _FIELDS = dict(field.split(" ") for field in AUDIT_SCHEMA.split(", "))
+AUDIT_FIELDS = tuple(_FIELDS)
 
 
 def number_text(col) -> Column:

@@ -37,7 +37,7 @@ def held_length(text: str, tail: int = 0) -> int:
     return held
 
 
-def _realign(tail: int, canaries: frozenset[str], idle_ms: int, columns: list[str]):
+def _realign(tail: int, canaries: frozenset[str], ts: str | None, idle_ms: int, columns: list[str]):
     """Each chunk gives the text that became safe with it; a ``done`` chunk gives the rest."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -68,21 +68,25 @@ def _realign(tail: int, canaries: frozenset[str], idle_ms: int, columns: list[st
             state.remove()
         else:
             state.update((buffer, last_seq, aborted))
-            state.setTimeoutDuration(idle_ms)
+            if ts is not None:
+                newest = int(rows[ts].max().timestamp() * 1000)
+                state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(out, columns=columns)
 
     return run
 
 
 def realign_chunks(
-    chunks: DataFrame, stream: str = "stream_id", tail: int = 0, canaries: Iterable[str] = (), idle_ms: int = 1_800_000
+    chunks: DataFrame, stream: str = "stream_id", tail: int = 0, canaries: Iterable[str] = (), ts: str | None = None,
+    idle_ms: int = 1_800_000,
 ) -> DataFrame:
     """Chunks ``(stream, seq, delta, done)`` re-cut so that no placeholder is split.
 
     Works on streams; state is the held text, at most a placeholder long (or ``tail``).
     ``canaries`` is the bounded registry of active honeytokens: a chunk that carries one
     becomes a notice with ``aborted``, and the rest of its stream is dropped. A stream
-    without ``done`` gives its rest after ``idle_ms``.
+    without ``done`` gives its rest once the watermark of ``ts`` is ``idle_ms`` past its
+    last chunk.
     """
     tokens = frozenset(canaries)
     if len(tokens) > 5000:
@@ -103,7 +107,8 @@ def realign_chunks(
         ]
     )
     return chunks.groupBy(stream).applyInPandasWithState(
-        _realign(tail, tokens, idle_ms, out.names), out, state, "append", GroupStateTimeout.ProcessingTimeTimeout
+        _realign(tail, tokens, ts, idle_ms, out.names), out, state, "append",
+        GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout,
     )
 
 

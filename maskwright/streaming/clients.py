@@ -28,7 +28,7 @@ _STATE = T.StructType(
 )
 
 
-def _admit_group(limits: Limits, order: str, columns: list[str], names: list[str], idle_ms: int):
+def _admit_group(limits: Limits, order: str, columns: list[str], names: list[str], idle_ms: int | None):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -50,7 +50,8 @@ def _admit_group(limits: Limits, order: str, columns: list[str], names: list[str
             newest = int(due["_ms"].iloc[-1])
         kept = machine.state()
         state.update(tuple(kept[n] if n in kept else newest for n in _STATE.names))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
         yield out[names]
 
     return run
@@ -58,12 +59,14 @@ def _admit_group(limits: Limits, order: str, columns: list[str], names: list[str
 
 def admit_stream(
     df: DataFrame, client: str, ts: str, order: str, limits: Limits = Limits(), tokens: str = "tokens",
-    hash_col: str = "prompt_hash", idle_ms: int = 1_800_000,
+    hash_col: str = "prompt_hash", idle_ms: int | None = None,
 ) -> DataFrame:
     """Exact admission on a stream. State is one minute of admitted requests per client.
 
     A row older than its client's newest decided row comes too late to be judged: it
-    passes with ``late`` and without a decision, so late rows can be counted.
+    passes with ``late`` and without a decision, so late rows can be counted. With
+    ``idle_ms`` (and a watermark on ``ts``) the state of an idle client is dropped, and
+    rows behind the watermark are dropped by Spark.
     """
     rows = df.select(
         client, ts, order,
@@ -75,7 +78,7 @@ def admit_stream(
     out = T.StructType([df.schema[c] for c in columns] + DECISION.fields + [T.StructField("late", T.BooleanType())])
     return rows.groupBy(client).applyInPandasWithState(
         _admit_group(limits, order, columns, out.names, idle_ms), out, _STATE, "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -133,6 +136,8 @@ def vault_stream(spans: DataFrame, session: str, position: str, ttl_ms: int = 1_
     """Placeholders for a stream of exploded spans; counters go on within a session.
 
     Needs the RocksDB state store provider. ``position`` orders spans inside a batch.
+    Time to live runs on the clock, which keeps ``availableNow`` queries busy unless
+    ``spark.sql.streaming.noDataMicroBatches.enabled`` is off.
     """
     rows = spans.select(
         session, F.col(position).alias("position"), "type",

@@ -12,43 +12,56 @@ from pyspark.sql import types as T
 
 from . import fixed_values as fixed
 
-_WORD = "[A-Za-z0-9_]"
 _SPACE_CHARS = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 SPACE = f"[{_SPACE_CHARS}]"
+# The white space that ECMAScript's \s knows and Java's does not.
+WIDE_SPACES = "".join(
+    map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
+)
+MARK = "\x01"
 _EDGES = {
-    r"\b": f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))",
-    r"\<": f"(?<!{_WORD})",
-    r"\>": f"(?!{_WORD})",
+    r"\b": r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))",
+    r"\<": r"(?<!\w)",
+    r"\>": r"(?!\w)",
 }
 
 
 def java_pattern(pattern: str) -> str:
-    """Java spelling of a pattern from ``fixed_values``: word edges and white space.
+    """Java spelling of the word edges in a pattern from ``fixed_values``.
 
-    ECMAScript's ``\\s`` covers the non-breaking and typographic spaces common in
-    French amounts, Java's does not.
+    Texts are matched in the form given by :func:`plain_spaces`, so ``\\s`` needs no
+    wider class: a chain of ranges tested at every character is slow.
     """
     out, in_class, i = [], False, 0
     while i < len(pattern):
         pair = pattern[i : i + 2]
-        if pair == r"\s":
-            out.append(_SPACE_CHARS if in_class else SPACE)
-        elif not in_class and pair in _EDGES:
-            out.append(_EDGES[pair])
-        elif pair[0] == "\\":
-            out.append(pair)
-        else:
-            if pair[0] == "[":
-                in_class = True
-            elif pair[0] == "]":
-                in_class = False
-            out.append(pair[0])
-            i += 1
+        if pair[0] == "\\":
+            out.append(pair if in_class else _EDGES.get(pair, pair))
+            i += 2
             continue
-        i += 2
+        if pair[0] == "[":
+            in_class = True
+        elif pair[0] == "]":
+            in_class = False
+        out.append(pair[0])
+        i += 1
     return "".join(out)
 
 
+def has_rare(text: Column) -> Column:
+    """Whether a text holds the mark or white space that Java's ``\\s`` does not know.
+    Plain ASCII texts, the common case, are told by their byte length."""
+    wide = (F.octet_length(text) != F.length(text)) & F.regexp_like(text, F.lit(f"[{WIDE_SPACES}]"))
+    return text.contains(MARK) | wide
+
+
+def plain_spaces(text: Column, rare: Column) -> Column:
+    """The text with wide spaces as vertical tabs and marks as blanks, same length."""
+    return F.when(
+        rare, F.translate(text, MARK + WIDE_SPACES, " " + "\x0b" * len(WIDE_SPACES))
+    ).otherwise(text)
+
+
 def as_column(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -81,7 +94,11 @@ def lookup_key(col) -> Column:
 def estimate_tokens(col) -> Column:
     """About four characters or 1.3 per word, whichever is more; at least 1."""
     text = as_column(col)
-    words = F.greatest(F.lit(1), F.regexp_count(text, F.lit(f"[^{_SPACE_CHARS}]+")))
+    ascii_only = F.octet_length(text) == F.length(text)
+    counted = F.when(ascii_only, F.regexp_count(text, F.lit(r"\S+"))).otherwise(
+        F.regexp_count(text, F.lit(f"[^{_SPACE_CHARS}]+"))
+    )
+    words = F.greatest(F.lit(1), counted)
     estimate = F.greatest(F.length(text) / 4, words * 1.3)
     return F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(
         F.greatest(F.lit(1), F.floor(estimate + 0.5)).cast("int")

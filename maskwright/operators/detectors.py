@@ -20,6 +20,7 @@ from .spans import (
     longest_cover,
     no_spans,
     resolve_overlaps,
+    scan,
 )
 
 DEFAULT_TYPES = tuple(fixed.ENTITY_PRIORITY)
@@ -28,7 +29,7 @@ _BUILT: dict = {}
 
 @dataclass(frozen=True)
 class Gates:
-    """Cheap facts about a text that spare whole families of patterns.
+    """A text and cheap facts about it that spare whole families of patterns.
 
     Every digit-led format needs a digit and every address an ``@``; testing that
     once costs far less than a pattern that fails at each position.
@@ -37,13 +38,22 @@ class Gates:
     text: Column
     has_digit: Column
     has_at: Column
-    name: str | None = None
 
     @classmethod
     def of(cls, text) -> "Gates":
-        name = text if isinstance(text, str) else None
         text = as_column(text)
-        return cls(text, F.regexp_like(text, F.lit("[0-9]")), text.contains("@"), name)
+        return cls(text, F.regexp_like(text, F.lit("[0-9]")), text.contains("@"))
+
+
+def detect(text, build: Callable[[Gates], Column]) -> Column:
+    """Run detectors on a text: its plain form and the gates are computed once."""
+
+    def gated(plain: Column) -> Column:
+        facts = Gates.of(plain)
+        bound = F.struct(plain.alias("t"), facts.has_digit.alias("digit"), facts.has_at.alias("at"))
+        return let(bound, lambda b: build(Gates(b["t"], b["digit"], b["at"])))
+
+    return scan(text, gated)
 
 
 @dataclass(frozen=True)
@@ -68,7 +78,10 @@ def _not_version(prefix: Column) -> Column:
 
 def known_secrets(g: Gates) -> Column:
     """Tokens in public formats: one scan over all formats, then a name per hit."""
-    every = java_pattern("|".join(f"(?:{p})" for p in fixed.SECRET_FORMATS.values()))
+    # All but one format begin at a word edge; testing it once spares ten branches.
+    edged = [p[2:] for p in fixed.SECRET_FORMATS.values() if p.startswith(r"\<")]
+    others = [p for p in fixed.SECRET_FORMATS.values() if not p.startswith(r"\<")]
+    every = java_pattern("|".join(others + [r"\<(?:" + "|".join(edged) + ")"]))
 
     def name(value: Column) -> Column:
         expr = None
@@ -529,21 +542,6 @@ class DetectorSet:
         )
         return built_in + self.extra
 
-    def _spans(self, detector: Detector, gates: Gates) -> Column:
-        """Building an expression takes longer than planning it, so the built-in
-        ones are kept per session and column name."""
-        if gates.name is None or detector in self.extra:
-            return detector.expr(gates)
-        settings = {
-            "rules": (self.dictionaries, self.patterns),
-            "names": self.registered,
-            "entropy": (self.hex_threshold, self.opaque_threshold),
-        }
-        key = (id(SparkContext._active_spark_context), gates.name, detector.name, settings.get(detector.name))
-        if key not in _BUILT:
-            _BUILT[key] = detector.expr(gates)
-        return _BUILT[key]
-
     def raw(self, gates: Gates) -> Column:
         """Union of the detectors that can yield an enabled type."""
         types = self.types
@@ -551,19 +549,24 @@ class DetectorSet:
         for rank, detector in enumerate(self.detectors):
             if not set(detector.types) & set(types):
                 continue
-            spans = self._spans(detector, gates)
+            spans = detector.expr(gates)
             if not set(detector.types) <= set(types):
                 spans = F.filter(spans, lambda s: s["type"].isin(*types))
             arrays.append(_ranked(spans, rank))
         return F.concat(*arrays) if arrays else no_spans()
 
     def find(self, text) -> Column:
-        """Resolved spans of a text column."""
-        key = (id(SparkContext._active_spark_context), text, self)
+        """Resolved spans of a text column.
+
+        Building the expression takes longer than planning it, so it is kept per
+        session and column name.
+        """
+        build = lambda: detect(text, lambda g: resolve_overlaps(self.raw(g)))
         if not isinstance(text, str):
-            return resolve_overlaps(self.raw(Gates.of(text)))
+            return build()
+        key = (id(SparkContext._active_spark_context), text, self)
         if key not in _BUILT:
-            _BUILT[key] = resolve_overlaps(self.raw(Gates.of(text)))
+            _BUILT[key] = build()
         return _BUILT[key]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions.text import as_column, java_pattern, let, normalize_text
+from ..functions.text import as_column, has_rare, java_pattern, let, normalize_text, plain_spaces
 
 
 class Rule(NamedTuple):
@@ -54,6 +54,10 @@ def _hits(text: Column, rules: Sequence[Rule]) -> Column:
 def match_rules(normalized, extra_rules: Sequence[Rule] = ()) -> Column:
     """``array<struct(category, match, weight)>`` of an already normalised text."""
     text = as_column(normalized)
+    return let(plain_spaces(text, has_rare(text)), lambda plain: _match(plain, extra_rules))
+
+
+def _match(text: Column, extra_rules: Sequence[Rule]) -> Column:
     delimiters = [r for r in BUILT_IN if r.category == "DELIMITER_SMUGGLING"]
     words = [r for r in BUILT_IN if r.category != "DELIMITER_SMUGGLING"]
     before = [r for r in words if r.category != "OBFUSCATION_INDICATORS"]

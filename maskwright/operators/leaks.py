@@ -51,11 +51,11 @@ def check_responses(
     )
     restored = (
         responses.join(originals.join(counted, keys, "full_outer"), keys, "left")
-        .withColumn("_restored", fill_placeholders(F.col(text_col), F.col("_originals")))
+        .withColumn("_text", fill_placeholders(F.col(text_col), F.col("_originals")))
         .withColumn("restored_count", F.coalesce("_count", F.lit(0)))
         .drop("_originals", "_count")
     )
-    staged = stage(restored.withColumn("_found", find_entities("_restored", detectors=detectors)))
+    staged = stage(restored.withColumn("_found", find_entities("_text", detectors=detectors)))
     leaks = new_leaks(explode_spans(staged.select(*keys, "_found"), "_found"), vault, session_cols)
     per_row = leaks.groupBy(*keys).agg(
         F.collect_list(F.struct("start", *[c for c in SPAN_FIELDS if c != "start"])).alias("_leaks")
@@ -80,7 +80,7 @@ def check_responses(
         joined.withColumn("blocked", stop)
         .withColumn("block_reason", F.when(F.col("blocked"), reason))
         .withColumn(
-            "checked", F.when(F.col("blocked"), F.lit("")).otherwise(redact("_restored", "leaks"))
+            "checked", F.when(F.col("blocked"), F.lit("")).otherwise(redact("_text", "leaks"))
         )
         .select(*responses.columns, "checked", "restored_count", "leaks", "blocked", "block_reason")
     )

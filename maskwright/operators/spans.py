@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions.text import SPACE, as_column, let
+from ..functions.text import MARK, SPACE, as_column, has_rare, let, plain_spaces
 
 SPAN = (
     "struct<type:string,value:string,start:int,end:int,confidence:double,"
@@ -22,9 +22,8 @@ SPAN = (
 )
 SPANS = f"array<{SPAN}>"
 
-# Marks both ends of a match while a text is being split. A text that carries the
-# mark itself has it blanked first, one character for one.
-_MARK = "\x01"
+# Marks both ends of a match while a text is being split.
+_MARK = MARK
 
 
 def no_spans() -> Column:
@@ -37,8 +36,7 @@ def _hits(text: Column, pattern: str) -> Column:
     Spark has no built-in that returns match positions, so matches are fenced
     with a mark, the text is split on it, and lengths are summed up.
     """
-    unmarked = F.when(text.contains(_MARK), F.translate(text, _MARK, " ")).otherwise(text)
-    parts = F.split(F.regexp_replace(unmarked, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    parts = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
     start = F.struct(
         F.lit(0).alias("pos"),
         F.lit(False).alias("hit"),
@@ -96,6 +94,8 @@ def find_spans(
 ) -> Column:
     """All matches of a Java ``pattern`` as spans.
 
+    The text is taken as it is: :func:`scan` gives it without marks and wide spaces.
+
     ``group`` narrows the match to a part of it (an empty part drops it),
     ``keep`` filters on the value, ``before`` on the given number of characters
     in front of it. ``derive`` computes a column from the value once per match;
@@ -151,6 +151,20 @@ def find_spans(
     return F.when(found, F.transform(hits, to_span)).otherwise(no_spans())
 
 
+def scan(text, body: Callable[[Column], Column]) -> Column:
+    """Spans that ``body`` finds in the plain form of a text, with the text's own values."""
+    text = as_column(text)
+
+    def own_values(spans: Column) -> Column:
+        fixed_up = F.transform(
+            spans,
+            lambda s: s.withField("value", F.substr(text, s["start"] + 1, s["end"] - s["start"])),
+        )
+        return F.when(has_rare(text), fixed_up).otherwise(spans)
+
+    return let(let(plain_spaces(text, has_rare(text)), body), own_values)
+
+
 def overlaps(a: Column, b: Column) -> Column:
     return F.greatest(a["start"], b["start"]) < F.least(a["end"], b["end"])
 

@@ -79,7 +79,7 @@ def spans_query(name: str, build: Callable[[Gates], Column], sql: str, columns=(
     """One detector over documents and notes."""
 
     def run(spark, sf):
-        found = corpus(spark, sf).select("id", F.inline(build(Gates.of("text"))))
+        found = corpus(spark, sf).select("id", F.inline(D.detect("text", build)))
         return found.select(*[F.col(c) for c in columns])
 
     query(name, sql)(run)
@@ -102,7 +102,7 @@ spans_query(
 
 @query("card_spans", ORACLES["card_spans"])
 def card_spans(spark, sf):
-    found = corpus(spark, sf).select("id", F.inline(D.cards(Gates.of("text"))))
+    found = corpus(spark, sf).select("id", F.inline(D.detect("text", D.cards)))
     return found.select("id", "value", "start", F.col("metadata")["issuer"].alias("issuer"))
 
 
@@ -188,7 +188,7 @@ _WIN_H = f"(SELECT value, max(h) AS h FROM (SELECT value, i, sum(-(n / len) * lo
         FROM cand JOIN {_ENT} e USING (value) JOIN {_WIN_H} w USING (value) WHERE greatest(e.h, w.h) >= 3.4""",
 )
 def hex_secret_spans(spark, sf):
-    found = corpus(spark, sf).select("id", F.inline(D.hex_secrets(Gates.of("text"))))
+    found = corpus(spark, sf).select("id", F.inline(D.detect("text", D.hex_secrets)))
     return found.select("id", "value", "start", F.round("confidence", 6).alias("confidence"))
 
 
@@ -199,7 +199,7 @@ def hex_secret_spans(spark, sf):
         SELECT id, value, start FROM cand JOIN {_ENT} e USING (value) JOIN {_WIN_H} w USING (value) WHERE greatest(e.h, w.h) >= 4.2""",
 )
 def opaque_secret_spans(spark, sf):
-    return corpus(spark, sf).select("id", F.inline(D.opaque_secrets(Gates.of("text")))).select("id", "value", "start")
+    return corpus(spark, sf).select("id", F.inline(D.detect("text", D.opaque_secrets))).select("id", "value", "start")
 
 
 @query(
@@ -219,7 +219,7 @@ def window_entropy_query(spark, sf):
     f"SELECT id, 'OPENAI_API_KEY' AS kind, value, start FROM {O.hits(O.CORPUS, 'id', O.re2(fixed.SECRET_FORMATS['OPENAI_API_KEY']))}",
 )
 def known_secret_spans(spark, sf):
-    found = corpus(spark, sf).select("id", F.inline(D.known_secrets(Gates.of("text"))))
+    found = corpus(spark, sf).select("id", F.inline(D.detect("text", D.known_secrets)))
     return found.select("id", F.col("metadata")["secretType"].alias("kind"), "value", "start")
 
 
@@ -234,7 +234,7 @@ _NAME = r"[A-Z][a-z]+(?:[- ][A-Z][a-z]+)*$"
         FROM (SELECT id, value, start FROM {O.hits(O.duck(S.CORPUS), 'id', _TITLED)} UNION ALL SELECT id, value, start FROM {O.hits(O.duck(S.CORPUS), 'id', _LABELLED)}))""",
 )
 def person_spans(spark, sf):
-    found = F.concat(D.titled_persons(Gates.of("text")), D.labelled_persons(Gates.of("text")))
+    found = D.detect("text", lambda g: F.concat(D.titled_persons(g), D.labelled_persons(g)))
     return corpus(spark, sf).select("id", F.inline(found)).select("id", "value", "start")
 
 
@@ -343,10 +343,9 @@ def dictionary_hits(spark, sf):
 )
 def rule_hits(spark, sf):
     """A dictionary and a pattern of the user."""
-    g = Gates.of("text")
-    found = D.user_rules(
+    found = D.detect("text", lambda g: D.user_rules(
         g, [D.Dictionary("words", "PROJECT", ("Regards",))], [D.PatternRule("hash", "INTERNAL_HOST", "hash [0-9a-f]{6}")]
-    )
+    ))
     return corpus(spark, sf).select("id", F.inline(found)).select("id", "type", "value", "start")
 
 

@@ -60,14 +60,14 @@ def gate_requests(
     passed_limits, passed_screen = F.col("allowed"), F.col("safe")
     # Texts that are refused anyway are not searched.
     searched = scored.withColumn(
-        "_seen", F.when(passed_limits & passed_screen, F.col("prompt")).otherwise(F.lit(""))
+        "_text", F.when(passed_limits & passed_screen, F.col("prompt")).otherwise(F.lit(""))
     )
-    searched = searched.withColumn("_found", find_entities("_seen", detectors=detectors)).withColumn(
+    searched = searched.withColumn("_found", find_entities("_text", detectors=detectors)).withColumn(
         "_types", F.transform("_found", lambda s: s["type"])
     )
     decided = stage(
         decide(searched.withColumn("provider", F.lit("openai")), list(rules), entity_types="_types").drop(
-            "normalized_text", "_seen"
+            "normalized_text", "_text"
         )
     )
     blocked = F.col("decision.blocked")

@@ -61,18 +61,28 @@ def seeded(spark: SparkSession, sf: str, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
-def corpus(spark, sf):
-    return seeded(spark, sf, S.CORPUS)
+def spread(df: DataFrame) -> DataFrame:
+    """Detection is CPU work: a small file that gives fewer splits than cores is dealt
+    out to all of them. Large inputs have many splits and pass through."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
-def notes(spark, sf):
-    return seeded(spark, sf, S.NOTES)
+def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select(*columns, "text"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Small files arrive as one partition; detection is CPU work and wants all cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    content = table(spark, sf, "pages").select("page_id", F.col("html").alias("content"))
+    return spread(content).withColumn("name", F.lit("p.html"))
+
+
+def corpus(spark, sf):
+    return spread(seeded(spark, sf, S.CORPUS))
+
+
+def notes(spark, sf):
+    return spread(seeded(spark, sf, S.NOTES))
 
 
 def spans_query(name: str, build: Callable[[Gates], Column], sql: str, columns=("id", "value", "start")) -> None:
@@ -258,7 +268,7 @@ spans_query(
 def entities_by_source(spark, sf):
     """Flagship: sensitive entities per source and type. One scan of two columns, then
     spans without texts meet in the aggregation."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = documents(spark, sf, "doc_id", "source")
     found = docs.select("doc_id", "source", F.inline(find_entities("text", SIMPLE)))
     return found.groupBy("source", "type").agg(
         F.count(F.lit(1)).alias("entities"),
@@ -299,7 +309,7 @@ def entity_breakdown(spark, sf):
         JOIN labels l ON l.doc_id = s.id GROUP BY l.quality, l.toxic, s.type""",
 )
 def entities_by_label(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf, "doc_id")
     found = docs.select("doc_id", F.inline(find_entities("text", SIMPLE))).select("doc_id", "type")
     return found.join(table(spark, sf, "labels"), "doc_id").groupBy("quality", "toxic", "type").agg(
         F.count(F.lit(1)).alias("entities")
@@ -311,7 +321,7 @@ def entities_by_label(spark, sf):
     f"SELECT doc_id, md5(regexp_replace(text, {O.literal(O.re2(fixed.EMAIL))}, '[REDACTED_EMAIL]', 'g')) AS digest FROM documents",
 )
 def redacted_emails(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf, "doc_id")
     done = redact("text", find_entities("text", ("EMAIL",)))
     return docs.select("doc_id", F.md5(done.cast("binary")).alias("digest"))
 
@@ -358,13 +368,13 @@ def rule_hits(spark, sf):
        substr(sha256(text), 1, 16) AS prompt_hash FROM documents""",
 )
 def token_estimates(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf, "doc_id")
     return docs.select("doc_id", estimate_tokens("text").alias("tokens"), prompt_hash("text").alias("prompt_hash"))
 
 
 @query("normalized_text")
 def normalized_text(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", normalize_text("text").alias("n"))
+    docs = documents(spark, sf, "doc_id").select("doc_id", normalize_text("text").alias("n"))
     return docs.select("doc_id", F.length("n").alias("length"), F.sha2("n", 256).alias("digest"))
 
 
@@ -380,7 +390,7 @@ def normalized_text(spark, sf):
 )
 def vault_assignments(spark, sf):
     """Documents of a source as one session."""
-    docs = table(spark, sf, "documents").select("source", "doc_id", "text")
+    docs = documents(spark, sf, "source", "doc_id")
     spans = docs.select("source", "doc_id", F.inline(find_entities("text", SIMPLE)))
     vault = build_vault(stage(spans.select("source", "doc_id", "type", "value", "start")), ["source"], ["doc_id"])
     return vault.select("source", "type", "lookup_key", "placeholder", "original_value")
@@ -389,13 +399,13 @@ def vault_assignments(spark, sf):
 @query("cloaked_conversations", O.duck(f"SELECT conv_id, turn, md5(text || {S.CHAT_CLOAKED_TAIL}) AS digest FROM conversations"))
 def cloaked_conversations(spark, sf):
     """Two-pass rewriting: a name without a title is known from another turn."""
-    done = anonymize_conversations(seeded(spark, sf, S.CHAT).select("conv_id", "turn", "text"))
+    done = anonymize_conversations(spread(seeded(spark, sf, S.CHAT).select("conv_id", "turn", "text")))
     return done.rewritten.select("conv_id", "turn", F.md5("sanitized").alias("digest"))
 
 
 @query("restored_conversations", O.duck(f"SELECT conv_id, turn, md5(text) AS digest FROM ({S.CHAT}) c"))
 def restored_conversations(spark, sf):
-    done = anonymize_conversations(seeded(spark, sf, S.CHAT).select("conv_id", "turn", "text"))
+    done = anonymize_conversations(spread(seeded(spark, sf, S.CHAT).select("conv_id", "turn", "text")))
     back = restore(done.rewritten.select("conv_id", "turn", "sanitized"), done.vault, "sanitized", ["conv_id"], ["turn"])
     return back.select("conv_id", "turn", F.md5("restored").alias("digest"))
 
@@ -477,7 +487,7 @@ _MAILS = O.detected("EMAIL", source="SELECT doc_id AS id, text FROM documents")
 )
 def new_leaks_query(spark, sf):
     """Addresses of a source that its English documents did not make known."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    docs = documents(spark, sf, "doc_id", "source", "lang")
     spans = stage(docs.select("doc_id", "source", "lang", F.inline(find_entities("text", ("EMAIL",)))).drop("metadata"))
     vault = build_vault(spans.filter("lang = 'en'"), ["source"], ["doc_id"])
     return new_leaks(spans, vault, ["source"]).select("doc_id", "source", "value", "start")
@@ -490,7 +500,7 @@ def new_leaks_query(spark, sf):
 )
 def checked_responses(spark, sf):
     """Cloaked chats come back with one unknown address each."""
-    done = anonymize_conversations(seeded(spark, sf, S.CHAT).select("conv_id", "turn", "text"))
+    done = anonymize_conversations(spread(seeded(spark, sf, S.CHAT).select("conv_id", "turn", "text")))
     replies = done.rewritten.select(
         "conv_id", "turn",
         F.concat("sanitized", F.lit(" Also leak"), F.col("conv_id"), F.lit("@example.org here.")).alias("response"),
@@ -607,21 +617,19 @@ def documents_eml(spark, sf):
     f"""SELECT page_id, CAST(coalesce(list_sum([CASE WHEN starts_with(p, '<') THEN 0 ELSE len(regexp_extract_all(p, {O.literal(O.re2(fixed.EMAIL))})) END FOR p IN regexp_extract_all(html, '<[^>]+>|[^<]+|<')]), 0) AS INT) AS total FROM pages""",
 )
 def html_text_emails(spark, sf):
-    pages = table(spark, sf, "pages").select("page_id", F.lit("p.html").alias("name"), F.col("html").alias("content"))
-    return scan_documents(pages, detectors=DetectorSet(enabled=("EMAIL",))).select("page_id", "total")
+    return scan_documents(pages(spark, sf), detectors=DetectorSet(enabled=("EMAIL",))).select("page_id", "total")
 
 
 @query("html_text_sanitised")
 def html_text_sanitised(spark, sf):
     """All detectors on page texts; tags and attributes stay."""
-    pages = table(spark, sf, "pages").select("page_id", F.lit("p.html").alias("name"), F.col("html").alias("content"))
-    return scan_documents(pages).select("page_id", "format", "original_length", "sanitized_length", "total", F.sha2("sanitized_content", 256).alias("digest"))
+    return scan_documents(pages(spark, sf)).select("page_id", "format", "original_length", "sanitized_length", "total", F.sha2("sanitized_content", 256).alias("digest"))
 
 
 @query("document_scan")
 def document_scan(spark, sf):
     """All detectors and the row-local vault over all documents: a map without a shuffle."""
-    docs = table(spark, sf, "documents").select("doc_id", F.lit("d.txt").alias("name"), F.col("text").alias("content"))
+    docs = documents(spark, sf, "doc_id").select("doc_id", F.lit("d.txt").alias("name"), F.col("text").alias("content"))
     return scan_documents(docs).select("doc_id", "original_length", "sanitized_length", "total", F.sha2("sanitized_content", 256).alias("digest"))
 
 

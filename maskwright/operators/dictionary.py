@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import quote_pattern
 from .spans import longest_cover, make_span, no_spans
-from .vault import WORD, _GRAM, _word_grams
+from .vault import WORD, gram_sizes, leading_gram, word_grams
 
 
 def dictionary_spans(
@@ -22,16 +22,14 @@ def dictionary_spans(
     those are then located exactly. Terms without any word meet every text.
     """
     keys = list(keys)
-    words = F.regexp_extract_all(F.lower("term"), F.lit(f"[{WORD}]+"), F.lit(0))
+    leading = leading_gram("term")
     listed = terms.select(
-        F.array_join(F.slice(words, 1, _GRAM), " ").alias("_gram"),
+        leading["gram"].alias("_gram"), leading["size"].alias("_size"),
         F.struct("dict_name", "type", "term", "case_sensitive").alias("_term"),
     )
-    wordless = listed.filter("_gram = ''").limit(1)
-    grams = _word_grams(F.col(text_col))
-    if not wordless.isEmpty():
-        grams = F.concat(F.array(F.lit("")), grams)
-    hits = df.select(*keys, F.explode(grams).alias("_gram")).join(listed, "_gram")
+    sizes = gram_sizes(listed, "_size")
+    grams = word_grams(F.col(text_col), sizes)
+    hits = df.select(*keys, F.explode(grams).alias("_gram")).join(listed.drop("_size"), "_gram")
     candidates = hits.groupBy(*keys).agg(F.collect_set("_term").alias("_terms"))
     found = df.select(*keys, text_col).join(candidates, keys).withColumn("_text", F.col(text_col))
 

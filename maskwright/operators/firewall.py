@@ -24,11 +24,11 @@ _HITS = "array<struct<category:string,match:string,weight:int>>"
 # them matches no built-in rule.
 _LEADS = (
     "ignore|disregard|forget|bypass|override|drop|oublie|contourne|annule|supprime|system|reset|new"
-    "|stop|ne|nouvelle|do|repeat|print|show|display|echo|output|reveal|dump|r[eé]p[eè]te|affiche"
-    "|montre|donne|r[eé]v[eè]le|what|quelle|dan|jailbreak|developer|uncensored|always|hypothetical"
+    "|stop|ne|nouvelle|do|repeat|print|show|display|echo|output|reveal|dump|r[eéÉ]p[eèÈ]te|affiche"
+    "|montre|donne|r[eéÉ]v[eèÈ]le|what|quelle|dan|jailbreak|developer|uncensored|always|hypothetical"
     "|mode|fais|pretend|agis|base64|rot13|execute"
 )
-_LEAD_WORD = rf"(?iu)(?<![A-Za-z0-9_])(?:{_LEADS})"
+_LEAD_WORD = rf"(?i)(?<!\w)(?:{_LEADS})"
 _DELIMITER = r"---|===|###|[<\[]"
 
 
@@ -36,6 +36,11 @@ def custom_rule(pattern: str, category: str | None = None, weight: int | None =
     return Rule(category or "INSTRUCTION_OVERRIDE", pattern, weight or fixed.CUSTOM_RULE_WEIGHT)
 
 
+def _flags(pattern: str) -> str:
+    """Any case; beyond ASCII letters only where the pattern has such letters."""
+    return "(?i)" if pattern.isascii() else "(?iu)"
+
+
 def _hits(text: Column, rules: Sequence[Rule]) -> Column:
     """One struct per rule that matches, in rule order."""
     if not rules:
@@ -43,7 +48,7 @@ def _hits(text: Column, rules: Sequence[Rule]) -> Column:
     tried = [
         F.struct(
             F.lit(r.category).alias("category"),
-            F.regexp_extract(text, "(?iu)" + java_pattern(r.pattern), 0).alias("match"),
+            F.regexp_extract(text, _flags(r.pattern) + java_pattern(r.pattern), 0).alias("match"),
             F.lit(r.weight).alias("weight"),
         )
         for r in rules

@@ -159,25 +159,40 @@ def _type_in(type_: Column, types) -> Column:
     return type_.isin(*types) if types else F.lit(False)
 
 
-def _word_grams(text: Column) -> Column:
-    """Distinct sequences of one to four neighbouring words, lower case."""
+def leading_gram(value) -> Column:
+    """``struct(gram, size)``: up to four leading words of a value, lower case."""
+    words = F.slice(F.regexp_extract_all(F.lower(as_column(value)), F.lit(f"[{WORD}]+"), F.lit(0)), 1, _GRAM)
+    return let(words, lambda w: F.struct(F.array_join(w, " ").alias("gram"), F.size(w).alias("size")))
+
+
+def gram_sizes(grams: DataFrame, size: str) -> list[int]:
+    """The sizes in use, at most five; texts are cut into those only."""
+    return sorted(r[0] for r in grams.select(size).distinct().collect())
+
+
+def word_grams(text: Column, sizes: Sequence[int]) -> Column:
+    """Distinct sequences of so many neighbouring words, lower case. Size 0 stands for
+    values without any word and gives one empty sequence."""
     words = F.regexp_extract_all(text, F.lit(f"[{WORD}]+"), F.lit(0))
 
     def grams(all_words: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(all_words))
-        by_size = F.transform(
-            starts,
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.lit(_GRAM)), lambda n: F.array_join(F.slice(all_words, i, n), " ")
-            ),
-        )
-        return F.when(F.size(all_words) > 0, F.array_distinct(F.flatten(by_size))).otherwise(
-            F.array().cast("array<string>")
-        )
+        by_size = [
+            F.transform(starts, _gram_at(all_words, n)) for n in sizes if n > 0
+        ]
+        found = F.array_distinct(F.concat(*by_size)) if by_size else F.array().cast("array<string>")
+        found = F.when(F.size(all_words) > 0, found).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.array(F.lit("")), found) if 0 in sizes else found
 
     return let(F.transform(words, lambda w: F.lower(w)), grams)
 
 
+def _gram_at(words: Column, size: int):
+    if size == 1:
+        return lambda i: F.get(words, i - 1)
+    return lambda i: F.array_join(F.slice(words, i, F.lit(size)), " ")
+
+
 def _known_values(
     texts: DataFrame, detected: DataFrame, vault: DataFrame, session_cols: Sequence[str], keys: Sequence[str],
     max_values: int,
@@ -201,13 +216,12 @@ def _known_values(
     if large_sessions.isEmpty():
         return joined
     large_vault = vault.join(large_sessions, session_cols, "left_semi")
-    gram = F.array_join(
-        F.slice(F.regexp_extract_all("lookup_key", F.lit(f"[{WORD}]+"), F.lit(0)), 1, _GRAM), " "
-    )
-    by_gram = large_vault.select(*session_cols, gram.alias("_gram"), entry.alias("_entry"))
+    leading = leading_gram("lookup_key")
+    sizes_used = gram_sizes(large_vault.select(leading["size"].alias("n")), "n")
+    by_gram = large_vault.select(*session_cols, leading["gram"].alias("_gram"), entry.alias("_entry"))
     large_texts = texts.join(large_sessions, session_cols, "left_semi")
     text_grams = large_texts.select(
-        *keys, F.explode(F.concat(F.array(F.lit("")), _word_grams(F.col("_text")))).alias("_gram")
+        *keys, F.explode(word_grams(F.col("_text"), sizes_used)).alias("_gram")
     )
     mentioned = text_grams.join(by_gram, [*session_cols, "_gram"]).select(*keys, "_entry")
     own = (

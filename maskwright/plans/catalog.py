@@ -372,7 +372,10 @@ def token_estimates(spark, sf):
     return docs.select("doc_id", estimate_tokens("text").alias("tokens"), prompt_hash("text").alias("prompt_hash"))
 
 
-@query("normalized_text")
+@query(
+    "normalized_text",
+    """SELECT doc_id, length(n) AS length, sha256(n) AS digest FROM (SELECT doc_id, regexp_replace(replace(replace(text, chr(160), ' '), chr(8230), '...'), '[\\x{200B}-\\x{200F}\\x{FEFF}\\x{00AD}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g') AS n FROM documents)""",
+)
 def normalized_text(spark, sf):
     docs = documents(spark, sf, "doc_id").select("doc_id", normalize_text("text").alias("n"))
     return docs.select("doc_id", F.length("n").alias("length"), F.sha2("n", 256).alias("digest"))
@@ -773,7 +776,12 @@ def siem_payloads(spark, sf):
 # --- jobs and streams ----------------------------------------------------------
 
 
-@query("gate_audit")
+@query(
+    "gate_audit",
+    f"""SELECT c_custkey AS request_id, CASE WHEN r < 40 THEN 'SUCCESS' ELSE 'ERROR' END AS status, r AS risk_score,
+        CASE WHEN r >= 40 THEN NULL WHEN c_mktsegment = 'AUTOMOBILE' OR c_mktsegment LIKE 'MACH%' THEN 'REDACT' ELSE 'CLOAK' END AS policy_action
+        FROM (SELECT c_custkey, c_mktsegment, CAST(least(100, {_SCREEN}) AS INT) AS r FROM ({O.duck(S.NOTES)}) n)""",
+)
 def gate_audit(spark, sf):
     """The whole request gate over notes: limits, screening, policy, pseudonyms, audit."""
     rows = notes(spark, sf)
@@ -783,7 +791,7 @@ def gate_audit(spark, sf):
         F.lit("analyst").alias("role"), F.lit("local-model").alias("model"), F.lit(False).alias("is_streaming"), F.col("text").alias("prompt"),
     )
     gate = gate_requests(asked, POLICY[:1])
-    return gate.audit.select("request_id", "status", "entities_detected", "policy_action", "risk_score")
+    return gate.audit.select(F.col("request_id").cast("bigint").alias("request_id"), "status", "policy_action", "risk_score")
 
 
 def _stream(spark, sf, name: str) -> DataFrame:

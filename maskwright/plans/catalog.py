@@ -849,3 +849,136 @@ def stream_admission(spark, sf):
     rows = spark.sql(S.REQUESTS.replace("FROM events", "FROM mw_events_stream"))
     usage = G.with_usage(rows, "topic").select("event_id", "client", "asked_at", "tokens", "prompt_hash")
     return _run_stream(admit_stream(usage, "client", "asked_at", "event_id", LIMITS), "admission")
+
+
+# --- sources, rules, lookups ---------------------------------------------------
+
+
+@query(
+    "audit_summary_lines",
+    f"""{_SEALED} SELECT event_id, '[AUDIT] ' || {_TS} || ' | Req: ' || {O.duck(_A['request_id'])} || ' | Model: ' || {_A['model']} || ' | Stream: ' || (user_id % 2 = 0) || ' | Detected: ' || ({_EMAILS} + {_PERSONS})
+        || ' [' || coalesce(nullif({_BREAK('', ':', ', ')}, ''), 'none') || ']' || CASE WHEN user_id % 5 = 0 THEN ' | Policy: REDACT' ELSE '' END || CASE WHEN event_id % 7 = 0 THEN ' | Risk: 45' ELSE '' END
+        || ' | Process: ' || {_N('floor(value)')} || 'ms | Upstream: ' || {_N(_UP)} || 'ms | Status: ' || {_A['status']} || ' | Hash: ' || substr(hash, 1, 12) || '...' AS line
+        FROM s JOIN (SELECT event_id, ts, user_id, value, event_type FROM events) e USING (event_id, event_type)""",
+)
+def audit_summary_lines(spark, sf):
+    sealed = A.seal_audit(audit_rows(spark, sf), CHAIN, ["event_id"])
+    return sealed.select("event_id", A.summary_line().alias("line"))
+
+
+@query(
+    "rule_inventory",
+    "SELECT c_mktsegment AS name, 'CLIENT' AS type, count(*) AS terms FROM customer GROUP BY c_mktsegment",
+)
+def rule_inventory_query(spark, sf):
+    from ..sources.config import rule_inventory
+
+    terms = table(spark, sf, "customer").select(
+        F.col("c_mktsegment").alias("dict_name"), F.lit("CLIENT").alias("type"), F.col("c_name").alias("term"), F.lit(False).alias("case_sensitive")
+    )
+    return rule_inventory(terms)
+
+
+@query(
+    "upserted_rules",
+    """SELECT p_brand AS dict_name, p_name AS term FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 7)
+       UNION ALL SELECT p_brand, p_type FROM part WHERE p_size = 7""",
+)
+def upserted_rules(spark, sf):
+    """Brands with a new list take it, the others keep theirs."""
+    from ..sources.config import upsert_rules
+
+    part = table(spark, sf, "part")
+    shape = lambda df, term: df.select(
+        F.col("p_brand").alias("dict_name"), F.lit("PROJECT").alias("type"), F.col(term).alias("term"), F.lit(False).alias("case_sensitive")
+    )
+    merged, _ = upsert_rules(shape(part, "p_name"), shape(part.filter("p_size = 7"), "p_type"), "dict_name")
+    return merged.select("dict_name", "term")
+
+
+_BODY = (
+    "'{\"model\":\"gpt-4o\",\"user\":\"u' || CAST(c_custkey AS STRING) || '\",\"messages\":[{\"role\":\"user\",\"content\":\"hi ' || c_name || '\"},"
+    "{\"role\":\"user\",\"content\":[{\"type\":\"text\",\"text\":\"' || c_mktsegment || '\"},{\"type\":\"image\"}]},"
+    "{\"role\":\"assistant\",\"content\":null,\"tool_calls\":[{\"function\":{\"arguments\":\"' || c_name || '\"}}]}]}'"
+)
+
+
+@query(
+    "chat_parts",
+    """SELECT 'u' || c_custkey AS session_id, 0 AS turn, 'content' AS part_kind, 'hi ' || c_name AS text FROM customer
+       UNION ALL SELECT 'u' || c_custkey, 1, 'block', c_mktsegment FROM customer UNION ALL SELECT 'u' || c_custkey, 2, 'tool_arg', c_name FROM customer""",
+)
+def chat_parts(spark, sf):
+    """Text parts of request bodies: contents, blocks and call arguments."""
+    from ..sources.chat import parse_requests
+
+    nothing = F.lit(None).cast("string")
+    raw = table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("request_id"), F.timestamp_seconds("c_custkey").alias("ts"),
+        *[nothing.alias(c) for c in ("x_forwarded_for", "remote_addr", "x_session_id", "x_department", "x_role")],
+        F.expr(_BODY).alias("body"),
+    )
+    return parse_requests(raw).parts.select("session_id", "turn", "part_kind", "text")
+
+
+@query(
+    "sse_deltas",
+    "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role || ' ' || turn END AS delta, turn % 2 = 1 AS done FROM conversations",
+)
+def sse_deltas(spark, sf):
+    from ..sources.chat import read_sse
+
+    line = F.when(F.col("turn") % 2 == 1, "data: [DONE]").otherwise(
+        F.concat(F.lit('data: {"choices":[{"delta":{"content":"'), F.col("role"), F.lit(" "), F.col("turn"), F.lit('"}}]}'))
+    )
+    lines = table(spark, sf, "conversations").select("conv_id", "turn", line.alias("line"))
+    return read_sse(lines).select("conv_id", "turn", "delta", "done")
+
+
+@query(
+    "looked_up_originals",
+    "SELECT c_custkey, '[person_' || c_custkey || ']' AS ph, c_name AS original_value FROM customer UNION ALL SELECT c_custkey, '[X_' || c_custkey || ']', NULL FROM customer",
+)
+def looked_up_originals(spark, sf):
+    """Placeholders in another case find their value; unknown ones find none."""
+    from ..operators.vault import lookup_originals
+
+    customer = table(spark, sf, "customer")
+    vault = customer.select(
+        "c_nationkey", F.concat(F.lit("[PERSON_"), "c_custkey", F.lit("]")).alias("placeholder"),
+        F.col("c_name").alias("original_value"), F.col("c_custkey").alias("seq"),
+    )
+    asked = customer.select(
+        "c_custkey", "c_nationkey",
+        F.explode(F.array(F.concat(F.lit("[person_"), "c_custkey", F.lit("]")), F.concat(F.lit("[X_"), "c_custkey", F.lit("]")))).alias("ph"),
+    )
+    return lookup_originals(asked, vault, "ph", ["c_nationkey"]).select("c_custkey", "ph", "original_value")
+
+
+@query(
+    "scored_entities",
+    f"SELECT id, 'ORGANIZATION' AS type, value, start FROM {O.hits(O.CORPUS, 'id', chr(92) + 'bCapgemini' + chr(92) + 'b')}",
+)
+def scored_entities(spark, sf):
+    """A caller's scoring function; it names a word, the operator places it."""
+    from ..operators.scored import score_entities
+
+    def score(texts):
+        return [[{"label": "B-ORG", "word": "Capgemini", "score": 0.7}] if "Capgemini" in t else [] for t in texts]
+
+    scored = score_entities(corpus(spark, sf), "text", score)
+    return explode_spans(scored, "model_spans", keep=["id"]).select("id", "type", "value", "start")
+
+
+@query(
+    "entities_per_minute",
+    f"""SELECT date_trunc('minute', ts) AS window_start, count(*) AS requests, CAST(sum({_EMAILS} + {_PERSONS}) AS BIGINT) AS entities,
+        count_if(event_id % 7 = 0) AS risky, count_if(event_type = 'error') AS refused FROM events GROUP BY 1""",
+)
+def entities_per_minute(spark, sf):
+    """The streaming roll-up on a table."""
+    from ..streaming.clients import window_counts
+
+    rows = audit_rows(spark, sf).withColumn("at", F.to_timestamp("timestamp"))
+    counts = window_counts(rows, "at")
+    return counts.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -36,13 +36,6 @@ def default_block(df: DataFrame, column: str, span: int = 4096) -> Column:
     return F.lit(0).cast("bigint")
 
 
-def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def _join_blocks(rows: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     renamed = blocks.select(*[F.col(k).alias(f"_b_{k}") for k in keys], *[c for c in blocks.columns if c not in keys])
     cond = F.lit(True)
@@ -115,9 +108,6 @@ def number_islands(
     )
     opens = F.col("_prev").isNotNull() & F.coalesce(breaks(F.col("_prev")), F.lit(False))
     rows = rows.withColumn("_open", opens)
-    first = rows.filter("_rn = 1").select(
-        *keys, *[F.col(c) for c in carry]
-    )
     blocks = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count_if("_open").alias("_opened"),

@@ -5,6 +5,7 @@ maximisation, and a hashed linear scorer trained on the posterior labels.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -16,13 +17,14 @@ from maskwright.llm.common import free_name, hash_order, id_and_bytes, map_batch
 from maskwright.llm.linear import fit_logistic
 from maskwright.sources.staging import stage
 
-LABELLERS = ("capitals", "symbols", "repeats", "variety", "lone_marks", "sentences", "lines")
+LABELLERS = ("capitals", "capital_words", "marks", "marked_words", "letters", "repeats", "variety", "top_word", "sentences")
 WIDTH = 1 << 13
 #: The scorer is fitted on at most so many documents, the first in a hashed order.
 FIT_ROWS = 4_000
 THRESHOLD = 0.5
 _UPPER, _LETTER, _DIGIT, _BLANK, _LINE, _POINT, _MARK = range(7)
 _CLASSES = np.zeros(0, np.uint8)
+POINTS = ".,;:'’\"()-?"
 
 
 def _classes() -> np.ndarray:
@@ -34,7 +36,7 @@ def _classes() -> np.ndarray:
         for c in range(1 << 16):
             kind = unicodedata.category(chr(c))
             found[c] = kinds.get(kind, _LETTER if kind[0] in "LMC" else _MARK)
-        found[[ord(c) for c in ".,;:'’\"()-?"]] = _POINT
+        found[[ord(c) for c in POINTS]] = _POINT
         found[[9, 32, 160]] = _BLANK
         found[[10, 13]] = _LINE
         _CLASSES = found
@@ -47,58 +49,64 @@ def shape(text: str) -> np.ndarray:
 
 
 def votes(text: str) -> list[int]:
-    """One vote per labeller: 1 good, 0 bad, -1 none."""
-    found, words = shape(text), text.split()
-    count = np.bincount(found, minlength=7)
-    letters, inked, n = count[_UPPER] + count[_LETTER], count[[_UPPER, _LETTER, _DIGIT, _POINT, _MARK]].sum(), len(words)
+    """One vote per labeller: 1 good, 0 bad, -1 none. Labellers overlap: each kind of damage is seen by several."""
+    count, words = np.bincount(shape(text), minlength=7), text.split()
+    letters, inked, n = count[_UPPER] + count[_LETTER], count[[_UPPER, _LETTER, _DIGIT, _POINT, _MARK]].sum(), max(1, len(words))
     vote = lambda value, good, bad, enough: -1 if not enough else 1 if value <= good else 0 if value >= bad else -1
-    same = sum(a == b for a, b in zip(words, words[1:])) / max(1, n - 1)
     chunks = [words[i : i + 100] for i in range(0, n, 100)]
-    variety = sum(len(set(c)) for c in chunks) / max(1, n)
-    lone = sum(not any(map(str.isalnum, w)) for w in words) / max(1, n) if count[_MARK] else 0.0
-    closed = sum(w.endswith((".", "!", "?", '."')) for w in words) / max(1, n)
-    lines = [x for x in text.split("\n") if x.strip()]
+    marked = sum(not (w[-1].isalnum() or w[-1] in POINTS) for w in words) if count[_MARK] else 0
+    closed = sum(w[-1] in ".!?" for w in words)
     return [
         vote(count[_UPPER] / max(1, letters), 0.25, 0.5, letters >= 10),
-        vote(count[_MARK] / max(1, inked), 0.04, 0.12, inked >= 10),
-        vote(same, 0.08, 0.3, n >= 6),
-        vote(1 - variety, 0.6, 0.75, n >= 20),
-        vote(lone, 0.05, 0.2, n >= 6),
-        vote(abs(closed - 0.17), 0.165, 0.3, n >= 30),
-        vote(1 - len(set(lines)) / max(1, len(lines)), 0.3, 0.7, len(lines) >= 4),
+        vote(sum(map(str.isupper, words)) / n, 0.15, 0.5, n >= 4),
+        vote(count[_MARK] / max(1, inked), 0.03, 0.06, inked >= 10),
+        vote(marked / n, 0.1, 0.3, n >= 4),
+        vote(1 - letters / max(1, inked), 0.12, 0.16, inked >= 10),
+        vote(sum(map(str.__eq__, words, words[1:])) / n, 0.08, 0.3, n >= 6),
+        vote(1 - sum(len(set(c)) for c in chunks) / n, 0.6, 0.75, n >= 20),
+        vote(sum(max(Counter(c).values()) for c in chunks) / n, 0.2, 0.35, n >= 20),
+        vote(abs(closed / n - 0.17), 0.165, 0.3, n >= 30),
     ]
 
 
-def accuracies(patterns: list[tuple[list[int], int]], rounds: int = 200) -> tuple[float, np.ndarray]:
-    """Share of good documents and, per labeller, class and vote, its probability, by
-    expectation maximisation over counted vote patterns (three to the power of labellers at most)."""
+def accuracies(patterns: list[tuple[list[int], int]], rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """How often each labeller votes what on good documents and on each kind of poor ones, by
+    expectation maximisation over counted vote patterns (three to the power of labellers at most).
+
+    Class 0 is good. Poor documents are poor in different ways, and a labeller sees only
+    some of them, so there is one class per labeller, which starts from the documents that it and
+    another one reject. Returns the classes' shares and probabilities (class, labeller, vote + 1).
+    """
     vote = np.array([p for p, _ in patterns], np.int64).reshape(len(patterns), -1)
     count = np.array([c for _, c in patterns], np.float64)
-    cast, good = (vote >= 0).sum(axis=1), (vote == 1).sum(axis=1)
-    # labellers are better than chance: a single bad vote weighs more than a good one
-    post = np.where(cast == 0, 0.5, np.clip(good / np.maximum(cast, 1), 0.02, 0.98) ** 3)
-    share, table = 0.5, np.full((vote.shape[1], 2, 3), 1 / 3)
+    bad = vote == 0
+    start = np.concatenate([(bad.sum(axis=1, keepdims=True) < 2), bad & (bad.sum(axis=1, keepdims=True) >= 2)], axis=1)
+    post = start / start.sum(axis=1, keepdims=True)
     for _ in range(rounds):
-        weight = np.stack([count * (1 - post), count * post])
-        share = float(np.clip(weight[1].sum() / max(count.sum(), 1e-9), 0.01, 0.99))
-        for j in range(vote.shape[1]):
-            for c in (0, 1):
-                table[j, c] = np.bincount(vote[:, j] + 1, weight[c], 3) + 1.0
+        weight = post.T * count
+        share = (weight.sum(axis=1) + 1e-3) / (weight.sum() + 1e-3 * len(weight))
+        table = np.array([[np.bincount(vote[:, j] + 1, w, 3) + 0.1 for j in range(vote.shape[1])] for w in weight])
         table /= table.sum(axis=2, keepdims=True)
-        new = posterior(vote, share, table)
-        if np.abs(new - post).max() < 1e-9:
+        new = _classes_given(vote, share, table)
+        if np.abs(new - post).max() < 1e-7:
             break
         post = new
     return share, table
 
 
-def posterior(vote: np.ndarray, share: float, table: np.ndarray) -> np.ndarray:
-    """Probability of good per row of votes; a vote that is not cast says nothing."""
-    logit = np.full(len(vote), np.log(share / (1 - share)))
+def _classes_given(vote: np.ndarray, share: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Probability of each class per row of votes; a vote that is not cast says nothing."""
+    given = table[:, :, 1:] / table[:, :, 1:].sum(axis=2, keepdims=True)
+    logit = np.tile(np.log(share), (len(vote), 1))
     for j in range(vote.shape[1]):
-        given = np.log(table[j, 1] / table[j, 1, 1:].sum()) - np.log(table[j, 0] / table[j, 0, 1:].sum())
-        logit += np.where(vote[:, j] >= 0, given[vote[:, j] + 1], 0.0)
-    return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
+        logit += np.where(vote[:, j, None] >= 0, np.log(given[:, j, :])[:, np.maximum(vote[:, j], 0)].T, 0.0)
+    odds = np.exp(logit - logit.max(axis=1, keepdims=True))
+    return odds / odds.sum(axis=1, keepdims=True)
+
+
+def posterior(vote: np.ndarray, share: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Probability of good per row of votes."""
+    return _classes_given(vote, share, table)[:, 0]
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +145,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> dict:
     every = stage(vote_table(docs))
     counted = [(r["votes"], r["count"]) for r in every.groupBy("votes").count().collect()]
     if not counted:
-        return {"weights": np.zeros(WIDTH), "bias": 0.0, "share": 0.5, "table": np.full((len(LABELLERS), 2, 3), 1 / 3)}
+        return {"weights": np.zeros(WIDTH), "bias": 0.0, "share": np.ones(1), "table": np.full((1, len(LABELLERS), 3), 1 / 3)}
     share, table = accuracies(counted)
     chosen = every.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("votes").alias("votes"))
     chosen = chosen.orderBy(hash_order(7, "_id"), "_id").limit(rows)

@@ -96,7 +96,7 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     shared = both.any(axis=3)
     table = shared.any(axis=2).argmax(axis=1)
     rows = np.arange(len(a))
-    least = np.where(shared[rows, table], a[rows, table], np.iinfo(np.int64).max).min(axis=1)
+    least = np.where(shared[rows, table], a[rows, table].astype(np.int64), np.iinfo(np.int64).max).min(axis=1)
     return table, least
 
 

@@ -28,7 +28,7 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 512) -> DataFrame:
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, rows: int = 256) -> DataFrame:
     """Map Arrow batches to new columns. ``work`` sees at most ``rows`` rows, so memory
     follows the longest texts and not the batch size of the session."""
     arrow = _arrow_schema(df.sparkSession, schema)
@@ -41,6 +41,20 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: s
     return df.mapInArrow(run, schema)
 
 
+def text_scores(text: Column, work: Callable[[list[str]], list[float]], rows: int = 128) -> Column:
+    """A double per text, ``rows`` texts at a time. Only the text goes to Python; a row's other
+    columns stay where they are."""
+
+    @F.arrow_udf("double")
+    def score(column: pa.Array) -> pa.Array:
+        found: list[float] = []
+        for at in range(0, len(column), rows):
+            found += work(texts(column.slice(at, rows)))
+        return pa.array(found, pa.float64())
+
+    return score(text.cast("string").cast("binary"))
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

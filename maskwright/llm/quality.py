@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import free_name, hash_order, id_and_bytes, map_batches, texts
+from maskwright.llm.common import free_name, hash_order, id_and_bytes, map_batches, text_scores, texts
 from maskwright.llm.linear import fit_logistic
 from maskwright.sources.staging import stage
 
@@ -170,17 +170,12 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> dict:
 
 def scored(docs: DataFrame, model: dict, out: str = "quality_score") -> DataFrame:
     """All columns and the scorer's probability of good for each row."""
-    name = free_name(docs, "_text_bytes")
-    rows, columns = docs.withColumn(name, F.col("text").cast("string").cast("binary")), docs.columns
 
-    def work(batch: pa.RecordBatch) -> dict:
-        z = []
-        for text in texts(batch.column(name)):
-            index, value = features(text)
-            z.append((model["weights"][index] * value).sum() + model["bias"])
-        return {c: batch.column(c) for c in columns} | {out: 1 / (1 + np.exp(-np.clip(np.array(z), -40, 40)))}
+    def work(some: list[str]) -> list[float]:
+        z = [(model["weights"][index] * value).sum() + model["bias"] for index, value in map(features, some)]
+        return (1 / (1 + np.exp(-np.clip(np.array(z), -40, 40)))).tolist()
 
-    return map_batches(rows, work, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{out}` double")
+    return docs.withColumn(out, text_scores(F.col("text"), work))
 
 
 def quality(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import free_name, hash_order, id_and_bytes, map_batches, texts
+from maskwright.llm.common import free_name, hash_order, id_and_bytes, map_batches, text_scores, texts
 from maskwright.llm.linear import fit_logistic
 
 GRAMS = (3, 4, 5, 6)
 BITS = 20
 #: At most so many labelled rows of each class are fitted, the first in a hashed order.
-FIT_ROWS = 2_500
+FIT_ROWS = 1_500
 THRESHOLD = 0.7
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -99,22 +99,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict:
 
 def scored(docs: DataFrame, model: dict, out: str = "score") -> DataFrame:
     """All columns and the score of each row; a null text is an empty one."""
-    name = free_name(docs, "_text_bytes")
-    rows, columns = docs.withColumn(name, F.col("text").cast("string").cast("binary")), docs.columns
-
-    def work(batch: pa.RecordBatch) -> dict:
-        weight = np.zeros(1 << BITS)
-        weight[model["keep"]] = model["weights"]
-        known = np.zeros(1 << BITS, bool)
-        known[model["keep"]] = True
-        z = []
-        for text in texts(batch.column(name)):
-            found = buckets(text)
-            z.append(weight[np.unique(found[known[found]])].sum() + model["bias"])
-        return {c: batch.column(c) for c in columns} | {out: 1 / (1 + np.exp(-np.clip(np.array(z), -40, 40)))}
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{out}` double"
-    return map_batches(rows, work, schema)
+    state: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def work(some: list[str]) -> list[float]:
+        if not state:
+            weight, known = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, bool)
+            weight[model["keep"]], known[model["keep"]] = model["weights"], True
+            state.append((weight, known))
+        weight, known = state[0]
+        z = [weight[np.unique(found[known[found]])].sum(dtype=np.float64) + model["bias"] for found in map(buckets, some)]
+        return (1 / (1 + np.exp(-np.clip(np.array(z), -40, 40)))).tolist()
+
+    return docs.withColumn(out, text_scores(F.col("text"), work))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -64,7 +64,7 @@ class CountedText:
 
     def __init__(self, text: str, encoder: WordEncoder):
         self.encoder, self.parts = encoder, self._leaves(text)
-        self.tree = SegmentTree([len(p) for p in self.parts], [encoder.count(p) for p in self.parts])
+        self.tree = SegmentTree([len(p) for p in self.parts], encoder.counts(self.parts))
         self.encoded_chars = 0
 
     @staticmethod
@@ -106,7 +106,7 @@ class CountedText:
                 high += 1
         region = old[low:left] + new + old[right:high]
         known = int(self.tree.sums[self.tree.size + first : self.tree.size + last + 1, 1].sum())
-        gone, come = self.encoder.count(old[low:high]), self.encoder.count(region)
+        gone, come = self.encoder.counts([old[low:high], region])
         self.encoded_chars += len(region) + high - low
         merged = old[:low] + region + old[high:]
         for leaf in range(first + 1, last + 1):
@@ -182,7 +182,7 @@ def recount(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def work(batch: pa.RecordBatch) -> dict:
         if not state:
             state.append(WordEncoder.shared(path))
-        counts = [len(state[0].ids(t)) for t in texts(batch.column("text"))]
+        counts = [len(ids) for ids in state[0].ids(texts(batch.column("text")))]
         return {"doc_id": batch.column("doc_id"), "n_tokens": counts}
 
     return map_batches(id_and_bytes(docs), work, "doc_id long, n_tokens long")

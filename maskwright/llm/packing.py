@@ -100,8 +100,8 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         if not state:
             state.append(WordEncoder.shared(path))
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids")}
-        for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
-            ids = np.append(state[0].ids(text), np.uint32(END_ID)).astype("<u4")
+        for doc, found in zip(batch.column("doc_id").to_pylist(), state[0].ids(texts(batch.column("text")))):
+            ids = np.append(found, np.uint32(END_ID)).astype("<u4")
             for piece, start in enumerate(range(0, len(ids), capacity)):
                 part = ids[start : start + capacity]
                 for k, v in zip(out, (doc, piece, start, len(part), part.tobytes())):

@@ -12,7 +12,8 @@ whole documents, so its size is the target or the longest document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,8 +107,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, segmen
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                for doc, text in zip(some.column("doc_id").to_pylist(), texts(some.column("text"))):
-                    ids = encoder.ids(text)
+                for doc, ids in zip(some.column("doc_id").to_pylist(), encoder.ids(texts(some.column("text")))):
                     doc_ids.append(doc)
                     starts.append(size)
                     held += [ids, np.array([END_ID], np.uint32)]
@@ -123,10 +123,11 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, segmen
     ordered.mapInArrow(run, SEGMENT).write.parquet(path)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id start n_tokens ids`` of every document in a store; ``start`` counts all ids before it.
+def _read(spark: SparkSession, path: str, kind: str, value: Callable[[bytes], object]) -> DataFrame:
+    """``doc_id start n_tokens value`` of every document; ``start`` counts all ids before it.
 
-    The ids of the write tasks before one are summed over one narrow row per task.
+    The ids of the write tasks before one are summed over one narrow row per task, at most
+    as many as the writing session's shuffle partitions, which is what is broadcast.
     """
     segments = spark.read.parquet(path)
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -134,20 +135,25 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     bases = parts.select(F.col("part").alias("_part"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_base"))
 
     def work(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "part", "start", "n_tokens", "ids")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "part", "start", "n_tokens", "value")}
         for row in batch.to_pylist():
             ends = [*row["starts"][1:], row["n_tokens"]]
             for doc, start, end in zip(row["doc_ids"], row["starts"], ends):
                 ids = read_range(row["levels"], start, end).astype("<u4").tobytes()
-                for k, v in zip(out, (doc, row["part"], row["first_token"] + start, end - start, ids)):
+                for k, v in zip(out, (doc, row["part"], row["first_token"] + start, end - start, value(ids))):
                     out[k].append(v)
         return out
 
-    docs = map_batches(segments, work, "doc_id long, part int, start long, n_tokens long, ids binary", rows=1)
-    joined = docs.join(bases, docs["part"] == bases["_part"])
-    return joined.select("doc_id", (F.col("start") + F.col("_base")).alias("start"), "n_tokens", "ids")
+    docs = map_batches(segments, work, f"doc_id long, part int, start long, n_tokens long, value {kind}", rows=1)
+    joined = docs.join(F.broadcast(bases), docs["part"] == bases["_part"])
+    return joined.select("doc_id", (F.col("start") + F.col("_base")).alias("start"), "n_tokens", "value")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id start n_tokens ids`` from a store; ids are little-endian unsigned 32-bit."""
+    return _read(spark, path, "binary", bytes).withColumnRenamed("value", "ids")
 
 
 def document_digests(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id start n_tokens ids_crc32`` read from a store."""
-    return read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return _read(spark, path, "long", zlib.crc32).withColumnRenamed("value", "ids_crc32")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -15,6 +16,10 @@ _ODD = re.compile(r"[^\x21-\x7e\xc0-\xff]|<\|")
 _UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
 
 
+#: Characters of texts that are looked up together.
+GROUP = 1_000_000
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -31,7 +36,7 @@ class WordEncoder:
     whole tokenizer. The memory is emptied at ``most`` words.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -44,6 +49,7 @@ class WordEncoder:
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.as_bytes = {c: bytes_of.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.units: dict[str, list[int]] = {}
         self._forget()
 
     @classmethod
@@ -60,7 +66,6 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {"": 0}
-        self.units: dict[str, list[int]] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -76,17 +81,21 @@ class WordEncoder:
             else:
                 self.units.update((u, ids[a:b]) for u, a, b in zip(some, [0, *ends], ends))
 
-    def _encode(self, words: list[str], plain: bool) -> list[list[int]]:
-        """Ids of new words; ``plain`` words are in lower case and without odd characters."""
-        odd = [] if plain else [w for w in words if not self.short or _ODD.search(w)]
-        got = dict(zip(odd, (e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))))
-        cut = {w: _UNITS.findall(w.lower()) for w in words if w not in got}
-        self._encode_units(list({u for us in cut.values() for u in us if u not in self.units}))
+    def _encode(self, words: list[str], odd: set[str], plain: bool) -> list[list[int]]:
+        """Ids of new words; ``plain`` words are in lower case and hold no odd characters."""
+        some = list(odd)
+        got = dict(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
+        cut = {w: _UNITS.findall(w if plain else w.lower()) for w in words if w not in odd}
+        if len(self.units) > self.most:
+            self.units = {}
         units = self.units
-        return [got[w] if w in got else units[cut[w][0]] if len(cut[w]) == 1 else [i for u in cut[w] for i in units[u]] for w in words]
+        self._encode_units(list({u for us in cut.values() for u in us}.difference(units)))
+        for w, us in cut.items():
+            got[w] = units[us[0]] if len(us) == 1 else [i for u in us for i in units[u]]
+        return [got[w] for w in words]
 
-    def _learn(self, new: list[str], plain: bool) -> None:
-        got = self._encode(new, plain)
+    def _learn(self, new: list[str], odd: set[str], plain: bool) -> None:
+        got = self._encode(new, odd, plain)
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         first, total = len(self.index), int(sizes.sum())
         while self.used + total > len(self.flat):
@@ -99,35 +108,50 @@ class WordEncoder:
         self.used += total
         self.index.update(zip(new, range(first, first + len(new))))
 
-    def numbers(self, text: str) -> np.ndarray:
-        """The numbers of a text's words in this encoder's memory."""
-        if self.short:
-            words = text.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            found = self._look_up(words, True)
-            if found is not None:
-                return found
-        return self._look_up(_WORDS.findall(text), False)
-
-    def _look_up(self, words: list[str], plain: bool) -> np.ndarray | None:
-        try:
-            return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            if len(self.index) > self.most:
-                self._forget()
-            new = list({w for w in words if w not in self.index})
-            # odd words are never learnt in lower case, so their texts always come this way
-            if plain and any(map(_ODD.search, new)):
-                return None
-            self._learn(new, plain)
-            return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-
-    def ids(self, text: str) -> np.ndarray:
-        """All ids of one text, without special tokens."""
-        numbers = self.numbers(text)
-        sizes = self.n[numbers]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.at[numbers] - ends + sizes, sizes) + np.arange(total)]
-
-    def count(self, text: str) -> int:
-        return int(self.n[self.numbers(text)].sum())
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """The numbers of each text's words in this encoder's memory."""
+        if len(self.index) > self.most:
+            self._forget()
+        if not self.short:
+            return self._numbers([_WORDS.findall(t) for t in texts], False)
+        words = [t.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        new = set().union(*words).difference(self.index)
+        odd = {w for w in new if _ODD.search(w)}
+        if not odd:
+            return self._numbers(words, True, new)
+        # odd words are never learnt in lower case, so their texts always come this way
+        again = [i for i, ws in enumerate(words) if not odd.isdisjoint(ws)]
+        skip = set(again)
+        easy = [i for i in range(len(texts)) if i not in skip]
+        found = dict(zip(easy, self._numbers([words[i] for i in easy], True)))
+        found.update(zip(again, self._numbers([_WORDS.findall(texts[i]) for i in again], False)))
+        return [found[i] for i in range(len(texts))]
+
+    def _numbers(self, words: list[list[str]], plain: bool, new: set[str] | None = None) -> list[np.ndarray]:
+        new = list(set().union(*words).difference(self.index) if new is None else new)
+        if new:
+            self._learn(new, set() if plain else {w for w in new if not self.short or _ODD.search(w)}, plain)
+        of = self.index.__getitem__
+        return [np.fromiter(map(of, ws), np.int64, len(ws)) for ws in words]
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """All ids of each text, without special tokens; texts are taken together up to ``GROUP`` characters."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size > GROUP:
+                yield from self._ids(held)
+                held, size = [], 0
+        yield from self._ids(held)
+
+    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for numbers in self.numbers(texts):
+            sizes = self.n[numbers]
+            ends = np.cumsum(sizes)
+            total = int(ends[-1]) if len(ends) else 0
+            yield self.flat[np.repeat(self.at[numbers] - ends + sizes, sizes) + np.arange(total)]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """How many ids each text has."""
+        return [int(self.n[numbers].sum()) for numbers in self.numbers(texts)]

@@ -138,9 +138,10 @@ def _read(spark: SparkSession, path: str, kind: str, value: Callable[[bytes], ob
         out: dict[str, list] = {k: [] for k in ("doc_id", "part", "start", "n_tokens", "value")}
         for row in batch.to_pylist():
             ends = [*row["starts"][1:], row["n_tokens"]]
+            ids = memoryview(read_range(row["levels"], 0, row["n_tokens"]).astype("<u4").tobytes())
             for doc, start, end in zip(row["doc_ids"], row["starts"], ends):
-                ids = read_range(row["levels"], start, end).astype("<u4").tobytes()
-                for k, v in zip(out, (doc, row["part"], row["first_token"] + start, end - start, value(ids))):
+                found = value(ids[4 * start : 4 * end])
+                for k, v in zip(out, (doc, row["part"], row["first_token"] + start, end - start, found)):
                     out[k].append(v)
         return out
 

@@ -36,7 +36,7 @@ class WordEncoder:
     whole tokenizer. The memory is emptied at ``most`` words.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 

@@ -213,6 +213,11 @@ CANARY_MARK = "<!-- SECURITY_SENTINEL: {} -->"
 TOOL_NOTICE = "[SECURITY NOTICE: Suspicious prompt injection pattern neutralized]\n"
 CANARY_NOTICE = "\n[SECURITY NOTICE: Stream aborted due to honeytoken/canary leakage]"
 
+# --- usage limits --------------------------------------------------------------
+RATE_REASON = "Rate limit exceeded ({} req/min)."
+QUOTA_REASON = "Token quota exceeded ({} tokens/min)."
+LOOP_REASON = "Runaway agentic loop detected: {} identical consecutive requests. Circuit breaker OPEN."
+
 # --- audit ---------------------------------------------------------------------
 GENESIS_HASH = "0" * 64
 COMPLIANCE_STATUS = "CERTIFIED_ARTICLE_32"

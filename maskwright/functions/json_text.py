@@ -7,6 +7,7 @@ Arrow UDF. It cuts the text; finding, rewriting and putting together stay native
 from __future__ import annotations
 
 import json
+import re
 from typing import Any
 
 import pandas as pd
@@ -69,20 +70,42 @@ def _result_kind(message: Any):
     return lambda path: LEAF if path[:1] == ("result",) else FIXED
 
 
+_LONE = re.compile(r"\\u[dD][89a-fA-F]")
+
+
+def _storable(value: Any) -> bool:
+    try:
+        json.dumps(value, ensure_ascii=False).encode()
+        return True
+    except (UnicodeEncodeError, RecursionError):
+        return False
+
+
 def cut(text: str, indent: int | None, kinds) -> list[tuple[str, int]] | None:
-    """Pieces of a JSON text, or None if it is no JSON."""
+    """Pieces of a JSON text, or None if it is none or cannot be stored as text.
+
+    Nesting too deep for the parser and lone surrogates, which no UTF-8 text can hold,
+    count as no JSON: such a text is then searched as plain text.
+    """
     try:
         value = json.loads(text, parse_constant=_reject)
     except (ValueError, RecursionError):
         return None
+    if "\\u" in text and _LONE.search(text) and not _storable(value):
+        return None
     kind_of = kinds(value)
     out: list[list] = [["", FIXED]]
 
     def fixed(s: str) -> None:
         out[-1][0] += s
 
-    def walk(v: Any, path: tuple, pad: str) -> None:
-        if isinstance(v, str):
+    # A stack of open containers instead of recursion: depth is bounded by memory only.
+    todo: list[tuple] = [("value", value, (), "")]
+    while todo:
+        what, v, path, pad = todo.pop()
+        if what == "text":
+            fixed(v)
+        elif isinstance(v, str):
             kind = kind_of(path)
             if kind == FIXED:
                 fixed(json.dumps(v, ensure_ascii=False))
@@ -93,19 +116,17 @@ def cut(text: str, indent: int | None, kinds) -> list[tuple[str, int]] | None:
             inner = pad if indent is None else pad + " " * indent
             gap, colon = ("", ":") if indent is None else ("\n" + inner, ": ")
             fixed(opening)
-            entries = v.items() if isinstance(v, dict) else enumerate(v)
-            for n, (key, item) in enumerate(entries):
-                fixed(("," if n else "") + gap)
-                if isinstance(v, dict):
-                    fixed(json.dumps(key, ensure_ascii=False) + colon)
-                walk(item, path + (key,), inner)
-            fixed(closing if indent is None else "\n" + pad + closing)
+            later: list[tuple] = []
+            for n, (key, item) in enumerate(v.items() if isinstance(v, dict) else enumerate(v)):
+                name = json.dumps(key, ensure_ascii=False) + colon if isinstance(v, dict) else ""
+                later.append(("text", ("," if n else "") + gap + name, (), ""))
+                later.append(("value", item, path + (key,), inner))
+            later.append(("text", closing if indent is None else "\n" + pad + closing, (), ""))
+            todo += reversed(later)
         elif isinstance(v, float):
             fixed(_number(v))
         else:
             fixed(json.dumps(v))
-
-    walk(value, (), "")
     return [(s, k) for s, k in out if s or k]
 
 

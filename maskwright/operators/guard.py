@@ -1,25 +1,21 @@
 """Usage limits and loop detection per client.
 
-``offered_load``, ``identical_runs`` judge what clients send; ``admit`` replays the
-exact admission, where refused requests do not count towards the limits.
+``offered_load`` and ``identical_runs`` measure what clients send; ``judge_usage`` makes
+a decision per request of both.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions import fixed_values as fixed
 from ..functions.text import estimate_tokens, prompt_hash
 from .ordered import micros, number_islands, sliding_totals, time_block
 
 WINDOW_SECONDS = 60
-_WINDOW_MS = WINDOW_SECONDS * 1000
 
 
 @dataclass(frozen=True)
@@ -67,199 +63,25 @@ def identical_runs(
     return runs.drop("_at").withColumn("looping", F.col("run_length") >= limits.identical_prompts)
 
 
-# --- exact admission -----------------------------------------------------------
-
-DECISION = T.StructType(
-    [
-        T.StructField("allowed", T.BooleanType()),
-        T.StructField("circuit_state", T.StringType()),
-        T.StructField("reason", T.StringType()),
-        T.StructField("retry_after", T.IntegerType()),
-        T.StructField("remaining", T.IntegerType()),
-    ]
-)
-
-
-class Admission:
-    """State of one client: admitted requests of the last minute, prompt run, breaker.
-
-    It never holds more than ``requests_per_minute`` entries.
-    """
-
-    def __init__(self, limits: Limits, state: dict | None = None):
-        self.limits = limits
-        state = state or {}
-        self.times: list[int] = list(state.get("times", ()))
-        self.tokens: list[int] = list(state.get("tokens", ()))
-        self.run: int = state.get("run", 0)
-        self.last_hash: str = state.get("last_hash", "")
-        self.last_ms: int = state.get("last_ms", 0)
-        self.circuit: str = state.get("circuit", "CLOSED")
-        self.opened_ms: int = state.get("opened_ms", 0)
-
-    def state(self) -> dict:
-        return {
-            "times": self.times, "tokens": self.tokens, "run": self.run, "last_hash": self.last_hash,
-            "last_ms": self.last_ms, "circuit": self.circuit, "opened_ms": self.opened_ms,
-        }
-
-    def refused_until(self) -> tuple[int, str] | None:
-        """The first millisecond at which the next request is not refused outright."""
-        if self.circuit == "OPEN":
-            return self.opened_ms + self.limits.cooldown_ms, "OPEN"
-        if len(self.times) >= self.limits.requests_per_minute:
-            return self.times[-self.limits.requests_per_minute] + _WINDOW_MS + 1, "RATE"
-        return None
-
-    def check(self, now: int, tokens: int, digest: str) -> tuple:
-        lim = self.limits
-        if self.circuit == "OPEN":
-            if now - self.opened_ms < lim.cooldown_ms:
-                wait = -((now - self.opened_ms - lim.cooldown_ms) // 1000)
-                return False, "OPEN", f"Agentic loop circuit breaker tripped. Cooling down for {wait}s.", wait, 0
-            self.circuit = "HALF_OPEN"
-        gone = sum(1 for t in self.times if t < now - _WINDOW_MS)
-        del self.times[:gone], self.tokens[:gone]
-        if len(self.times) >= lim.requests_per_minute:
-            wait = max(1, -((now - self.times[0] - _WINDOW_MS) // 1000))
-            return False, self.circuit, f"Rate limit exceeded ({lim.requests_per_minute} req/min).", wait, 0
-        left = max(0, lim.requests_per_minute - len(self.times))
-        if sum(self.tokens) + tokens > lim.tokens_per_minute:
-            return False, self.circuit, f"Token quota exceeded ({lim.tokens_per_minute} tokens/min).", 15, left
-        again = digest == self.last_hash and now - self.last_ms <= _WINDOW_MS
-        self.run = self.run + 1 if again else 1
-        self.last_hash, self.last_ms = digest, now
-        if self.run >= lim.identical_prompts:
-            self.circuit, self.opened_ms = "OPEN", now
-            reason = (
-                f"Runaway agentic loop detected: {lim.identical_prompts} identical consecutive requests."
-                " Circuit breaker OPEN."
-            )
-            return False, "OPEN", reason, -(-lim.cooldown_ms // 1000), 0
-        if self.circuit == "HALF_OPEN":
-            self.circuit = "CLOSED"
-        self.times.append(now)
-        self.tokens.append(tokens)
-        return True, self.circuit, None, None, max(0, lim.requests_per_minute - len(self.times))
-
-    def run_batch(self, ms: np.ndarray, tokens: np.ndarray, digests: np.ndarray) -> pd.DataFrame:
-        """Decide rows in time order. Stretches that are refused whatever they hold are
-        filled by array operations, so a flooding client costs little per row."""
-        n, lim = len(ms), self.limits
-        allowed, remaining = np.zeros(n, bool), np.zeros(n, np.int64)
-        circuit, reason = np.empty(n, object), np.empty(n, object)
-        retry = np.full(n, None, object)
-        i = 0
-        while i < n:
-            wall = self.refused_until()
-            j = int(np.searchsorted(ms[i:], wall[0], "left")) + i if wall else i
-            if j > i:
-                block = slice(i, j)
-                if wall[1] == "OPEN":
-                    wait = -((ms[block] - self.opened_ms - lim.cooldown_ms) // 1000)
-                    circuit[block] = "OPEN"
-                    reason[block] = [f"Agentic loop circuit breaker tripped. Cooling down for {w}s." for w in wait]
-                else:
-                    oldest = self.times[-lim.requests_per_minute]
-                    wait = np.maximum(1, -((ms[block] - oldest - _WINDOW_MS) // 1000))
-                    circuit[block] = self.circuit
-                    reason[block] = f"Rate limit exceeded ({lim.requests_per_minute} req/min)."
-                retry[block] = wait
-                i = j
-                continue
-            allowed[i], circuit[i], reason[i], retry[i], remaining[i] = self.check(
-                int(ms[i]), int(tokens[i]), digests[i]
-            )
-            i += 1
-        return pd.DataFrame(
-            {"allowed": allowed, "circuit_state": circuit, "reason": reason,
-             "retry_after": pd.array(retry, "Int32"), "remaining": remaining.astype("int32")}
-        )
-
-
-def _admit_partition(limits: Limits, key_cols: list[str], columns: list[str]):
-    """Walk a partition sorted by key and time; only the current key's state is held."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, machine = None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            keys = list(zip(*[pdf[c].tolist() for c in key_cols]))
-            cuts = [0] + [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]
-            pieces = []
-            for a, b in zip(cuts, cuts[1:]):
-                if keys[a] != current:
-                    current, machine = keys[a], Admission(limits)
-                pieces.append(
-                    machine.run_batch(
-                        pdf["_ms"].to_numpy()[a:b], pdf["_tokens"].to_numpy()[a:b], pdf["_hash"].to_numpy()[a:b]
-                    )
-                )
-            decided = pd.concat(pieces, ignore_index=True)
-            yield pd.concat([pdf[columns].reset_index(drop=True), decided], axis=1)
-
-    return run
-
-
-def admit(
-    df: DataFrame, client: str, ts: str, order: str, limits: Limits = Limits(), tokens: str = "tokens",
-    hash_col: str = "prompt_hash",
+def judge_usage(
+    df: DataFrame, client: str, ts: str, order: str, limits: Limits = Limits()
 ) -> DataFrame:
-    """Exact admission decisions, replayed in time order per client.
-
-    Input columns kept: ``client``, ``ts``, ``order``. A pause longer than the window
-    and the cooldown, ended by a request within the quota, leaves no trace of what
-    came before; clients are cut there, so one client spreads over many tasks. Inside
-    a task rows stream through in order and memory holds one minute of one client.
-    """
-    rows = df.select(
-        client, ts, order,
-        F.unix_millis(F.col(ts).cast("timestamp")).alias("_ms"),
-        F.col(tokens).cast("int").alias("_tokens"),
-        F.col(hash_col).alias("_hash"),
-    )
-    pause = max(_WINDOW_MS, limits.cooldown_ms)
-    if limits.identical_prompts >= 2:
-        cut = number_islands(
-            rows, [client], ["_ms", order], time_block(ts), ["_ms"],
-            lambda prev: F.col("_ms") - prev["_ms"] > pause, island="_stretch", position="_pos",
-        )
-        # A stretch that opens with a request over the quota belongs to the one before.
-        cut = _merge_over_quota(cut, client, order, limits)
-    else:
-        cut = rows.withColumn("_stretch", F.lit(0).cast("bigint"))
-    keys = [client, "_stretch"]
-    ordered = cut.repartition(*keys).sortWithinPartitions(*keys, "_ms", order)
-    kept = [client, ts, order]
-    schema = T.StructType([df.schema[c] for c in kept] + DECISION.fields)
-    return ordered.mapInPandas(_admit_partition(limits, keys, kept), schema)
-
-
-def _merge_over_quota(cut: DataFrame, client: str, order: str, limits: Limits) -> DataFrame:
-    """Renumber stretches so that each begins with a request within the quota.
+    """Add ``allowed``, ``circuit_state`` and ``reason`` to rows with ``with_usage``.
 
-    Stretches whose first request alone exceeds the quota are rare; only their
-    numbers travel.
+    A row is refused if its client repeats itself too often or offered too much in the
+    trailing minute. All offered requests count, refused ones too, so a decision is a
+    sliding sum and needs no replay of earlier decisions. A null reason means allowed.
     """
-    from pyspark.sql import Window
-
-    heads = cut.filter((F.col("_pos") == 1) & (F.col("_tokens") > limits.tokens_per_minute)).select(
-        F.col(client).alias("_c"), F.col("_stretch").alias("_s")
-    )
-    # Consecutive numbers form one group that joins the stretch before it.
-    in_row = Window.partitionBy("_c").orderBy("_s")
-    merged = heads.withColumn("_run", F.col("_s") - F.row_number().over(in_row)).withColumn(
-        "_to", F.min("_s").over(Window.partitionBy("_c", "_run")) - 1
+    load = offered_load(df, client, ts, limits)
+    judged = identical_runs(load, client, ts, order, limits)
+    reason = (
+        F.when(F.col("looping"), F.lit(fixed.LOOP_REASON.format(limits.identical_prompts)))
+        .when(F.col("over_rate"), F.lit(fixed.RATE_REASON.format(limits.requests_per_minute)))
+        .when(F.col("over_quota"), F.lit(fixed.QUOTA_REASON.format(limits.tokens_per_minute)))
     )
-    return (
-        cut.join(
-            merged.select("_c", "_s", "_to"),
-            F.col(client).eqNullSafe(F.col("_c")) & (F.col("_stretch") == F.col("_s")),
-            "left",
-        )
-        .withColumn("_stretch", F.coalesce("_to", "_stretch"))
-        .drop("_c", "_s", "_to", "_pos")
+    return judged.select(
+        *df.columns, reason.isNull().alias("allowed"),
+        F.when(F.col("looping"), "OPEN").otherwise("CLOSED").alias("circuit_state"), reason.alias("reason"),
     )
 
 

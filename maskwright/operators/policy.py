@@ -136,17 +136,22 @@ def decision(fields: dict[str, Column], rules: Sequence[PolicyRule], default: st
 
 
 def decide(
-    requests: DataFrame, rules: Sequence[PolicyRule] | DataFrame, default: str = "CLOAK", out: str = "decision",
+    requests: DataFrame, rules: Sequence[PolicyRule] | DataFrame, default: str | None = None, out: str = "decision",
     **columns: str,
 ) -> DataFrame:
     """Add a decision per request.
 
     Reads ``department``, ``role``, ``provider``, ``model``, ``risk_score`` and
     ``entity_types``; a missing column counts as absent. Keyword arguments rename
-    them, for example ``department="c_mktsegment"``.
+    them, for example ``department="c_mktsegment"``. ``default`` is the action where no rule
+    says one: by default that of a loaded policy table, else ``CLOAK``.
     """
     if isinstance(rules, DataFrame):
+        if default is None and "default_action" in rules.columns:
+            first = rules.select("default_action").first()
+            default = first[0] if first else None
         rules = rules_from_table(rules)
+    default = default or "CLOAK"
     kinds = {"entity_types": "array<string>", "risk_score": "int"}
     fields = {}
     for name in ("department", "role", "provider", "model", "risk_score", "entity_types"):

@@ -93,10 +93,14 @@ def spans_from_reply(text, reply, source: str = "model") -> Column:
 
 
 def score_entities(
-    df: DataFrame, text_col: str, fn: Callable[[pd.Series], list], out: str = "model_spans", source: str = "model"
+    df: DataFrame, text_col: str, fn: Callable[[pd.Series], list], out: str = "model_spans", source: str = "model",
+    failed: str = "model_failed",
 ) -> DataFrame:
     """Add spans from ``fn``, which maps a batch of texts to lists of
-    ``{label, word, start, end, score}``. A failing batch gives no entities."""
+    ``{label, word, start, end, score}``. If a batch fails, its texts are
+    tried one by one; a text that fails by itself has no entities and ``failed`` is true."""
+
+    df_type = "array<struct<label: string, word: string, start: int, end: int, score: double>>"
 
     @F.pandas_udf(T.ArrayType(T.StructType([
         T.StructField("label", T.StringType()), T.StructField("word", T.StringType()),
@@ -105,14 +109,22 @@ def score_entities(
     ])))
     def call(texts: pd.Series) -> pd.Series:
         fields = ("label", "word", "start", "end", "score")
+        pick = lambda replies: [[{k: item.get(k) for k in fields} for item in reply] for reply in replies]
+        try:
+            return pd.Series(pick(fn(texts)), dtype=object)
+        except Exception:
+            return pd.Series([one(texts.iloc[i : i + 1], pick) for i in range(len(texts))], dtype=object)
+
+    def one(text: pd.Series, pick):
         try:
-            replies = fn(texts)
-            return pd.Series([[{k: item.get(k) for k in fields} for item in reply] for reply in replies], dtype=object)
+            return pick(fn(text))[0]
         except Exception:
-            return pd.Series([[] for _ in texts], dtype=object)
+            return None
 
     return (
         df.withColumn("_scored", call(text_col))
+        .withColumn(failed, F.col("_scored").isNull())
+        .withColumn("_scored", F.coalesce("_scored", F.array().cast(df_type)))
         .withColumn(out, spans_from_scores(text_col, "_scored", source))
         .drop("_scored")
     )

@@ -22,9 +22,6 @@ from .ordered import default_block, ordered_rank
 from .spans import explode_spans, find_spans, make_span, metadata, no_spans, overlaps, replace_spans
 
 WORD = r"\p{L}\p{N}_"
-# A session with more known values than this is matched through a join on word
-# sequences instead of an array per session.
-MAX_VALUES_PER_SESSION = 500
 _GRAM = 4
 
 
@@ -159,9 +156,19 @@ def _type_in(type_: Column, types) -> Column:
     return type_.isin(*types) if types else F.lit(False)
 
 
+# Upper-case letters whose lower case is that of another upper-case letter.
+_TWICE, _ONCE = "\u0130\u212a\u212b\u2126\u03f4", "IK\u00c5\u03a9\u0398"
+
+
+def fold(value: Column) -> Column:
+    """One spelling for all that a case-insensitive pattern takes as equal, dotless i and long
+    s included: such letters share an upper case, or their lower case."""
+    return F.replace(F.translate(F.upper(value), _TWICE, _ONCE), F.lit("\u1e9e"), F.lit("SS"))
+
+
 def leading_gram(value) -> Column:
-    """``struct(gram, size)``: up to four leading words of a value, lower case."""
-    words = F.slice(F.regexp_extract_all(F.lower(as_column(value)), F.lit(f"[{WORD}]+"), F.lit(0)), 1, _GRAM)
+    """``struct(gram, size)``: up to four leading words of a value, folded."""
+    words = F.slice(F.transform(F.regexp_extract_all(as_column(value), F.lit(f"[{WORD}]+"), F.lit(0)), fold), 1, _GRAM)
     return let(words, lambda w: F.struct(F.array_join(w, " ").alias("gram"), F.size(w).alias("size")))
 
 
@@ -171,7 +178,7 @@ def gram_sizes(grams: DataFrame, size: str) -> list[int]:
 
 
 def word_grams(text: Column, sizes: Sequence[int]) -> Column:
-    """Distinct sequences of so many neighbouring words, lower case. Size 0 stands for
+    """Distinct sequences of so many neighbouring words, folded. Size 0 stands for
     values without any word and gives one empty sequence."""
     words = F.regexp_extract_all(text, F.lit(f"[{WORD}]+"), F.lit(0))
 
@@ -184,7 +191,7 @@ def word_grams(text: Column, sizes: Sequence[int]) -> Column:
         found = F.when(F.size(all_words) > 0, found).otherwise(F.array().cast("array<string>"))
         return F.concat(F.array(F.lit("")), found) if 0 in sizes else found
 
-    return let(F.transform(words, lambda w: F.lower(w)), grams)
+    return let(F.transform(words, fold), grams)
 
 
 def _gram_at(words: Column, size: int):
@@ -194,49 +201,29 @@ def _gram_at(words: Column, size: int):
 
 
 def _known_values(
-    texts: DataFrame, detected: DataFrame, vault: DataFrame, session_cols: Sequence[str], keys: Sequence[str],
-    max_values: int,
+    texts: DataFrame, detected: DataFrame, vault: DataFrame, session_cols: Sequence[str], keys: Sequence[str]
 ) -> DataFrame:
     """``texts`` with ``known``: the vault entries that can occur in each text.
 
-    Sessions with few values get their whole vault as an array. Larger sessions are
-    matched by words: a value is found through its first four words, so a text
-    meets only values it may contain, and no group grows with the session.
+    A value is found through its first four words, folded as the locating pattern
+    folds case, so a text meets only values it may contain, sessions of any size are
+    matched in the same way, and no group grows with the session.
     """
     session_cols, keys = list(session_cols), list(keys)
-    sizes = vault.groupBy(*session_cols).agg(F.count(F.lit(1)).alias("_values"))
     entry = F.struct("type", "lookup_key", "placeholder", "original_value", "seq", "first_pos")
-    small = (
-        vault.join(sizes.filter(F.col("_values") <= max_values), session_cols, "left_semi")
-        .groupBy(*session_cols)
-        .agg(F.collect_list(entry).alias("known"))
-    )
-    joined = texts.join(small, session_cols, "left")
-    large_sessions = sizes.filter(F.col("_values") > max_values).select(*session_cols)
-    if large_sessions.isEmpty():
-        return joined
-    large_vault = vault.join(large_sessions, session_cols, "left_semi")
-    leading = leading_gram("lookup_key")
-    sizes_used = gram_sizes(large_vault.select(leading["size"].alias("n")), "n")
-    by_gram = large_vault.select(*session_cols, leading["gram"].alias("_gram"), entry.alias("_entry"))
-    large_texts = texts.join(large_sessions, session_cols, "left_semi")
-    text_grams = large_texts.select(
-        *keys, F.explode(word_grams(F.col("_text"), sizes_used)).alias("_gram")
-    )
+    leading = leading_gram("original_value")
+    sizes_used = gram_sizes(vault.select(leading["size"].alias("n")), "n")
+    by_gram = vault.select(*session_cols, leading["gram"].alias("_gram"), entry.alias("_entry"))
+    text_grams = texts.select(*keys, F.explode(word_grams(F.col("_text"), sizes_used)).alias("_gram"))
     mentioned = text_grams.join(by_gram, [*session_cols, "_gram"]).select(*keys, "_entry")
     own = (
-        detected.join(large_sessions, session_cols, "left_semi")
-        .select(*keys, "type", lookup_key("value").alias("lookup_key"))
+        detected.select(*keys, "type", lookup_key("value").alias("lookup_key"))
         .distinct()
-        .join(large_vault.select(*session_cols, "type", "lookup_key", entry.alias("_entry")), [*session_cols, "type", "lookup_key"])
+        .join(vault.select(*session_cols, "type", "lookup_key", entry.alias("_entry")), [*session_cols, "type", "lookup_key"])
         .select(*keys, "_entry")
     )
-    per_text = mentioned.unionByName(own).groupBy(*keys).agg(F.collect_set("_entry").alias("_listed"))
-    return (
-        joined.join(per_text, keys, "left")
-        .withColumn("known", F.coalesce("known", "_listed"))
-        .drop("_listed")
-    )
+    per_text = mentioned.unionByName(own).groupBy(*keys).agg(F.collect_set("_entry").alias("known"))
+    return texts.join(per_text, keys, "left")
 
 
 def _all_spans(own: Column, known: Column, text: Column, allow) -> Column:
@@ -307,13 +294,14 @@ def anonymize(
     detectors: DetectorSet | None = None,
     two_pass: bool = True,
     block: Column | None = None,
-    max_values_per_session: int = MAX_VALUES_PER_SESSION,
+    spans_col: str | None = None,
 ) -> Anonymized:
     """Replace entities by placeholders, one vault per session.
 
     ``session_cols`` and ``order_cols`` together identify a row. ``allow`` types stay
     as they are, ``redact`` types become ``[REDACTED_TYPE]`` and never enter the
-    vault; both may be array columns of ``df``. ``action='REDACT'`` redacts whatever
+    vault; both may be array columns of ``df``. ``spans_col`` names a column of spans found
+    before, which are then used instead of a search. ``action='REDACT'`` redacts whatever
     is not allowed. ``vault`` continues an earlier vault. With ``two_pass=False``
     a text only knows values from itself and from earlier texts.
     """
@@ -332,16 +320,16 @@ def anonymize(
     allowed = lambda t: _type_in(t, allow_types)
     redacted = (lambda t: ~allowed(t)) if action == "REDACT" else (lambda t: _type_in(t, redact_types))
 
-    found = find_entities("_text", detectors=detectors)
+    found = F.col(spans_col) if spans_col else find_entities("_text", detectors=detectors)
     staged = stage(prepared.withColumn("_own", found))
     keep = [*keys] + [c for c in ("_allow", "_redact") if c in staged.columns]
     spans = explode_spans(staged.select(*keep, "_own"), "_own")
     actionable = spans.filter(~allowed(F.col("type")) & ~redacted(F.col("type")))
     built = build_vault(actionable, session_cols, order_cols, prior=vault, block=block)
-    # The vault feeds the size test, the arrays and the caller: write it once.
+    # The vault feeds the joins and the caller: write it once.
     built = stage(built)
 
-    joined = _known_values(staged, actionable, built, session_cols, keys, max_values_per_session)
+    joined = _known_values(staged, actionable, built, session_cols, keys)
     known = F.coalesce(F.col("known"), F.array())
     if not two_pass:
         here = F.struct(*[F.col(c) for c in order_cols], F.lit(2147483647).alias("start"))
@@ -393,9 +381,11 @@ _PLACEHOLDER = java_pattern(fixed.PLACEHOLDER)
 
 
 def fill_placeholders(text: Column, originals: Column) -> Column:
-    """Replace placeholders that are keys of a map; others stay."""
-    parts = F.split(F.regexp_replace(text, _PLACEHOLDER, "\x01$0\x01"), "\x01", -1)
-    filled = F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at(originals, p), p)).otherwise(p))
+    """Replace placeholders that are keys of a map; others stay. No mark enters the text:
+    what lies between placeholders and the placeholders themselves are cut out apart."""
+    between = F.split(text, _PLACEHOLDER, -1)
+    found = F.concat(F.regexp_extract_all(text, F.lit(_PLACEHOLDER), F.lit(0)), F.array(F.lit("")))
+    filled = F.zip_with(between, found, lambda b, p: F.concat(b, F.coalesce(F.try_element_at(originals, p), p)))
     return F.when(F.coalesce(F.size(originals), F.lit(0)) > 0, F.array_join(filled, "")).otherwise(text)
 
 

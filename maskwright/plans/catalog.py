@@ -62,10 +62,10 @@ def seeded(spark: SparkSession, sf: str, sql: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Detection is CPU work: a small file that gives fewer splits than cores is dealt
-    out to all of them. Large inputs have many splits and pass through."""
+    """Detection is CPU work: a table of fewer files than cores is dealt out to all of
+    them. A table of many files passes through."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
 
 
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
@@ -574,11 +574,6 @@ def identical_runs(spark, sf):
     )
 
 
-@query("admission_exact")
-def admission_exact(spark, sf):
-    return G.admit(requests(spark, sf, "topic"), "client", "asked_at", "event_id", LIMITS)
-
-
 # --- documents and messages ----------------------------------------------------
 
 
@@ -813,7 +808,7 @@ def _run_stream(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
-@query("stream_restore", "SELECT conv_id, turn, md5(text || ' Bonjour ' || c_name || '.') AS digest FROM conversations JOIN customer ON c_custkey = conv_id")
+@query("stream_restore", "SELECT conv_id, turn, md5(text || ' Bonjour ' || coalesce(c_name, '[PERSON_' || conv_id || ']') || '.') AS digest FROM conversations LEFT JOIN customer ON c_custkey = conv_id")
 def stream_restore(spark, sf):
     """Turns arrive in chunks of nine characters; the vault names customers."""
     from ..streaming.chunks import realign_chunks
@@ -836,19 +831,7 @@ def stream_restore(spark, sf):
         F.col("c_name").alias("original_value"), F.col("c_custkey").alias("seq"),
     )
     back = restore(replies, vault, "reply", ["conv_id"], ["turn"])
-    known = back.join(vault.select("conv_id"), "conv_id", "left_semi")
-    return known.select("conv_id", "turn", F.md5("restored").alias("digest"))
-
-
-@query("stream_admission")
-def stream_admission(spark, sf):
-    """The stream decides what the batch replay decides."""
-    from ..streaming.clients import admit_stream
-
-    _stream(spark, sf, "events").createOrReplaceTempView("mw_events_stream")
-    rows = spark.sql(S.REQUESTS.replace("FROM events", "FROM mw_events_stream"))
-    usage = G.with_usage(rows, "topic").select("event_id", "client", "asked_at", "tokens", "prompt_hash")
-    return _run_stream(admit_stream(usage, "client", "asked_at", "event_id", LIMITS), "admission")
+    return back.select("conv_id", "turn", F.md5("restored").alias("digest"))
 
 
 # --- sources, rules, lookups ---------------------------------------------------

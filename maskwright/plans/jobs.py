@@ -16,7 +16,7 @@ from ..operators.compliance import compliance_summary
 from ..operators.detectors import DetectorSet, find_entities
 from ..operators.documents import rewrite_pieces
 from ..operators.firewall import Rule, score_prompts
-from ..operators.guard import Limits, admit, with_usage
+from ..operators.guard import Limits, judge_usage, with_usage
 from ..operators.leaks import check_responses
 from ..operators.policy import PolicyRule, decide
 from ..operators.spans import type_counts
@@ -52,7 +52,7 @@ def gate_requests(
     detection result is written once and feeds policy, counts and rewriting.
     """
     usage = with_usage(requests.select("request_id", "client", "ts", "prompt"), "prompt").drop("prompt")
-    verdicts = admit(usage, "client", "ts", "request_id", limits).select(
+    verdicts = judge_usage(usage, "client", "ts", "request_id", limits).select(
         "request_id", "allowed", "circuit_state", F.col("reason").alias("_limit_reason")
     )
     judged = requests.join(verdicts, "request_id")
@@ -89,7 +89,7 @@ def gate_requests(
             "system_note", F.concat(F.lit(before), token, F.lit(after))
         )
     done = anonymize(
-        passed, "prompt", ["session_id"], [turn or "ts", "request_id"],
+        passed, "prompt", ["session_id"], [turn or "ts", "request_id"], spans_col="_found",
         redact=F.col("decision.redact_types"), allow=F.col("decision.allow_types"), detectors=detectors, vault=vault,
     )
     outbound = stage(done.rewritten.drop("_found", "_types", "_limit_reason", "refused_by", "refusal"))

@@ -1,4 +1,4 @@
-"""Streaming admission, session vaults and windowed counts."""
+"""Session vaults and windowed counts on streams."""
 
 from __future__ import annotations
 
@@ -9,78 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import lookup_key, trim_all
-from ..operators.guard import DECISION, Admission, Limits
-
-_STATE = T.StructType(
-    [
-        T.StructField("times", T.ArrayType(T.LongType())),
-        T.StructField("tokens", T.ArrayType(T.IntegerType())),
-        T.StructField("run", T.IntegerType()),
-        T.StructField("last_hash", T.StringType()),
-        T.StructField("last_ms", T.LongType()),
-        T.StructField("circuit", T.StringType()),
-        T.StructField("opened_ms", T.LongType()),
-        T.StructField("newest_ms", T.LongType()),
-    ]
-)
-
-
-def _admit_group(limits: Limits, order: str, columns: list[str], names: list[str], idle_ms: int | None):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["_ms", order], kind="stable").reset_index(drop=True)
-        stored = dict(zip(_STATE.names, state.get)) if state.exists else {"newest_ms": None}
-        newest = stored.pop("newest_ms")
-        machine = Admission(limits, stored if state.exists else None)
-        late = rows["_ms"] < newest if newest is not None else pd.Series(False, index=rows.index)
-        due = rows[~late]
-        decided = machine.run_batch(due["_ms"].to_numpy(), due["_tokens"].to_numpy(), due["_hash"].to_numpy())
-        decided.index = due.index
-        out = pd.concat([rows[columns], decided.reindex(rows.index)], axis=1)
-        out["late"] = late
-        for name in ("retry_after", "remaining"):
-            out[name] = out[name].astype("Int32")
-        out["allowed"] = out["allowed"].astype("boolean")
-        if len(due):
-            newest = int(due["_ms"].iloc[-1])
-        kept = machine.state()
-        state.update(tuple(kept[n] if n in kept else newest for n in _STATE.names))
-        if idle_ms is not None:
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
-        yield out[names]
-
-    return run
-
-
-def admit_stream(
-    df: DataFrame, client: str, ts: str, order: str, limits: Limits = Limits(), tokens: str = "tokens",
-    hash_col: str = "prompt_hash", idle_ms: int | None = None,
-) -> DataFrame:
-    """Exact admission on a stream. State is one minute of admitted requests per client.
-
-    A row older than its client's newest decided row comes too late to be judged: it
-    passes with ``late`` and without a decision, so late rows can be counted. With
-    ``idle_ms`` (and a watermark on ``ts``) the state of an idle client is dropped, and
-    rows behind the watermark are dropped by Spark.
-    """
-    rows = df.select(
-        client, ts, order,
-        F.unix_millis(F.col(ts).cast("timestamp")).alias("_ms"),
-        F.col(tokens).cast("int").alias("_tokens"),
-        F.col(hash_col).alias("_hash"),
-    )
-    columns = [client, ts, order]
-    out = T.StructType([df.schema[c] for c in columns] + DECISION.fields + [T.StructField("late", T.BooleanType())])
-    return rows.groupBy(client).applyInPandasWithState(
-        _admit_group(limits, order, columns, out.names, idle_ms), out, _STATE, "append",
-        GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.EventTimeTimeout,
-    )
-
 
 def _plain(row) -> object:
     return row[0] if isinstance(row, tuple) else row

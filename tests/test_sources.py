@@ -108,7 +108,12 @@ def test_scored(spark):
 
     spans = score_entities(df, "text", fn).first()["model_spans"]
     assert [(s["type"], s["value"], s["start"], s["confidence"]) for s in spans] == [("PERSON", "Jean Dupont", 9, 0.9), ("ORGANIZATION", "Acme", 26, 0.9)]
-    assert score_entities(df, "text", lambda t: 1 / 0).first()["model_spans"] == []
+    failed = score_entities(df, "text", lambda t: 1 / 0).first()
+    assert failed["model_spans"] == [] and failed["model_failed"]
+    two = spark.createDataFrame([("bad Ann",), ("good Ann",)], "text string").coalesce(1)
+    picky = lambda texts: [[{"label": "PER", "word": "Ann", "start": t.index("Ann"), "end": len(t)}] if "bad" not in t else 1 / 0 for t in texts]
+    rows = {r["text"]: r for r in score_entities(two, "text", picky).collect()}
+    assert len(rows["good Ann"]["model_spans"]) == 1 and not rows["good Ann"]["model_failed"] and rows["bad Ann"]["model_failed"]
     for reply in ('```json\n{"entities": [{"type": "person", "value": " jean dupont "}]}\n```', 'Sure: [{"type":"X","value":"Jean Dupont"}] ok', '[{"value": "Jean Dupont"}, {"value": "J"}]'):
         row = df.withColumn("r", F.lit(reply)).select(spans_from_reply("text", "r").alias("s")).first()["s"]
         assert [(s["type"], s["value"]) for s in row] == [("PERSON", "Jean Dupont")]
@@ -116,6 +121,24 @@ def test_scored(spark):
     assert [s["start"] for s in df.select(occurrences("text", "jean", "PERSON", 0.9).alias("s")).first()["s"]] == [9, 36]
 
 
+def test_json_that_cannot_be_text(spark):
+    from maskwright.functions.json_text import document_pieces
+
+    deep = "[" * 3000 + '"a"' + "]" * 3000
+    df = spark.createDataFrame([('{"a":"\\ud800 a@b.com"}',), (deep,), ('{"a":"\\ud83d\\ude00","b":[1,{"c":"x"}]}',)], "t string")
+    got = [r[0] for r in df.select(document_pieces("t")).collect()]
+    assert got[0] is None and [p["text"] for p in got[2] if p["kind"]] == ["\U0001f600", "x"]
+
+
+def test_policy_default(spark):
+    from maskwright.operators.policy import decide
+    from maskwright.sources.config import parse_policy
+
+    rules = parse_policy(spark.createDataFrame([('{"defaultAction":"BLOCK","rules":[{"id":"r","action":"ALLOW","match":{"role":"x"}}]}',)], "value string"))
+    asked = spark.createDataFrame([("y",), ("x",)], "role string")
+    assert {r["role"]: r["decision"]["action"] for r in decide(asked, rules).collect()} == {"y": "BLOCK", "x": "ALLOW"}
+
+
 def test_large_dictionary(spark):
     terms = spark.createDataFrame([("d", "PROJECT", "Project Apollo", False), ("d", "PROJECT", "apollo", False), ("c", "CUSTOM", "RedAlert", True),
                                    ("d", "PROJECT", "C++", False), ("d", "PROJECT", "a b c d e f", False), ("s", "CUSTOM", "@@", False)],

@@ -8,7 +8,7 @@ from maskwright.operators.canary import mint_canaries
 from maskwright.operators.policy import PolicyRule
 from maskwright.plans.jobs import check_responses_job, gate_requests, preview
 from maskwright.streaming.chunks import held_length, realign_chunks, restore_stream
-from maskwright.streaming.clients import admit_stream, offered_windows, vault_stream, window_counts
+from maskwright.streaming.clients import offered_windows, vault_stream, window_counts
 
 
 def run(spark, tmp_path, batches, schema, build, name):
@@ -69,23 +69,6 @@ def test_restore_stream(spark, tmp_path):
     assert rows == {0: "Hello ", 1: "Ann, your key is [REDACTED_SECRET]."}
 
 
-def test_admission_stream_equals_batch(spark, tmp_path):
-    r = random.Random(2)
-    ms, rows = 0, []
-    for i in range(150):
-        ms += r.choice([1, 50, 700, 20_000, 70_000])
-        rows.append((r.choice("ab"), i, ms, r.choice(["x", "x", "y"])))
-    limits = guard.Limits(requests_per_minute=4)
-    shape = lambda df: guard.with_usage(df.withColumn("ts", F.timestamp_millis("ms")), "prompt")
-    schema = "client string, i long, ms long, prompt string"
-    late = [("a", 999, 0, "x")]
-    got = run(spark, tmp_path, [rows[:60], rows[60:100], rows[100:], late], schema, lambda s: admit_stream(shape(s), "client", "ts", "i", limits), "adm")
-    batch = guard.admit(shape(spark.createDataFrame(rows, schema)), "client", "ts", "i", limits)
-    assert got.filter("late").count() == 1
-    cols = batch.columns
-    assert got.filter("NOT late").select(*cols).exceptAll(batch.select(*cols)).count() == 0 and got.count() == 151
-
-
 def test_session_vault_stream(spark, tmp_path):
     old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")

@@ -27,6 +27,8 @@ from maskwright.llm.tokens import WordEncoder, default_tokenizer
 END_ID = 1
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 18
+#: Words that a worker's encoder remembers, a few hundred bytes each.
+ENCODER_WORDS = 800_000
 SEGMENT = (
     "part int, first_token long, n_tokens long, doc_ids array<long>, starts array<long>, "
     "levels array<struct<chunks: binary, more: binary, ranks: binary>>"
@@ -97,7 +99,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, segmen
     arrow = _arrow_schema(docs.sparkSession, SEGMENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder = TaskContext.get().partitionId(), WordEncoder.shared(tokenizer)
+        part, encoder = TaskContext.get().partitionId(), WordEncoder.shared(tokenizer, ENCODER_WORDS)
         first, held, doc_ids, starts, size = 0, [], [], [], 0
 
         def close() -> pa.RecordBatch:

@@ -36,7 +36,7 @@ class WordEncoder:
     whole tokenizer. The memory is emptied at ``most`` words.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -53,16 +53,14 @@ class WordEncoder:
         self._forget()
 
     @classmethod
-    def shared(cls, path: str) -> WordEncoder:
+    def shared(cls, path: str, most: int = 300_000) -> WordEncoder:
         """One encoder per worker process, kept with the library so that later tasks find it."""
         import tokenizers
 
-        return tokenizers.__dict__.setdefault("_word_encoders", {}).setdefault(path, None) or cls._share(tokenizers, path)
-
-    @classmethod
-    def _share(cls, tokenizers, path: str) -> WordEncoder:
-        tokenizers.__dict__["_word_encoders"][path] = made = cls(path)
-        return made
+        made = tokenizers.__dict__.setdefault("_word_encoders", {})
+        if (path, most) not in made:
+            made[path, most] = cls(path, most)
+        return made[path, most]
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {"": 0}

@@ -107,7 +107,9 @@ def learn(docs: DataFrame, chars: int = SAMPLE_CHARS) -> dict:
             taken.setdefault(r["lang"], []).append(r["doc_id"])
             used[r["lang"]] = used.get(r["lang"], 0) + r["size"]
     wanted = [i for ids in taken.values() for i in ids if i is not None]
-    rows = docs.filter(F.col("doc_id").isin(wanted)).select("doc_id", "lang", "text").collect() if wanted else []
+    # one text per id and language, so that the bound holds where ids repeat
+    one = docs.filter(F.col("doc_id").isin(wanted) & (size > 0)).groupBy("doc_id", "lang").agg(F.min(F.struct(size.alias("size"), "text"))["text"].alias("text"))
+    rows = one.collect() if wanted else []
     parts: dict[str, list[str]] = {lang: [] for lang in sorted(taken)}
     for r in sorted(rows, key=lambda r: (r["lang"] or "", r["doc_id"], r["text"] or "")):
         if r["lang"] in parts and r["doc_id"] in taken[r["lang"]] and r["text"]:

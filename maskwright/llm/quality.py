@@ -149,7 +149,9 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> dict:
     share, table = accuracies(counted)
     chosen = every.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("votes").alias("votes"))
     chosen = chosen.orderBy(hash_order(7, "_id"), "_id").limit(rows)
-    few = id_and_bytes(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "votes")
+    # one text per id, so that the bound holds where ids repeat
+    few = id_and_bytes(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    few = few.groupBy("_id").agg(F.min("text").alias("text"), F.min("votes").alias("votes"))
 
     def describe(batch: pa.RecordBatch) -> dict:
         found = [features(t) for t in texts(batch.column("text"))]

@@ -69,7 +69,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict:
     Without labels of both classes the model says 0 for all texts.
     """
     chosen = sample(labels, rows)
-    texts_of = id_and_bytes(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "toxic", "share")
+    # one text per id, so that the bound holds where ids repeat
+    found = id_and_bytes(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    texts_of = found.groupBy("_id").agg(*[F.min(c).alias(c) for c in ("text", "toxic", "share")])
 
     def features(batch: pa.RecordBatch) -> dict:
         found = [np.unique(buckets(t)).astype("<i4").tobytes() for t in texts(batch.column("text"))]

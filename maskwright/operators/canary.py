@@ -12,8 +12,6 @@ from ..functions import fixed_values as fixed
 from ..functions.crypto import hmac_sha256
 from ..functions.text import as_column, java_pattern, let
 
-MAX_ACTIVE = 5000
-
 
 def clean_label(label) -> Column:
     text = F.lit(label) if isinstance(label, str) else label
@@ -50,9 +48,12 @@ def mint_canaries(df: DataFrame, id_col: str, secret: str, label="HONEY", salt:
     )
 
 
-def bounded_registry(registry: DataFrame, minted_at: str = "minted_at", limit: int = MAX_ACTIVE) -> DataFrame:
-    """The newest tokens; the oldest make room."""
-    return registry.orderBy(F.col(minted_at).desc(), F.col("token").desc()).limit(limit)
+def active_registry(registry: DataFrame, now, days: int | None = None, minted_at: str = "minted_at") -> DataFrame:
+    """Tokens minted up to ``now`` and at most so many ``days`` before it; without ``days``, all of
+    them. The registry is a table and takes any number of tokens."""
+    at, now = F.col(minted_at).cast("timestamp"), F.lit(now).cast("timestamp")
+    fresh = at >= now - F.make_dt_interval(F.lit(days)) if days is not None else F.lit(True)
+    return registry.filter((at <= now) & fresh)
 
 
 def inject_canaries(

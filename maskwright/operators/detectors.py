@@ -451,8 +451,8 @@ def user_rules(g: Gates, dictionaries: Sequence[Dictionary], patterns: Sequence[
     """Dictionary terms and patterns, longest first.
 
     Each term is looked for by itself, so a short term that begins earlier cannot
-    hide a longer one. For lists beyond a few hundred terms use
-    :func:`maskwright.operators.dictionary.dictionary_spans`, a join.
+    hide a longer one. For lists beyond a few hundred terms give the table to
+    ``anonymize(terms=…)`` or :func:`maskwright.operators.dictionary.dictionary_spans`, a join.
     """
     found = []
     for d in dictionaries:
@@ -555,6 +555,11 @@ class DetectorSet:
             arrays.append(_ranked(spans, rank))
         return F.concat(*arrays) if arrays else no_spans()
 
+    def find_with(self, text, extra: Column) -> Column:
+        """Resolved spans of a text column and of spans found elsewhere, which rank last."""
+        more = _ranked(extra, len(self.detectors))
+        return detect(text, lambda g: resolve_overlaps(F.concat(self.raw(g), more)))
+
     def find(self, text) -> Column:
         """Resolved spans of a text column.
 

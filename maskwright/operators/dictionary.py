@@ -19,7 +19,7 @@ def dictionary_spans(
 
     ``terms``: ``(dict_name, type, term, case_sensitive)``. A text meets only terms
     whose first four words occur in it as a sequence, whatever the size of the list;
-    those are then located exactly. Terms without any word meet every text.
+    those are then located exactly. Terms without any word go by their first two characters.
     """
     keys = list(keys)
     leading = leading_gram("term")

@@ -32,11 +32,12 @@ class PolicyRule:
     reason: str | None = None
 
 
-def rules_from_table(rules: DataFrame) -> list[PolicyRule]:
-    """Rules of a loaded policy table, in ``rule_idx`` order."""
-    rows = rules.orderBy("rule_idx").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a policy may have at most {MAX_RULES} rules")
+def rules_from_table(rules: DataFrame, most: int = MAX_RULES) -> list[PolicyRule]:
+    """Rules of a loaded policy table, in ``rule_idx`` order. A policy is configuration: one of
+    more than ``most`` rules is refused, never cut."""
+    rows = rules.orderBy("rule_idx").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a policy may have at most {most} rules")
     as_tuple = lambda v: None if v is None else tuple(v)
     return [
         PolicyRule(

@@ -19,7 +19,7 @@ from ..functions.text import as_column, java_pattern, let, lookup_key, quote_pat
 from ..sources.staging import stage
 from .detectors import DetectorSet, find_entities
 from .ordered import default_block, ordered_rank
-from .spans import explode_spans, find_spans, make_span, metadata, no_spans, overlaps, replace_spans
+from .spans import explode_spans, make_span, metadata, no_spans, overlaps, replace_spans, resolve_overlaps
 
 WORD = r"\p{L}\p{N}_"
 _GRAM = 4
@@ -167,9 +167,17 @@ def fold(value: Column) -> Column:
 
 
 def leading_gram(value) -> Column:
-    """``struct(gram, size)``: up to four leading words of a value, folded."""
-    words = F.slice(F.transform(F.regexp_extract_all(as_column(value), F.lit(f"[{WORD}]+"), F.lit(0)), fold), 1, _GRAM)
-    return let(words, lambda w: F.struct(F.array_join(w, " ").alias("gram"), F.size(w).alias("size")))
+    """``struct(gram, size)``: up to four leading words of a value, folded. A value without
+    any word has size 0 and goes by its first two characters."""
+    value = as_column(value)
+    words = F.slice(F.transform(F.regexp_extract_all(value, F.lit(f"[{WORD}]+"), F.lit(0)), fold), 1, _GRAM)
+    signs = F.concat(F.lit("\x02"), F.substring(fold(value), 1, 2))
+    return let(
+        words,
+        lambda w: F.struct(
+            F.when(F.size(w) > 0, F.array_join(w, " ")).otherwise(signs).alias("gram"), F.size(w).alias("size")
+        ),
+    )
 
 
 def gram_sizes(grams: DataFrame, size: str) -> list[int]:
@@ -179,7 +187,7 @@ def gram_sizes(grams: DataFrame, size: str) -> list[int]:
 
 def word_grams(text: Column, sizes: Sequence[int]) -> Column:
     """Distinct sequences of so many neighbouring words, folded. Size 0 stands for
-    values without any word and gives one empty sequence."""
+    values without any word and gives single signs and pairs of them."""
     words = F.regexp_extract_all(text, F.lit(f"[{WORD}]+"), F.lit(0))
 
     def grams(all_words: Column) -> Column:
@@ -189,11 +197,20 @@ def word_grams(text: Column, sizes: Sequence[int]) -> Column:
         ]
         found = F.array_distinct(F.concat(*by_size)) if by_size else F.array().cast("array<string>")
         found = F.when(F.size(all_words) > 0, found).otherwise(F.array().cast("array<string>"))
-        return F.concat(F.array(F.lit("")), found) if 0 in sizes else found
+        return F.concat(_sign_grams(text), found) if 0 in sizes else found
 
     return let(F.transform(words, fold), grams)
 
 
+def _sign_grams(text: Column) -> Column:
+    """One and two neighbouring characters that belong to no word, marked apart from words."""
+    between = F.array_distinct(F.regexp_extract_all(fold(text), F.lit(f"[^{WORD}]+"), F.lit(0)))
+    cut = lambda run, n: F.transform(
+        F.sequence(F.lit(1), F.length(run)), lambda i: F.concat(F.lit("\x02"), F.substr(run, i, F.lit(n)))
+    )
+    return F.array_distinct(F.flatten(F.transform(between, lambda run: F.concat(cut(run, 1), cut(run, 2)))))
+
+
 def _gram_at(words: Column, size: int):
     if size == 1:
         return lambda i: F.get(words, i - 1)
@@ -295,13 +312,17 @@ def anonymize(
     two_pass: bool = True,
     block: Column | None = None,
     spans_col: str | None = None,
+    extra_spans: Column | str | None = None,
+    terms: DataFrame | None = None,
 ) -> Anonymized:
     """Replace entities by placeholders, one vault per session.
 
     ``session_cols`` and ``order_cols`` together identify a row. ``allow`` types stay
     as they are, ``redact`` types become ``[REDACTED_TYPE]`` and never enter the
     vault; both may be array columns of ``df``. ``spans_col`` names a column of spans found
-    before, which are then used instead of a search. ``action='REDACT'`` redacts whatever
+    before, which are then used instead of a search. ``extra_spans`` gives spans from elsewhere,
+    such as those of a model, and ``terms`` a dictionary table of any length; both join the
+    detected spans before overlaps are resolved. ``action='REDACT'`` redacts whatever
     is not allowed. ``vault`` continues an earlier vault. With ``two_pass=False``
     a text only knows values from itself and from earlier texts.
     """
@@ -320,7 +341,18 @@ def anonymize(
     allowed = lambda t: _type_in(t, allow_types)
     redacted = (lambda t: ~allowed(t)) if action == "REDACT" else (lambda t: _type_in(t, redact_types))
 
-    found = F.col(spans_col) if spans_col else find_entities("_text", detectors=detectors)
+    more = [as_column(extra_spans)] if extra_spans is not None else []
+    if terms is not None:
+        from .dictionary import dictionary_spans
+
+        hits = dictionary_spans(prepared.select(*keys, "_text"), terms, "_text", keys, "_terms").drop("_text")
+        prepared = prepared.join(hits, keys, "left")
+        more.append(F.col("_terms"))
+    if more:
+        more = F.concat(*[F.coalesce(m, no_spans()) for m in more])
+        found = resolve_overlaps(F.concat(F.col(spans_col), more)) if spans_col else (detectors or DetectorSet()).find_with("_text", more)
+    else:
+        found = F.col(spans_col) if spans_col else find_entities("_text", detectors=detectors)
     staged = stage(prepared.withColumn("_own", found))
     keep = [*keys] + [c for c in ("_allow", "_redact") if c in staged.columns]
     spans = explode_spans(staged.select(*keep, "_own"), "_own")

@@ -24,7 +24,7 @@ from ..operators.leaks import check_responses, new_leaks
 from ..operators.policy import PolicyRule, decide
 from ..operators.rpc import sanitize_rpc
 from ..operators.spans import explode_spans, redact, type_counts
-from ..operators.vault import anonymize_conversations, assign_sessions, build_vault, restore
+from ..operators.vault import anonymize, anonymize_conversations, assign_sessions, build_vault, restore
 from ..sources.staging import shared_folder, stage
 from . import oracle as O
 from . import seeded as S
@@ -326,13 +326,11 @@ def redacted_emails(spark, sf):
     return docs.select("doc_id", F.md5(done.cast("binary")).alias("digest"))
 
 
-@query(
-    "dictionary_hits",
-    """SELECT o_orderkey, 'CLIENT' AS type, c_name AS value, strpos('Order ' || CAST(o_orderkey AS VARCHAR) || ' (' || o_orderpriority || ') for customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || '.', lower(c_name)) - 1 AS start
-       FROM orders JOIN customer ON c_custkey = o_custkey""",
-)
-def dictionary_hits(spark, sf):
-    """A dictionary that grows with the data: customer names in order texts."""
+_ORDER_TEXT = "'Order ' || CAST(o_orderkey AS VARCHAR) || ' (' || o_orderpriority || ') for customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || '.'"
+
+
+def _order_texts(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """A dictionary that grows with the data: customer names, and order texts that name them."""
     terms = table(spark, sf, "customer").select(
         F.lit("customers").alias("dict_name"), F.lit("CLIENT").alias("type"), F.col("c_name").alias("term"), F.lit(False).alias("case_sensitive")
     )
@@ -340,13 +338,33 @@ def dictionary_hits(spark, sf):
         F.lit("Order "), F.col("o_orderkey"), F.lit(" ("), F.col("o_orderpriority"), F.lit(") for customer#"),
         F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit("."),
     )
-    orders = table(spark, sf, "orders").select("o_orderkey", text.alias("text"))
+    return table(spark, sf, "orders").select("o_orderkey", text.alias("text")), terms
+
+
+@query(
+    "dictionary_hits",
+    f"""SELECT o_orderkey, 'CLIENT' AS type, c_name AS value, strpos({_ORDER_TEXT}, lower(c_name)) - 1 AS start
+       FROM orders JOIN customer ON c_custkey = o_custkey""",
+)
+def dictionary_hits(spark, sf):
+    orders, terms = _order_texts(spark, sf)
     hits = dictionary_spans(orders, terms, "text", ["o_orderkey"])
     return explode_spans(hits, "term_spans", keep=["o_orderkey"]).select(
         "o_orderkey", "type", F.concat(F.lit("C"), F.substr("value", F.lit(2))).alias("value"), "start"
     )
 
 
+@query(
+    "cloaked_orders",
+    f"""SELECT o_orderkey, coalesce(replace({_ORDER_TEXT}, lower(c_name), '[CLIENT_1]'), {_ORDER_TEXT}) AS sanitized
+        FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
+)
+def cloaked_orders(spark, sf):
+    """All customer names as a dictionary; their spans go through overlaps, vault and rewriting."""
+    orders, terms = _order_texts(spark, sf)
+    return anonymize(orders, "text", ["o_orderkey"], terms=terms).rewritten.select("o_orderkey", "sanitized")
+
+
 @query(
     "rule_hits",
     f"SELECT id, 'INTERNAL_HOST' AS type, value, start FROM {O.hits(O.CORPUS, 'id', 'hash [0-9a-f]{6}')} UNION ALL SELECT id, 'PROJECT', value, start FROM {O.hits(O.CORPUS, 'id', '(?i)' + chr(92) + 'bregards' + chr(92) + 'b')}",

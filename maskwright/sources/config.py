@@ -82,15 +82,17 @@ def upsert_rules(current: DataFrame, new: DataFrame, name: str) -> tuple[DataFra
     return kept.select(*current.columns).unionByName(good), new.filter(~complete)
 
 
-def detectors_from_rules(rules: Rules, base: DetectorSet = DetectorSet()) -> tuple[DetectorSet, list[str]]:
+def detectors_from_rules(
+    rules: Rules, base: DetectorSet = DetectorSet(), with_terms: bool = True
+) -> tuple[DetectorSet, list[str]]:
     """Rules as detectors, and the names of patterns that do not compile.
 
-    Only lists up to 500 terms become expressions; larger ones go through the join in
-    ``maskwright.operators.dictionary``.
+    Terms become expressions, up to 500 of them. Longer lists stay a table: take
+    ``with_terms=False`` and give ``rules.terms`` to ``anonymize(terms=…)``, a join of any size.
     """
-    rows = rules.terms.limit(MAX_INLINE_TERMS + 1).collect()
+    rows = rules.terms.limit(MAX_INLINE_TERMS + 1).collect() if with_terms else []
     if len(rows) > MAX_INLINE_TERMS:
-        raise ValueError(f"more than {MAX_INLINE_TERMS} terms: use dictionary_spans")
+        raise ValueError(f"more than {MAX_INLINE_TERMS} terms: give rules.terms to anonymize(terms=…)")
     grouped: dict[tuple, list[str]] = {}
     for r in rows:
         grouped.setdefault((r["dict_name"], r["type"], r["case_sensitive"]), []).append(r["term"])

@@ -7,28 +7,29 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed_values as fixed
+from ..functions.text import java_pattern
 from ..operators.leaks import check_responses
 from ..operators.vault import restore
 
 _OPEN = re.compile(fixed.PLACEHOLDER_START)
 _TOKEN = re.compile(r"\S*\Z")
-_CANARY = re.compile(r"(?<![A-Za-z0-9_])CL-CANARY-[A-Za-z0-9_-]{1,24}-[a-f0-9]{8,16}(?![A-Za-z0-9_])")
 
 
-def held_length(text: str, tail: int = 0) -> int:
+def held_length(text: str, tail: int = 0, longest: int = fixed.MAX_PLACEHOLDER_LENGTH) -> int:
     """How many last characters must wait for the next chunk.
 
-    That is an open bracket that may still become a placeholder, and with ``tail`` an
-    unfinished word of up to so many characters.
+    That is an open bracket that may still become a placeholder of up to ``longest`` characters,
+    and with ``tail`` an unfinished word of up to so many characters.
     """
     at = text.rfind("[")
     held = 0
-    if at >= 0 and len(text) - at <= fixed.MAX_PLACEHOLDER_LENGTH and _OPEN.fullmatch(text, at):
+    if at >= 0 and len(text) - at <= longest and _OPEN.fullmatch(text, at):
         held = len(text) - at
     if tail:
         word = len(_TOKEN.search(text[: len(text) - held] if held else text).group())
@@ -37,7 +38,7 @@ def held_length(text: str, tail: int = 0) -> int:
     return held
 
 
-def _realign(tail: int, canaries: frozenset[str], ts: str | None, idle_ms: int, columns: list[str]):
+def _realign(tail: int, longest: int, ts: str | None, idle_ms: int, columns: list[str]):
     """Each chunk gives the text that became safe with it; a ``done`` chunk gives the rest."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -48,6 +49,8 @@ def _realign(tail: int, canaries: frozenset[str], ts: str | None, idle_ms: int,
                 yield pd.DataFrame([(*key, last_seq, buffer, False)], columns=columns)
             return
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        leaking = set(rows.loc[rows["_leak"], "seq"])
+        rows = rows[rows["_nth"] == 0]
         buffer, last_seq, aborted = state.get if state.exists else ("", -1, False)
         out, finished = [], False
         for seq, delta, done in zip(rows["seq"], rows["delta"], rows["done"]):
@@ -55,12 +58,12 @@ def _realign(tail: int, canaries: frozenset[str], ts: str | None, idle_ms: int,
             if aborted or finished:
                 continue
             delta = delta or ""
-            if canaries and any(t in canaries for t in _CANARY.findall(delta)):
+            if seq in leaking:
                 aborted, buffer = True, ""
                 out.append((*key, last_seq, fixed.CANARY_NOTICE, True))
                 continue
             buffer += delta
-            keep = 0 if done else held_length(buffer, tail)
+            keep = 0 if done else held_length(buffer, tail, longest)
             out.append((*key, last_seq, buffer[: len(buffer) - keep], False))
             buffer = buffer[len(buffer) - keep :]
             finished = bool(done)
@@ -77,20 +80,31 @@ def _realign(tail: int, canaries: frozenset[str], ts: str | None, idle_ms: int,
 
 
 def realign_chunks(
-    chunks: DataFrame, stream: str = "stream_id", tail: int = 0, canaries: Iterable[str] = (), ts: str | None = None,
-    idle_ms: int = 1_800_000,
+    chunks: DataFrame, stream: str = "stream_id", tail: int = 0, canaries: DataFrame | Iterable[str] = (),
+    ts: str | None = None, idle_ms: int = 1_800_000, longest: int = fixed.MAX_PLACEHOLDER_LENGTH,
 ) -> DataFrame:
     """Chunks ``(stream, seq, delta, done)`` re-cut so that no placeholder is split.
 
-    Works on streams; state is the held text, at most a placeholder long (or ``tail``).
-    ``canaries`` is the bounded registry of active honeytokens: a chunk that carries one
-    becomes a notice with ``aborted``, and the rest of its stream is dropped. A stream
+    Works on streams; state is the held text, at most a placeholder long (or ``tail``). Where
+    types have long names, give ``longest_placeholder(vault)`` as ``longest``.
+    ``canaries`` is the registry of active honeytokens, a table with ``token`` of any size, or a
+    few tokens: a chunk that carries one becomes a notice with ``aborted``, and the rest of its
+    stream is dropped. A stream
     without ``done`` gives its rest once the watermark of ``ts`` is ``idle_ms`` past its
     last chunk.
     """
-    tokens = frozenset(canaries)
-    if len(tokens) > 5000:
-        raise ValueError("more than 5000 active honeytokens")
+    if not isinstance(canaries, DataFrame):
+        rows = [(t,) for t in sorted(set(canaries))]
+        canaries = chunks.sparkSession.createDataFrame(rows, "token string") if rows else None
+    if canaries is None:
+        marked = chunks.withColumn("_nth", F.lit(0)).withColumn("_leak", F.lit(False))
+    else:
+        # a row per token in a chunk, nearly always one, meets the registry
+        found = F.array_distinct(F.regexp_extract_all("delta", F.lit(java_pattern(fixed.CANARY)), F.lit(0)))
+        known = canaries.select(F.col("token").alias("_token"), F.lit(True).alias("_known")).distinct()
+        marked = chunks.select("*", F.posexplode_outer(found).alias("_nth", "_token")).join(known, "_token", "left")
+        marked = marked.withColumn("_nth", F.coalesce("_nth", F.lit(0))).withColumn("_leak", F.coalesce("_known", F.lit(False)))
+        marked = marked.drop("_token", "_known")
     out = T.StructType(
         [
             chunks.schema[stream],
@@ -106,12 +120,18 @@ def realign_chunks(
             T.StructField("aborted", T.BooleanType()),
         ]
     )
-    return chunks.groupBy(stream).applyInPandasWithState(
-        _realign(tail, tokens, ts, idle_ms, out.names), out, state, "append",
+    return marked.groupBy(stream).applyInPandasWithState(
+        _realign(tail, longest, ts, idle_ms, out.names), out, state, "append",
         GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout,
     )
 
 
+def longest_placeholder(vault: DataFrame) -> int:
+    """Characters of the longest placeholder in a vault, and no less than the usual bound."""
+    found = vault.agg(F.max(F.length("placeholder"))).first()[0]
+    return max(fixed.MAX_PLACEHOLDER_LENGTH, found or 0)
+
+
 def restore_stream(
     realigned: DataFrame, vault: DataFrame, session_cols: list[str], write: Callable[[DataFrame, int], None],
     checkpoint: str, order_cols: list[str] = ("seq",), leaks: bool = False, trigger: dict | None = None, **options,

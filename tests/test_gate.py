@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.text import estimate_tokens, normalize_text, wildcard_match
 from maskwright.operators import guard
-from maskwright.operators.canary import bounded_registry, canary_token, inject_canaries, mint_canaries, scan_canaries
+from maskwright.operators.canary import active_registry, canary_token, inject_canaries, mint_canaries, scan_canaries
 from maskwright.operators.firewall import custom_rule, score_prompts
 from maskwright.operators.leaks import check_responses
 from maskwright.operators.policy import PolicyRule, decide
@@ -126,7 +126,9 @@ def test_canaries(spark):
     texts = spark.createDataFrame([(k[0] * 10 + k[1] + 1, v["text"] + " CL-CANARY-FAKE-0123456789abcdef") for k, v in out.items()], "id long, text string")
     hits = scan_canaries(texts, registry).collect()
     assert sorted(r["id"] for r in hits) == [12, 20] and all(len(r["matched_tokens"]) == 1 for r in hits)
-    assert bounded_registry(registry, limit=1).count() == 1
+    aged = spark.sql("SELECT 't' || id AS token, TIMESTAMP '2026-03-10 00:00:00' - make_dt_interval(id) AS minted_at FROM range(-1, 6000)")
+    assert active_registry(aged, "2026-03-10 00:00:00").count() == 6000
+    assert sorted(r["token"] for r in active_registry(aged, "2026-03-10 00:00:00", days=2).collect()) == ["t0", "t1", "t2"]
 
 
 def test_judge_usage(spark):

@@ -7,7 +7,7 @@ from maskwright.operators import guard
 from maskwright.operators.canary import mint_canaries
 from maskwright.operators.policy import PolicyRule
 from maskwright.plans.jobs import check_responses_job, gate_requests, preview
-from maskwright.streaming.chunks import held_length, realign_chunks, restore_stream
+from maskwright.streaming.chunks import held_length, longest_placeholder, realign_chunks, restore_stream
 from maskwright.streaming.clients import offered_windows, vault_stream, window_counts
 
 
@@ -47,12 +47,23 @@ def test_held():
     assert held_length("key sk-abc", 20) == 6 and held_length("key sk-abc", 3) == 0 and held_length("x [A", 5) == 2
 
 
+def test_long_placeholders(spark):
+    name = "[" + "A" * 50 + "_1]"
+    vault = spark.createDataFrame([(name,)], "placeholder string")
+    longest = longest_placeholder(vault)
+    assert longest == len(name) and longest_placeholder(vault.limit(0)) == 45
+    assert held_length("x " + name[:-1], longest=longest) == len(name) - 1 and held_length("x " + name[:-1]) == 0
+
+
 def test_chunks(spark, tmp_path):
     token = mint_canaries(spark.range(1), "id", "k").first()["token"]
     rows = [[(1, 0, "Hello [PERS", False), (2, 0, f"leak {token}", False)], [(1, 1, "ON_1], bye [x", False), (2, 1, "more", False)], [(1, 2, None, True), (2, 2, None, True)]]
     got = run(spark, tmp_path, rows, "stream_id long, seq long, delta string, done boolean", lambda s: realign_chunks(s, canaries=[token]), "chunks")
     by = {(r["stream_id"], r["seq"]): (r["text"], r["aborted"]) for r in got.collect()}
     assert by[1, 0][0] == "Hello " and by[1, 1][0] == "[PERSON_1], bye " and by[1, 2][0] == "[x"
+    many = spark.range(6000).select(F.concat(F.lit("CL-CANARY-OLD-"), F.lpad(F.hex("id"), 12, "0")).alias("token")).unionAll(spark.createDataFrame([(token,)], "token string"))
+    again = run(spark, tmp_path, rows, "stream_id long, seq long, delta string, done boolean", lambda s: realign_chunks(s, canaries=many), "chunks2")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect()))
     assert by[2, 0] == ("\n[SECURITY NOTICE: Stream aborted due to honeytoken/canary leakage]", True) and (2, 1) not in by
 
 

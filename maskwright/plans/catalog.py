@@ -34,8 +34,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-SIMPLE = ("EMAIL", "CREDIT_CARD", "INTERNAL_IP", "IP_ADDRESS")
-SIMPLE_SQL = ("EMAIL", "CREDIT_CARD", "IP")
 
 
 def query(name: str, sql: str | None = None):
@@ -259,17 +257,31 @@ spans_query(
 
 # --- entities ------------------------------------------------------------------
 
+_FAMILIES = (
+    "known_secret_spans", "hex_secret_spans", "card_spans", "nir_spans", "siret_spans", "siren_spans", "ssn_spans", "nino_spans",
+    "iban_spans", "amount_spans", "ipv4_class", "email_spans", "suffixed_organizations", "prefixed_organizations", "known_organizations",
+)
+_COUNTRIES = f"""WITH fr AS (SELECT id, value, start, 0.95 AS confidence FROM {_PHONES[0]}), us AS (SELECT id, value, start, 0.94 AS confidence FROM {_PHONES[1]} x WHERE {_CLEAR.format(a='fr', x='x')}),
+    both_ AS (SELECT * FROM fr UNION ALL SELECT * FROM us),
+    uk AS (SELECT id, value, start, 0.93 AS confidence FROM {_PHONES[2]} x WHERE {_CLEAR.format(a='both_', x='x')})
+    SELECT * FROM both_ UNION ALL SELECT * FROM uk"""
+_PERSONS_FOUND = f"""SELECT id, n AS value, start + length(value) - length(n) AS start, confidence, rank FROM (SELECT *, regexp_extract(value, '{_NAME}', 0) AS n
+    FROM (SELECT id, value, start, 0.92 AS confidence, 0 AS rank FROM {O.hits(O.CORPUS, 'id', _TITLED)} UNION ALL SELECT id, value, start, 0.90, 1 FROM {O.hits(O.CORPUS, 'id', _LABELLED)}))"""
+_OPAQUE = ORACLES["opaque_secret_spans"].replace("SELECT id, value, start FROM cand JOIN", "SELECT id, value, start, least(0.98, 0.70 + greatest(e.h, w.h) / 6.0 * 0.28) AS confidence FROM cand JOIN")
+_ALL = O.entities({**{n: ORACLES[n] for n in _FAMILIES}, "opaque_secret_spans": _OPAQUE, "phones": _COUNTRIES, "person_spans": _PERSONS_FOUND})
+_IN_DOCUMENTS = f"SELECT CAST(substr(id, 2) AS BIGINT) AS id, type, value, start FROM ({_ALL}) WHERE id LIKE 'd%'"
+
 
 @query(
     "entities_by_source",
     f"""SELECT d.source, s.type, count(*) AS entities, count(DISTINCT s.id) AS documents, count(DISTINCT s.value) AS distinct_values
-        FROM ({O.detected(*SIMPLE_SQL, source='SELECT doc_id AS id, text FROM documents')}) s JOIN documents d ON d.doc_id = s.id GROUP BY d.source, s.type""",
+        FROM ({_IN_DOCUMENTS}) s JOIN documents d ON d.doc_id = s.id GROUP BY d.source, s.type""",
 )
 def entities_by_source(spark, sf):
     """Flagship: sensitive entities per source and type. One scan of two columns, then
     spans without texts meet in the aggregation."""
     docs = documents(spark, sf, "doc_id", "source")
-    found = docs.select("doc_id", "source", F.inline(find_entities("text", SIMPLE)))
+    found = docs.select("doc_id", "source", F.inline(find_entities("text")))
     return found.groupBy("source", "type").agg(
         F.count(F.lit(1)).alias("entities"),
         F.countDistinct("doc_id").alias("documents"),
@@ -277,17 +289,13 @@ def entities_by_source(spark, sf):
     )
 
 
-@query(
-    "overlap_resolved",
-    f"""WITH s AS (SELECT *, start + length(value) AS stop, CASE type WHEN 'INTERNAL_IP' THEN 95 WHEN 'CREDIT_CARD' THEN 90 WHEN 'EMAIL' THEN 70 ELSE 40 END AS p FROM ({O.detected(*SIMPLE_SQL)}))
-        SELECT id, type, value, start FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.id = a.id AND greatest(a.start, b.start) < least(a.stop, b.stop) AND (b.p > a.p OR (b.p = a.p AND b.stop - b.start > a.stop - a.start)))""",
-)
+@query("overlap_resolved", f"SELECT id, type, value, start FROM ({_ALL})")
 def overlap_resolved(spark, sf):
-    found = corpus(spark, sf).select("id", F.inline(find_entities("text", SIMPLE)))
+    found = corpus(spark, sf).select("id", F.inline(find_entities("text")))
     return found.select("id", "type", "value", "start")
 
 
-@query("all_entities")
+@query("all_entities", f"SELECT id, type, value, start, start + length(value) AS \"end\", round(confidence, 6) AS confidence FROM ({_ALL})")
 def all_entities(spark, sf):
     """Every detector over documents and notes."""
     found = corpus(spark, sf).select("id", F.inline(find_entities("text")))
@@ -296,21 +304,21 @@ def all_entities(spark, sf):
 
 @query(
     "entity_breakdown",
-    f"SELECT id, type, count(*) AS n FROM ({O.detected(*SIMPLE_SQL)}) GROUP BY id, type",
+    f"SELECT id, type, count(*) AS n FROM ({_ALL}) GROUP BY id, type",
 )
 def entity_breakdown(spark, sf):
-    counted = corpus(spark, sf).select("id", type_counts(find_entities("text", SIMPLE)).alias("m"))
+    counted = corpus(spark, sf).select("id", type_counts(find_entities("text")).alias("m"))
     return counted.select("id", F.explode("m").alias("type", "n")).withColumn("n", F.col("n").cast("bigint"))
 
 
 @query(
     "entities_by_label",
-    f"""SELECT l.quality, l.toxic, s.type, count(*) AS entities FROM ({O.detected(*SIMPLE_SQL, source='SELECT doc_id AS id, text FROM documents')}) s
+    f"""SELECT l.quality, l.toxic, s.type, count(*) AS entities FROM ({_IN_DOCUMENTS}) s
         JOIN labels l ON l.doc_id = s.id GROUP BY l.quality, l.toxic, s.type""",
 )
 def entities_by_label(spark, sf):
     docs = documents(spark, sf, "doc_id")
-    found = docs.select("doc_id", F.inline(find_entities("text", SIMPLE))).select("doc_id", "type")
+    found = docs.select("doc_id", F.inline(find_entities("text"))).select("doc_id", "type")
     return found.join(table(spark, sf, "labels"), "doc_id").groupBy("quality", "toxic", "type").agg(
         F.count(F.lit(1)).alias("entities")
     )
@@ -404,7 +412,7 @@ def normalized_text(spark, sf):
 
 @query(
     "vault_assignments",
-    f"""WITH s AS ({O.detected(*SIMPLE_SQL, source='SELECT doc_id AS id, text FROM documents')}),
+    f"""WITH s AS ({_IN_DOCUMENTS}),
         f AS (SELECT d.source, s.type, lower(trim(s.value)) AS k, min((s.id, s.start, trim(s.value))) AS first FROM s JOIN documents d ON d.doc_id = s.id GROUP BY 1, 2, 3),
         r AS (SELECT source, type, k, first, row_number() OVER (PARTITION BY source, type ORDER BY first, k) AS seq FROM f)
         SELECT source, type, k AS lookup_key, '[' || type || '_' || seq || ']' AS placeholder, first[3] AS original_value FROM r""",
@@ -412,7 +420,7 @@ def normalized_text(spark, sf):
 def vault_assignments(spark, sf):
     """Documents of a source as one session."""
     docs = documents(spark, sf, "source", "doc_id")
-    spans = docs.select("source", "doc_id", F.inline(find_entities("text", SIMPLE)))
+    spans = docs.select("source", "doc_id", F.inline(find_entities("text")))
     vault = build_vault(stage(spans.select("source", "doc_id", "type", "value", "start")), ["source"], ["doc_id"])
     return vault.select("source", "type", "lookup_key", "placeholder", "original_value")
 

@@ -127,7 +127,7 @@ _PHONES = [O.hits(O.CORPUS, "id", O.re2(p)) for p in (fixed.PHONE_FR, fixed.PHON
 _CLEAR = "NOT EXISTS (SELECT 1 FROM {a} b WHERE b.id = {x}.id AND greatest(b.start, {x}.start) < least(b.start + length(b.value), {x}.start + length({x}.value)))"
 spans_query(
     "phones",
-    lambda g: F.filter(D.phones(g), lambda s: s["metadata"]["country"] != "INTL"),
+    D.phones,
     f"""WITH fr AS (SELECT id, value, start FROM {_PHONES[0]}), us AS (SELECT id, value, start FROM {_PHONES[1]} x WHERE {_CLEAR.format(a='fr', x='x')}),
         both_ AS (SELECT * FROM fr UNION ALL SELECT * FROM us),
         uk AS (SELECT id, value, start FROM {_PHONES[2]} x WHERE {_CLEAR.format(a='both_', x='x')})
@@ -557,12 +557,18 @@ def canary_hits(spark, sf):
     return hits.select("c_custkey", F.explode("matched_tokens").alias("token"))
 
 
-@query("planted_canaries", "SELECT conv_id, min(turn) - 1 AS turn, 'system' AS role FROM conversations GROUP BY conv_id HAVING count_if(role = 'system') = 0")
+_MARKED = f"'<!-- SECURITY_SENTINEL: CL-CANARY-SENTINEL-' || substr({_NONCE}, 1, 4) || {_SIGN} || ' -->'".replace("c_custkey", "conv_id").replace("HONEY:", "SENTINEL:")
+
+
+@query(
+    "planted_canaries",
+    f"""WITH f AS (SELECT conv_id, min(turn) AS first, min(CASE WHEN role = 'system' THEN turn END) AS sys FROM conversations GROUP BY conv_id)
+        SELECT conv_id, turn, role, CASE WHEN role = 'system' AND turn = sys THEN text || chr(10) || {_MARKED} ELSE text END AS text FROM conversations JOIN f USING (conv_id)
+        UNION ALL SELECT conv_id, first - 1, 'system', {_MARKED} FROM f WHERE sys IS NULL""",
+)
 def planted_canaries(spark, sf):
-    """System turns added to conversations that have none."""
-    chat = table(spark, sf, "conversations")
-    planted = C.inject_canaries(chat, "catalog")
-    return planted.filter("role = 'system' AND text LIKE '<!-- SECURITY_SENTINEL: %'").select("conv_id", "turn", "role")
+    """All turns: the first system turn of a conversation is signed, or a new one is added."""
+    return C.inject_canaries(table(spark, sf, "conversations"), "catalog").select("conv_id", "turn", "role", "text")
 
 
 # --- usage ---------------------------------------------------------------------
@@ -743,11 +749,14 @@ def audit_chain_heads(spark, sf):
     "compliance_summary",
     f"""SELECT (SELECT {_TS} FROM events ORDER BY event_id LIMIT 1) AS period_start, (SELECT {_TS} FROM events ORDER BY event_id DESC LIMIT 1) AS period_end, count(*) AS total_requests,
         CAST(sum({_EMAILS} + {_PERSONS}) AS BIGINT) AS total_entities, floor(sum(floor(value)) / count(*) * 10 + 0.5) / 10 AS avg_sanitization_ms,
-        floor(sum({_UP}) / count(*) * 10 + 0.5) / 10 AS avg_upstream_ms, 'CERTIFIED_ARTICLE_32' AS status FROM events""",
+        floor(sum({_UP}) / count(*) * 10 + 0.5) / 10 AS avg_upstream_ms, 'CERTIFIED_ARTICLE_32' AS status, 100 AS risk_reduction_percentage,
+        '{{"EMAIL":' || CAST(sum({_EMAILS}) AS BIGINT) || ',"PERSON":' || CAST(sum({_PERSONS}) AS BIGINT) || '}}' AS category_breakdown,
+        (SELECT '{{' || string_agg('"' || d || '":' || n, ',' ORDER BY d) || '}}' FROM (SELECT coalesce(nullif({_A['model']}, ''), 'upstream-llm') AS d, count(*) AS n FROM events GROUP BY 1)) AS upstream_destinations FROM events""",
 )
 def compliance_summary(spark, sf):
     s = P.compliance_summary(audit_rows(spark, sf), ["event_id"])
-    return s.drop("category_breakdown", "upstream_destinations", "risk_reduction_percentage")
+    as_json = {c: F.to_json(c) for c in ("category_breakdown", "upstream_destinations")}
+    return s.withColumns(as_json)
 
 
 @query(

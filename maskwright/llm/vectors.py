@@ -45,12 +45,14 @@ def bucket_codes(unit: np.ndarray, hashes: int, tables: int = TABLES, probes: in
 
     Every hash offers its three largest coordinates; a bucket's loss is how far its
     coordinates fall short of the largest. -1 where there are fewer buckets than probes.
+    Long vectors take fewer hashes where codes would leave 63 bits.
     """
     n, dim = unit.shape
     width = 1 << max(1, (dim - 1).bit_length())
     padded = np.zeros((n, width))
     padded[:, :dim] = unit
     draw = np.random.default_rng([seed, dim])
+    hashes = hashes_that_fit(hashes, dim)
     out = np.full((n, tables, probes), -1, np.int64)
     for t in range(tables):
         codes, loss = np.zeros((n, 1), np.int64), np.zeros((n, 1))
@@ -81,6 +83,21 @@ def hashes_for(vectors: int, dim: int) -> int:
     return min(6, max(1, math.ceil(math.log(max(vectors, 2) / 64, width)))) if vectors > 64 else 1
 
 
+def _code_bits(dim: int) -> int:
+    """Bits of one hash of vectors of ``dim`` components: a coordinate and its sign."""
+    return max(1, (dim - 1).bit_length()) + 1
+
+
+def hashes_that_fit(hashes: int, dim: int) -> int:
+    """At most ``hashes``, so that the largest code is a positive long."""
+    return min(hashes, 63 // _code_bits(dim))
+
+
+def code_type(hashes: int, dim: int) -> str:
+    """The narrowest integer that holds every code of vectors of ``dim`` components."""
+    return "<i4" if hashes_that_fit(hashes, dim) * _code_bits(dim) <= 31 else "<i8"
+
+
 def _usable(vectors: DataFrame) -> DataFrame:
     """``vec_id vec``: the vector, or null where it can link with nothing. Single precision stays so."""
     kind = "float" if "array<float>" in dict(vectors.dtypes)["embedding"] else "double"
@@ -116,7 +133,6 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
     shape = classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
     hashes = hashes_for(shape[0]["count"], shape[0]["dim"]) if shape else 1
     real = "<f4" if "float" in dict(classes.dtypes)["vec"] else "<f8"
-    integer = "<i4" if hashes <= 3 else "<i8"
 
     def spread(batch: pa.RecordBatch, whole: bool) -> dict:
         """A row per bucket that a vector enters, with what verification needs if ``whole``."""
@@ -132,7 +148,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
                 for k, v in zip(("dim", "t", "code"), names):
                     out[k] += v
                 if whole:
-                    packed = (batch.column("class")[int(i)].as_py(), batch.column("n")[int(i)].as_py(), x[row].astype(real).tobytes(), codes[row].astype(integer).tobytes())
+                    packed = (batch.column("class")[int(i)].as_py(), batch.column("n")[int(i)].as_py(), x[row].astype(real).tobytes(), codes[row].astype(code_type(hashes, int(dim))).tobytes())
                     for k, v in zip(("class", "n", "vec", "codes"), packed):
                         out[k] += [v] * len(entered)
         return out
@@ -154,7 +170,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLE
         for dim in np.unique(col["dim"]):
             mine = col["dim"] == dim
             v = _unit(np.frombuffer(b"".join(vecs[i] for i in np.flatnonzero(mine)), real).reshape(-1, dim).astype(np.float64))
-            c = np.frombuffer(b"".join(codes[i] for i in np.flatnonzero(mine)), integer).reshape(-1, tables, probes)
+            c = np.frombuffer(b"".join(codes[i] for i in np.flatnonzero(mine)), code_type(hashes, int(dim))).reshape(-1, tables, probes)
             base = int(np.argmax(mine))
             for i, j in _pairs(bounds, mine):
                 i, j = i - base, j - base

@@ -280,6 +280,22 @@ def test_vectors(spark):
     assert vectors.near_vectors(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hashes", [2, 3, 6])
+def test_vectors_of_mixed_lengths(spark, monkeypatch, hashes):
+    monkeypatch.setattr(vectors, "hashes_for", lambda n, dim: hashes)
+    draw, every = np.random.default_rng(12), []
+    for dim in (16, 512, 768, 1536):
+        for _ in range(30):
+            one = draw.normal(size=dim)
+            every += [one.tolist(), (one * 2 + draw.normal(size=dim) * 1e-6).tolist()]
+    rows = spark.createDataFrame(list(enumerate(every)), "vec_id long, embedding array<double>")
+    got = vectors.near_vectors(rows).collect()
+    assert [(r["vec_id"], r["n_links"], r["component_id"]) for r in sorted(got, key=lambda r: r["vec_id"])] == [(i, 1, i - i % 2) for i in range(240)]
+    for dim in (512, 513, 768, 1024, 1536):
+        codes = vectors.bucket_codes(vectors._unit(draw.normal(size=(40, dim))), hashes)
+        assert (codes >= 0).all() and (codes.astype(vectors.code_type(hashes, dim)) == codes).all()
+
+
 def test_toxicity(spark, sf, real, docs, empty):
     labels = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/labels.parquet")
     rows = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")

@@ -13,11 +13,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.llm.buckets import Forest, map_buckets, runs
-from maskwright.llm.common import id_and_bytes, map_batches
+from maskwright.llm.common import free_name, id_and_bytes, map_batches
 from maskwright.llm.components import components
 from maskwright.sources.staging import stage
 
@@ -27,6 +27,7 @@ SEED = 42
 BITS = 64
 _LEAF = 32
 _CHUNK = 1 << 16
+_SALTS = 16
 
 
 def fingerprint(text: bytes | None, words: int = WORDS) -> int:
@@ -140,34 +141,60 @@ def links(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
     return map_buckets(rows, ["turn", "lead"], work, "a long, b long")
 
 
+def fingerprint_column(text: Column, words: int = WORDS) -> Column:
+    """The fingerprint as a signed long, next to a row's other columns."""
+
+    @F.arrow_udf("long")
+    def prints(column: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t.as_py(), words) for t in column], np.uint64).view(np.int64), pa.int64())
+
+    return prints(text.cast("string").cast("binary"))
+
+
+def _groups(prints: DataFrame, budget: int) -> DataFrame:
+    """``fp root component_id`` per fingerprint: the least fingerprint and the least doc_id of its component."""
+    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # one id for several texts (repeated rows, edited copies under one id) joins their classes
+    several = prints.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x < y")
+    edges = links(classes.select("fp", F.col("fp").alias("rep")), budget)
+    shared = prints.join(several, "doc_id").select(F.col("x").alias("a"), F.col("fp").alias("b"))
+    found = components(edges.unionAll(shared))
+    named = stage(classes.join(found, classes["fp"] == found["vertex"], "left").select("fp", "least", "component"))
+    alone = named.filter(F.col("component").isNull()).select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    # a component with a large share of all fingerprints is looked up in several tasks
+    salted = named.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(_SALTS)).cast("int")).drop("least")
+    least = named.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("least").alias("component_id"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return alone.unionAll(salted.join(least, ["component", "salt"]).select("fp", F.col("component").alias("root"), "component_id"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
     """``doc_id fingerprint component_id`` for every row.
 
     Fingerprints that differ in at most ``budget`` bits link; ``component_id`` is the least doc_id
     reachable, a document's own included. Equal fingerprints are one class before the
     join, so copies cost one row. Texts without words have fingerprint zero and link like
-    any other. Rows with a null doc_id take part in a class but never name one: if a
-    component has no id, ``component_id`` is null. Repeated rows stay repeated.
+    any other. Rows with a null doc_id link like any other but never name a component: if
+    it has no id, ``component_id`` is null. Repeated rows stay repeated.
     """
     prints = stage(fingerprints(docs, words))
-    classes = prints.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    # one id for several texts (repeated rows, edited copies under one id) joins their classes
-    several = prints.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x < y")
-    classes = stage(classes)
-    edges = links(classes, budget)
-    shared = prints.join(several.select("doc_id"), "doc_id", "left_semi").join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(edges.unionAll(shared))
-    named = classes.join(found, classes["rep"] == found["vertex"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    named = _groups(prints, budget)
     return prints.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
     """One document of each group of near duplicates, the one with the least id, with all its columns.
 
-    Of repeated rows of that id one stays. Rows without an id stay only where their
-    whole group has none, one per fingerprint.
+    Of repeated rows of that id one stays. Where a whole group has no id, one row of its
+    least fingerprint stays.
     """
-    groups = near_duplicates(docs, words, budget)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_kept"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"]) if "text" in docs.columns else rows
+    prints = stage(fingerprints(docs, words))
+    groups = stage(_groups(prints, budget))
+    keep = groups.filter(F.col("component_id").isNotNull()).select(F.col("component_id").alias("_kept")).distinct()
+    rows = docs.join(keep, docs["doc_id"].cast("long") == keep["_kept"], "left_semi")
+    rows = rows.dropDuplicates(["doc_id", "text"])
+    # a row without an id is told by its fingerprint
+    name = free_name(docs, "_fp")
+    nameless = groups.filter(F.col("component_id").isNull() & (F.col("fp") == F.col("root"))).select(F.col("fp").alias(name))
+    unnamed = docs.filter(docs["doc_id"].cast("long").isNull()).withColumn(name, fingerprint_column(F.col("text"), words))
+    return rows.unionAll(unnamed.join(nameless, name, "left_semi").dropDuplicates([name]).drop(name))

@@ -249,6 +249,31 @@ def test_simhash(real, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_rows_without_id(spark):
+    """Groups with and without ids side by side, edited copies in all of them."""
+    draw = random.Random(13)
+    base = [[f"{draw.choice('abcdefgh')}{draw.randint(0, 999)}" for _ in range(400)] for _ in range(5)]
+
+    def copy(i):  # the same words but for a late one: few bits differ
+        return next(t for k in range(200) if (t := " ".join([*base[i][:-1], f"z{k}"])) and 0 < (brute_fingerprint(t) ^ brute_fingerprint(" ".join(base[i]))).bit_count() <= 4)
+
+    whole = [" ".join(b) for b in base]
+    rows = [
+        (None, whole[0], "nulls"), (None, whole[0], "nulls"), (None, copy(0), "nulls"),  # nulls only
+        (7, whole[1], "mixed"), (None, whole[1], "mixed"), (None, copy(1), "mixed"),  # copies of a document with an id
+        (None, whole[2], "alone"), (9, whole[3], "ids"), (8, copy(3), "ids"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _fp string")
+    prints = [brute_fingerprint(t) for _, t, _ in rows]
+    want = brute_components(sorted(set(prints)), lambda x, y: (x ^ y).bit_count() <= 4)
+    groups = {p: min((d for (d, _, _), q in zip(rows, prints) if d is not None and want[q] == want[p]), default=None) for p in prints}
+    found = simhash.near_duplicates(docs).collect()
+    assert len(found) == 9 and all(r["component_id"] == groups[int(r["fingerprint"], 16)] for r in found)
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["_fp"]) for r in kept.collect()) == [(0, "alone"), (0, "nulls"), (7, "mixed"), (8, "ids")]
+
+
 def test_components(spark):
     draw = random.Random(8)
     edges = [(draw.randint(0, 400), draw.randint(0, 400)) for _ in range(250)] + [(i, i + 1) for i in range(500, 560)]

@@ -21,7 +21,7 @@ from maskwright.llm.linear import fit_logistic
 GRAMS = (3, 4, 5, 6)
 BITS = 20
 #: At most so many labelled rows of each class are fitted, the first in a hashed order.
-FIT_ROWS = 1_500
+FIT_ROWS = 2_500
 THRESHOLD = 0.7
 _OTHER = re.compile(r"[\W\d_]+")
 

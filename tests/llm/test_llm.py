@@ -333,6 +333,11 @@ def test_toxicity(spark, sf, real, docs, empty):
     assert kept.columns == docs.columns and kept.count() == 12 and toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_toxicity_sample(spark):
+    labels = spark.range(12000).select(F.col("id").alias("doc_id"), F.pmod("id", F.lit(2)).cast("int").alias("toxic"))
+    assert {r["toxic"]: r["count"] for r in toxicity.sample(labels).groupBy("toxic").count().collect()} == {0: 2500, 1: 2500}
+
+
 def test_quality(spark, sf, docs, empty):
     folder = sf.replace("sf0.001", "sf0.01")
     rows, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -18,6 +19,19 @@ _UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a
 
 #: Characters of texts that are looked up together.
 GROUP = 1_000_000
+#: Words that an encoder remembers, and characters of them for each.
+WORDS, WORD_CHARS = 600_000, 32
+#: Rules under which a text's ids are those of its blank-separated words: blanks are no part of
+#: any pre-token, and the short way knows the letters' lower case.
+_BLANK_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+#: Encoders of this worker process, by tokenizer file.
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -29,19 +43,25 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Encode texts word by word and remember each word's ids.
 
-    The tokenizer's rules never join text across a blank, so the ids of a text are those of
+    Where the tokenizer's rules never join text across a blank, the ids of a text are those of
     its blank-separated words in turn. A word of printable ASCII and Latin-1 letters is
     lower-cased, cut into pre-tokens and given to the library's model, many at a time; any other
     text keeps its words as they are, and those with other characters go through the
-    whole tokenizer. The memory is emptied at ``most`` words.
+    whole tokenizer. A tokenizer with other rules (read from its file, not its name) encodes
+    whole texts.
+
+    Past ``most`` words, or ``WORD_CHARS`` characters for each, the memory keeps the words seen
+    again since they were learnt, the commonest first and up to half of it. Rare
+    words, whose number grows with the corpus, so never push out common ones.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.short = os.path.basename(path) == "word_bpe_49k.json"  # other tokenizers have other rules
+        rules = json.loads(self.tokenizer.to_str())
+        self.by_word = all(rules[k] == v for k, v in _BLANK_RULES.items()) and rules["model"].get("end_of_word_suffix") == "</w>"
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
@@ -50,22 +70,39 @@ class WordEncoder:
         bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.as_bytes = {c: bytes_of.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.units: dict[str, list[int]] = {}
-        self._forget()
+        self.old_units: dict[str, list[int]] = {}
+        self.index: dict[str, int] = {"": 0}
+        self.flat, self.used, self.chars = np.zeros(1 << 16, np.uint32), 0, 0
+        self.at, self.n, self.seen = (np.zeros(1 << 14, np.int64) for _ in range(3))
 
     @classmethod
-    def shared(cls, path: str, most: int = 300_000) -> WordEncoder:
-        """One encoder per worker process, kept with the library so that later tasks find it."""
-        import tokenizers
-
-        made = tokenizers.__dict__.setdefault("_word_encoders", {})
-        if (path, most) not in made:
-            made[path, most] = cls(path, most)
-        return made[path, most]
-
-    def _forget(self) -> None:
-        self.index: dict[str, int] = {"": 0}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+    def shared(cls, path: str) -> WordEncoder:
+        """One encoder per worker process, for all its tasks."""
+        import maskwright.llm.tokens as home  # the imported module, also where this class was shipped by value
+
+        if path not in home._ENCODERS:
+            home._ENCODERS[path] = cls(path)
+        return home._ENCODERS[path]
+
+    def _forget_rare(self) -> None:
+        """Keep the words seen again, at most half of the memory's words and characters."""
+        words = list(self.index)
+        seen = self.seen[: len(words)]
+        order = np.argsort(-seen, kind="stable")
+        order = order[(seen[order] > 1) & (order > 0)][: self.most // 2]
+        sizes = np.fromiter((len(words[i]) for i in order), np.int64, len(order))
+        order = order[np.cumsum(sizes) <= self.most * WORD_CHARS // 2]
+        keep = np.concatenate([[0], np.sort(order)])
+        size = self.n[keep]
+        ends = np.cumsum(size)
+        flat = self.flat[np.repeat(self.at[keep] - ends + size, size) + np.arange(int(ends[-1]))]
+        self.index = {words[i]: k for k, i in enumerate(keep.tolist())}
+        self.chars, self.used = sum(map(len, self.index)), len(flat)
+        self.flat = np.zeros(max(1 << 16, 2 * len(flat)), np.uint32)
+        self.flat[: self.used] = flat
+        room = max(1 << 14, 2 * len(keep))
+        held = [ends - size, size, seen[keep] // 2]
+        self.at, self.n, self.seen = (np.concatenate([h, np.zeros(room - len(h), np.int64)]) for h in held)
 
     def _encode_units(self, units: list[str]) -> None:
         """Ids per pre-token: the model marks where each of a joined line ends."""
@@ -84,10 +121,12 @@ class WordEncoder:
         some = list(odd)
         got = dict(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
         cut = {w: _UNITS.findall(w if plain else w.lower()) for w in words if w not in odd}
-        if len(self.units) > self.most:
-            self.units = {}
-        units = self.units
-        self._encode_units(list({u for us in cut.values() for u in us}.difference(units)))
+        if len(self.units) > self.most // 2:  # two generations: a unit used again moves to the young one
+            self.units, self.old_units = {}, self.units
+        units, old = self.units, self.old_units
+        needed = {u for us in cut.values() for u in us}.difference(units)
+        units.update((u, old[u]) for u in needed & old.keys())
+        self._encode_units(list(needed.difference(units)))
         for w, us in cut.items():
             got[w] = units[us[0]] if len(us) == 1 else [i for u in us for i in units[u]]
         return [got[w] for w in words]
@@ -99,19 +138,18 @@ class WordEncoder:
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while first + len(new) > len(self.at):
-            self.at, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n))
+            self.at, self.n, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n, self.seen))
         self.flat[self.used : self.used + total] = np.fromiter((i for g in got for i in g), np.uint32, total)
         self.at[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
         self.n[first : first + len(new)] = sizes
         self.used += total
+        self.chars += sum(map(len, new))
         self.index.update(zip(new, range(first, first + len(new))))
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of each text's words in this encoder's memory."""
-        if len(self.index) > self.most:
-            self._forget()
-        if not self.short:
-            return self._numbers([_WORDS.findall(t) for t in texts], False)
+        if len(self.index) > self.most or self.chars > self.most * WORD_CHARS:
+            self._forget_rare()
         words = [t.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = set().union(*words).difference(self.index)
         odd = {w for w in new if _ODD.search(w)}
@@ -128,9 +166,12 @@ class WordEncoder:
     def _numbers(self, words: list[list[str]], plain: bool, new: set[str] | None = None) -> list[np.ndarray]:
         new = list(set().union(*words).difference(self.index) if new is None else new)
         if new:
-            self._learn(new, set() if plain else {w for w in new if not self.short or _ODD.search(w)}, plain)
+            self._learn(new, set() if plain else {w for w in new if _ODD.search(w)}, plain)
         of = self.index.__getitem__
-        return [np.fromiter(map(of, ws), np.int64, len(ws)) for ws in words]
+        numbers = [np.fromiter(map(of, ws), np.int64, len(ws)) for ws in words]
+        for some in numbers:
+            np.add.at(self.seen, some, 1)
+        return numbers
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         """All ids of each text, without special tokens; texts are taken together up to ``GROUP`` characters."""
@@ -144,6 +185,10 @@ class WordEncoder:
         yield from self._ids(held)
 
     def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if not self.by_word:
+            for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                yield np.array(found.ids, np.uint32)
+            return
         for numbers in self.numbers(texts):
             sizes = self.n[numbers]
             ends = np.cumsum(sizes)
@@ -152,4 +197,6 @@ class WordEncoder:
 
     def counts(self, texts: list[str]) -> list[int]:
         """How many ids each text has."""
+        if not self.by_word:
+            return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return [int(self.n[numbers].sum()) for numbers in self.numbers(texts)]

@@ -217,7 +217,10 @@ CANARY_NOTICE = "\n[SECURITY NOTICE: Stream aborted due to honeytoken/canary lea
 RATE_REASON = "Rate limit exceeded ({} req/min)."
 QUOTA_REASON = "Token quota exceeded ({} tokens/min)."
 LOOP_REASON = "Runaway agentic loop detected: {} identical consecutive requests. Circuit breaker OPEN."
+COOLDOWN_REASON = "Agentic loop circuit breaker tripped. Cooling down for {}s."
 
 # --- audit ---------------------------------------------------------------------
 GENESIS_HASH = "0" * 64
 COMPLIANCE_STATUS = "CERTIFIED_ARTICLE_32"
+LEAK_REASON = "Blocked by Response DLP policy"
+CANARY_REASON = "Canary token leakage detected ({})"

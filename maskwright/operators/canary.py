@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fixed
 from ..functions.crypto import hmac_sha256
 from ..functions.text import as_column, java_pattern, let
+from .joins import join_null_safe
 
 
 def clean_label(label) -> Column:
@@ -62,25 +63,28 @@ def inject_canaries(
 ) -> DataFrame:
     """Sign each conversation in its first system turn, or in a new one before all turns.
 
-    Only keys and roles are aggregated; texts other than system turns never move.
+    Rows with a null session are one conversation, signed as the empty name; a null turn comes before all
+    others. Only keys and roles are aggregated; texts other than system turns never move.
     """
     before, after = fixed.CANARY_MARK.split("{}")
-    mark = F.concat(F.lit(before), canary_token(session, secret, label, salt), F.lit(after))
+    mark = F.concat(F.lit(before), canary_token(F.coalesce(F.col(session).cast("string"), F.lit("")), secret, label, salt), F.lit(after))
     is_system = F.coalesce(F.col(role) == "system", F.lit(False))
+    # a struct orders a null turn first
+    system_turn = F.min(F.when(is_system, F.struct(F.col(turn).alias("turn"))))
     firsts = turns.groupBy(session).agg(
-        F.min(F.when(is_system, F.col(turn))).alias("_system"), F.min(turn).alias("_first")
+        system_turn.isNotNull().alias("_signed"), system_turn["turn"].alias("_system"), F.min(turn).alias("_first")
     )
     system = (
         turns.filter(is_system)
-        .join(firsts.select(session, "_system"), session)
+        .transform(lambda rows: join_null_safe(rows, firsts.select(session, "_system"), [session], "inner"))
         .withColumn(
-            text, F.when(F.col(turn) == F.col("_system"), F.concat(F.col(text), F.lit("\n"), mark)).otherwise(F.col(text))
+            text, F.when(F.col(turn).eqNullSafe(F.col("_system")), F.concat(F.col(text), F.lit("\n"), mark)).otherwise(F.col(text))
         )
         .select(*turns.columns)
     )
-    added = firsts.filter("_system IS NULL").select(
+    added = firsts.filter("NOT _signed").select(
         session,
-        (F.col("_first") - 1).cast(turns.schema[turn].dataType).alias(turn),
+        (F.coalesce("_first", F.lit(1)) - 1).cast(turns.schema[turn].dataType).alias(turn),
         F.lit("system").alias(role),
         mark.alias(text),
     )

@@ -412,7 +412,7 @@ def names(g: Gates, registered: Mapping[str, str] | None = None) -> Column:
         prefixed_organizations(g),
         listed_names(g, fixed.KNOWN_ORGANIZATIONS, "ORGANIZATION", 0.95),
     ] + [listed_names(g, group, type_, 0.98) for type_, group in sorted(by_type.items())]
-    return greedy_cover(F.concat(*found), lambda s, i: (s["start"] - s["end"], i))
+    return greedy_cover(F.concat(*found), lambda s, i: (s["start"] - s["end"], i), sweep=False)
 
 
 def occurrences(text, value, type_, confidence) -> Column:

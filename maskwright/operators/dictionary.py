@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import quote_pattern
-from .spans import longest_cover, make_span, no_spans
-from .vault import WORD, gram_sizes, leading_gram, word_grams
+from ..sources.staging import stage
+from .joins import join_null_safe
+from .spans import fenced_hits, longest_cover, make_span
+from .vault import WORD, gram_sizes, leading_gram, sift_grams, word_grams
 
 
 def dictionary_spans(
@@ -19,19 +21,21 @@ def dictionary_spans(
 
     ``terms``: ``(dict_name, type, term, case_sensitive)``. A text meets only terms
     whose first four words occur in it as a sequence, whatever the size of the list;
-    those are then located exactly. Terms without any word go by their first two characters.
+    those are then located exactly. Terms without any word go by their first two characters. A Bloom
+    filter of the terms' leading words drops the other words of a text before they are shuffled. Null keys
+    are keys; rows that repeat their keys share candidates.
     """
     keys = list(keys)
     leading = leading_gram("term")
-    listed = terms.select(
+    listed = stage(terms.select(
         leading["gram"].alias("_gram"), leading["size"].alias("_size"),
         F.struct("dict_name", "type", "term", "case_sensitive").alias("_term"),
-    )
+    ).filter(F.col("_gram").isNotNull()))
     sizes = gram_sizes(listed, "_size")
-    grams = word_grams(F.col(text_col), sizes)
-    hits = df.select(*keys, F.explode(grams).alias("_gram")).join(listed.drop("_size"), "_gram")
+    words = df.select(*keys, F.explode(word_grams(F.col(text_col), sizes)).alias("_gram"))
+    hits = sift_grams(words, listed).join(listed.drop("_size"), "_gram")
     candidates = hits.groupBy(*keys).agg(F.collect_set("_term").alias("_terms"))
-    found = df.select(*keys, text_col).join(candidates, keys).withColumn("_text", F.col(text_col))
+    found = join_null_safe(df.select(*keys, text_col), candidates, keys, "inner").withColumn("_text", F.col(text_col))
 
     def locate(t):
         flags = F.when(t["case_sensitive"], "").otherwise("(?iu)")
@@ -42,17 +46,7 @@ def dictionary_spans(
         unmarked = F.when(text.contains("\x01"), F.translate(text, "\x01", " ")).otherwise(text)
         parts = F.split(F.regexp_replace(unmarked, pattern, F.lit("\x01$0\x01")), "\x01", -1)
         meta = F.create_map(F.lit("source"), F.lit("dictionary"), F.lit("dictionary"), t["dict_name"])
-        start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"), no_spans().alias("out"))
-
-        def step(acc, part):
-            span = make_span(t["type"], part, acc["pos"], 1.0, meta)
-            return F.struct(
-                (acc["pos"] + F.length(part)).alias("pos"),
-                (~acc["hit"]).alias("hit"),
-                F.when(acc["hit"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
-            )
-
-        return F.aggregate(parts, start, step, lambda acc: acc["out"])
+        return F.transform(fenced_hits(parts), lambda h: make_span(t["type"], h["value"], h["start"], 1.0, meta))
 
     # A fixed order of terms, so that equal spans resolve the same way everywhere.
     spans = F.flatten(F.transform(F.array_sort("_terms"), locate))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
 from ..functions.text import estimate_tokens, prompt_hash
-from .ordered import micros, number_islands, sliding_totals, time_block
+from .ordered import micros, number_islands, sliding_totals, time_block, trailing_latest
 
 WINDOW_SECONDS = 60
 
@@ -64,24 +64,37 @@ def identical_runs(
 
 
 def judge_usage(
-    df: DataFrame, client: str, ts: str, order: str, limits: Limits = Limits()
+    df: DataFrame, client: str, ts: str, order: str, limits: Limits = Limits(), tie: str | None = None
 ) -> DataFrame:
     """Add ``allowed``, ``circuit_state`` and ``reason`` to rows with ``with_usage``.
 
     A row is refused if its client repeats itself too often or offered too much in the
-    trailing minute. All offered requests count, refused ones too, so a decision is a
-    sliding sum and needs no replay of earlier decisions. A null reason means allowed.
+    trailing minute, and for ``cooldown_ms`` after a row that repeats: that row opens the client's
+    breaker. All offered requests count, refused ones too, so a decision is a
+    sliding sum and needs no replay of earlier decisions; a client that goes on repeating itself keeps its
+    breaker open. A null reason means allowed. Rows without a client are one client, rows without a time share
+    one moment before all others. ``tie`` is a last order column where ``order`` may repeat.
     """
-    load = offered_load(df, client, ts, limits)
-    judged = identical_runs(load, client, ts, order, limits)
+    order_cols = [order] + ([tie] if tie else [])
+    moment = F.coalesce(F.col(ts).cast("timestamp"), F.timestamp_seconds(F.lit(0)))
+    work = df.withColumn("_moment", moment).withColumn("_order", F.struct(*order_cols))
+    load = offered_load(work, client, "_moment", limits)
+    judged = identical_runs(load, client, "_moment", "_order", limits)
+    opened = trailing_latest(
+        judged, [client], "_moment", limits.cooldown_ms, F.col("looping"), "_opened", max(3600, -(-limits.cooldown_ms // 1000))
+    )
+    left = F.ceil((F.col("_opened") + limits.cooldown_ms * 1000 - micros("_moment")) / 1_000_000)
+    before, after = fixed.COOLDOWN_REASON.split("{}")
+    is_open = F.col("_opened").isNotNull()
     reason = (
         F.when(F.col("looping"), F.lit(fixed.LOOP_REASON.format(limits.identical_prompts)))
+        .when(is_open, F.concat(F.lit(before), left.cast("string"), F.lit(after)))
         .when(F.col("over_rate"), F.lit(fixed.RATE_REASON.format(limits.requests_per_minute)))
         .when(F.col("over_quota"), F.lit(fixed.QUOTA_REASON.format(limits.tokens_per_minute)))
     )
-    return judged.select(
+    return opened.select(
         *df.columns, reason.isNull().alias("allowed"),
-        F.when(F.col("looping"), "OPEN").otherwise("CLOSED").alias("circuit_state"), reason.alias("reason"),
+        F.when(F.col("looping") | is_open, "OPEN").otherwise("CLOSED").alias("circuit_state"), reason.alias("reason"),
     )
 
 

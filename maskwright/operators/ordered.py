@@ -169,21 +169,35 @@ def sliding_totals(
     One shuffle: a row also visits the next block if it can still be inside a
     window that begins there, and is dropped from that block's result.
     """
-    width, step = seconds * 1_000_000, block_seconds * 1_000_000
+    return _sliding(df, group, ts, -seconds * 1_000_000, 0, {k: F.sum(v) for k, v in totals.items()}, block_seconds)
+
+
+def trailing_latest(
+    df: DataFrame, group: Sequence[str], ts: str, millis: int, when: Column, out: str, block_seconds: int = 3600
+) -> DataFrame:
+    """Microseconds of the group's latest row for which ``when`` holds, less than ``millis`` before this one and
+    not at its own moment; else null."""
+    latest = F.max(F.when(when, micros(ts)))
+    return _sliding(df, group, ts, 1 - millis * 1000, -1, {out: latest}, block_seconds)
+
+
+def _sliding(
+    df: DataFrame, group: Sequence[str], ts: str, first: int, last: int, totals: Mapping[str, Column], block_seconds: int
+) -> DataFrame:
+    width, step = -first, block_seconds * 1_000_000
     if width > step:
         raise ValueError("a block must be at least as long as the window")
     at = micros(ts)
     home = F.floor(at / F.lit(step)).cast("bigint")
-    named = [f"_t{i}" for i in range(len(totals))]
-    rows = df.withColumns({"_at": at, "_home": home, **dict(zip(named, totals.values()))})
+    rows = df.withColumns({"_at": at, "_home": home})
     near_end = (F.col("_home") + 1) * step - F.col("_at") <= width
     rows = rows.withColumn(
         "_block",
         F.explode(F.when(near_end, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))),
     )
-    window = Window.partitionBy(*group, "_block").orderBy("_at").rangeBetween(-width, 0)
+    window = Window.partitionBy(*group, "_block").orderBy("_at").rangeBetween(first, last)
     summed = rows.select(
         *df.columns, "_home", "_block",
-        *[F.sum(t).over(window).alias(name) for t, name in zip(named, totals)],
+        *[total.over(window).alias(name) for name, total in totals.items()],
     )
     return summed.filter(F.col("_home") == F.col("_block")).drop("_home", "_block")

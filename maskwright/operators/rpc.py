@@ -12,6 +12,7 @@ from ..functions.json_text import FIXED, LEAF, SCREENED, quote_json, result_piec
 from ..functions.text import normalize_text
 from .detectors import DetectorSet
 from .firewall import match_rules, score_matches
+from .joins import join_null_safe
 from .vault import Anonymized, anonymize, restore
 
 
@@ -31,7 +32,7 @@ def _reassemble(df: DataFrame, parts: DataFrame, keys: Sequence[str], line: str,
         .agg(F.array_sort(F.collect_list("_p")).alias("_ps"))
         .select(*keys, F.array_join(F.col("_ps.t"), "").alias(out))
     )
-    return df.join(lines, keys, "left").withColumn(out, F.coalesce(out, line))
+    return join_null_safe(df, lines, keys).withColumn(out, F.coalesce(out, line))
 
 
 def _exploded(df: DataFrame, pieces: Column, keys: Sequence[str]) -> DataFrame:

@@ -24,6 +24,10 @@ SPANS = f"array<{SPAN}>"
 
 # Marks both ends of a match while a text is being split.
 _MARK = MARK
+# Parts of a block; even.
+_BLOCK = 64
+# Spans that are compared with each other directly; more are first cut where none overlap.
+_FEW = 32
 
 
 def no_spans() -> Column:
@@ -36,13 +40,39 @@ def _hits(text: Column, pattern: str) -> Column:
     Spark has no built-in that returns match positions, so matches are fenced
     with a mark, the text is split on it, and lengths are summed up.
     """
-    parts = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
-    start = F.struct(
-        F.lit(0).alias("pos"),
-        F.lit(False).alias("hit"),
-        F.array().cast("array<struct<value:string,start:int>>").alias("out"),
+    return fenced_hits(F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1))
+
+
+def _in_blocks(items: Column) -> Column:
+    """An array cut into arrays of ``_BLOCK``."""
+    last = lambda whole: F.floor((F.size(whole) - 1) / _BLOCK).cast("int")
+    return let(
+        items,
+        lambda whole: F.transform(F.sequence(F.lit(0), last(whole)), lambda k: F.slice(whole, k * _BLOCK + 1, F.lit(_BLOCK))),
     )
 
+
+def _scan(items: Column, total: Callable[[Column], Column], add: Callable[[Column, Column], Column], run: Callable[[Column, Column], Column]) -> Column:
+    """Join what ``run(block, number)`` makes of each block of a non-empty array; ``number`` is what ``add``
+    makes, from 0, of the ``total`` of each block before it.
+
+    Growing an array copies it. A run over a block copies little, whatever the array's length.
+    """
+
+    def before(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("now"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, block: F.struct(
+            add(acc["now"], total(block)).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out")
+        )
+        return F.aggregate(blocks, start, step, lambda acc: acc["out"])
+
+    return let(_in_blocks(items), lambda blocks: F.flatten(F.zip_with(blocks, before(blocks), run)))
+
+
+def fenced_hits(parts: Column) -> Column:
+    """``array<struct(value, start)>`` of every second part of a text that was cut around its matches."""
+    none = F.array().cast("array<struct<value:string,start:int>>")
+
     def step(acc: Column, part: Column) -> Column:
         found = F.array(F.struct(part.alias("value"), acc["pos"].alias("start")))
         return F.struct(
@@ -51,7 +81,14 @@ def _hits(text: Column, pattern: str) -> Column:
             F.when(acc["hit"], F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"),
         )
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    # a block holds an even number of parts, so each begins outside a match
+    start = lambda at: F.struct(at.alias("pos"), F.lit(False).alias("hit"), none.alias("out"))
+    return _scan(
+        parts,
+        lambda block: F.length(F.array_join(block, "")),
+        lambda a, b: a + b,
+        lambda block, at: F.aggregate(block, start(at), step, lambda acc: acc["out"]),
+    )
 
 
 def make_span(type_, value, start, confidence, metadata: Column) -> Column:
@@ -169,6 +206,36 @@ def overlaps(a: Column, b: Column) -> Column:
     return F.greatest(a["start"], b["start"]) < F.least(a["end"], b["end"])
 
 
+def overlap_groups(items: Column) -> Column:
+    """Arrays of ``items`` that overlaps join, by start; ``items`` are structs whose first fields are
+    ``start`` and ``end``, and hold no maps.
+
+    A sweep along the starts: a group begins where no earlier item reaches.
+    """
+
+    def opens(block: Column, top: Column) -> Column:
+        start = F.struct(top.alias("top"), F.array().cast("array<boolean>").alias("out"))
+        step = lambda acc, k: F.struct(
+            F.greatest(acc["top"], k["end"]).alias("top"), F.concat(acc["out"], F.array(k["start"] >= acc["top"])).alias("out")
+        )
+        return F.aggregate(block, start, step, lambda acc: acc["out"])
+
+    def cut(ordered: Column) -> Column:
+        flags = _scan(ordered, lambda block: F.array_max(block["end"]), lambda a, b: F.greatest(a, b), opens)
+        firsts = F.filter(F.transform(flags, lambda f, i: F.when(f | (i == 0), i)), lambda i: i.isNotNull())
+        upto = lambda at, n: F.coalesce(F.get(at, n + 1), F.size(ordered))
+        return let(firsts, lambda at: F.transform(at, lambda i, n: F.slice(ordered, i + 1, upto(at, n) - i)))
+
+    return let(F.array_sort(items), cut)
+
+
+def _by_group(items: Column, take: Callable[[Column], Column], sweep: bool = True) -> Column:
+    """``take`` of items; with ``sweep`` many go group by group, since spans of different groups never overlap."""
+    if not sweep:
+        return take(items)
+    return F.when(F.size(items) <= _FEW, take(items)).otherwise(F.flatten(F.transform(overlap_groups(items), take)))
+
+
 def claim_in_order(*groups: Column) -> Column:
     """Concatenate span arrays, dropping spans that overlap an earlier array."""
     return F.aggregate(
@@ -180,25 +247,19 @@ def claim_in_order(*groups: Column) -> Column:
     )
 
 
-def greedy_cover(spans: Column, sort_key: Callable[[Column, Column], Sequence[Column]]) -> Column:
+def greedy_cover(spans: Column, sort_key: Callable[[Column, Column], Sequence[Column]], sweep: bool = True) -> Column:
     """Take spans in key order, each if it overlaps none taken; return by start.
 
     ``sort_key(span, index)`` gives ascending keys; the index breaks ties, so the
-    order is total and the result does not depend on the partitioning.
+    order is total and the result does not depend on the partitioning. With ``sweep`` the work
+    grows with the spans and with the largest set of spans that overlaps join; without it the
+    expression is smaller and the work grows with their square.
     """
 
-    def cover(all_spans: Column) -> Column:
-        keyed = F.transform(
-            all_spans,
-            lambda s, i: F.struct(
-                *[k.alias(f"k{n}") for n, k in enumerate(sort_key(s, i))],
-                i.alias("i"),
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-            ),
-        )
-        taken = F.aggregate(
-            F.array_sort(keyed),
+    def taken(rows: Column) -> Column:
+        by_key = F.transform(rows, lambda r: F.struct(r["key"].alias("key"), r["i"].alias("i"), r["start"].alias("start"), r["end"].alias("end")))
+        return F.aggregate(
+            F.array_sort(by_key),
             F.array().cast("array<struct<start:int,end:int,i:int>>"),
             lambda acc, k: F.when(F.exists(acc, lambda a: overlaps(a, k)), acc).otherwise(
                 F.concat(
@@ -206,7 +267,17 @@ def greedy_cover(spans: Column, sort_key: Callable[[Column, Column], Sequence[Co
                 )
             ),
         )
-        return F.transform(F.array_sort(taken), lambda k: F.get(all_spans, k["i"]))
+
+    def cover(all_spans: Column) -> Column:
+        keyed = F.transform(
+            all_spans,
+            lambda s, i: F.struct(
+                s["start"].alias("start"), s["end"].alias("end"), i.alias("i"),
+                F.struct(*[k.alias(f"k{n}") for n, k in enumerate(sort_key(s, i))]).alias("key"),
+            ),
+        )
+        kept = let(keyed, lambda rows: _by_group(rows, taken, sweep))
+        return F.transform(F.array_sort(kept), lambda k: F.get(all_spans, k["i"]))
 
     return let(spans, lambda s: F.when(F.size(s) <= 1, s).otherwise(cover(s)))
 
@@ -282,7 +353,8 @@ def merge_spans(text, spans) -> Column:
 
 
 def replace_spans(text, spans, replacement: Callable[[Column], Column]) -> Column:
-    """Rewrite disjoint, start-ordered spans; each piece of text is copied once."""
+    """Rewrite disjoint, start-ordered spans; each piece of text is copied once. A span without a
+    replacement is redacted: no text is lost and no value shown."""
     text = as_column(text)
 
     def rewrite(items: Column) -> Column:
@@ -290,7 +362,7 @@ def replace_spans(text, spans, replacement: Callable[[Column], Column]) -> Colum
             items,
             lambda s, i: let(
                 F.when(i == 0, F.lit(0)).otherwise(F.get(items, i - 1)["end"]),
-                lambda at: F.concat(F.substr(text, at + 1, s["start"] - at), replacement(s)),
+                lambda at: F.concat(F.substr(text, at + 1, s["start"] - at), F.coalesce(replacement(s), _redacted(s))),
             ),
         )
         tail = F.substr(text, F.element_at(items, -1)["end"] + 1)
@@ -302,9 +374,13 @@ def replace_spans(text, spans, replacement: Callable[[Column], Column]) -> Colum
     )
 
 
+def _redacted(span: Column) -> Column:
+    return F.concat(F.lit("[REDACTED_"), F.coalesce(span["type"], F.lit("VALUE")), F.lit("]"))
+
+
 def redact(text, spans) -> Column:
     """Every span becomes ``[REDACTED_<TYPE>]``."""
-    return replace_spans(text, spans, lambda s: F.concat(F.lit("[REDACTED_"), s["type"], F.lit("]")))
+    return replace_spans(text, spans, _redacted)
 
 
 def explode_spans(df: DataFrame, spans: str = "spans", *, keep=None) -> DataFrame:

@@ -18,8 +18,9 @@ from ..functions import fixed_values as fixed
 from ..functions.text import as_column, java_pattern, let, lookup_key, quote_pattern, trim_all
 from ..sources.staging import stage
 from .detectors import DetectorSet, find_entities
+from .joins import join_null_safe, with_row_key
 from .ordered import default_block, ordered_rank
-from .spans import explode_spans, make_span, metadata, no_spans, overlaps, replace_spans, resolve_overlaps
+from .spans import explode_spans, fenced_hits, greedy_cover, make_span, metadata, no_spans, replace_spans, resolve_overlaps
 
 WORD = r"\p{L}\p{N}_"
 _GRAM = 4
@@ -68,7 +69,7 @@ def build_vault(
     )
     if prior is not None:
         known = [*session_cols, "type", "lookup_key"]
-        first = first.join(prior.select(*known), known, "left_anti")
+        first = join_null_safe(first, prior.select(*known), known, "left_anti")
     values = first.select(
         *session_cols,
         "type",
@@ -83,7 +84,7 @@ def build_vault(
     if prior is not None:
         top = prior.groupBy(*session_cols, "type").agg(F.max("seq").alias("_top"))
         ranked = (
-            ranked.join(top, [*session_cols, "type"], "left")
+            join_null_safe(ranked, top, [*session_cols, "type"])
             .withColumn("seq", F.col("seq") + F.coalesce(F.col("_top"), F.lit(0)))
             .drop("_top")
         )
@@ -108,14 +109,9 @@ def lookup_originals(
     folded = vault.groupBy(*keys, F.lower("placeholder").alias("_low")).agg(
         F.max_by("original_value", F.struct("seq", "placeholder")).alias("_folded")
     )
-    return (
-        df.withColumn("_ph", F.col(placeholder))
-        .withColumn("_low", F.lower(placeholder))
-        .join(exact, [*keys, "_ph"], "left")
-        .join(folded, [*keys, "_low"], "left")
-        .withColumn(out, F.coalesce("_exact", "_folded"))
-        .drop("_ph", "_low", "_exact", "_folded")
-    )
+    sought = df.withColumn("_ph", F.col(placeholder)).withColumn("_low", F.lower(placeholder))
+    found = join_null_safe(join_null_safe(sought, exact, [*keys, "_ph"]), folded, [*keys, "_low"])
+    return found.withColumn(out, F.coalesce("_exact", "_folded")).drop("_ph", "_low", "_exact", "_folded")
 
 
 # --- known values in a text ----------------------------------------------------
@@ -133,18 +129,8 @@ def value_spans(text, value: Column, type_, confidence, meta: Column | None = No
     )
     unmarked = F.when(text.contains("\x01"), F.translate(text, "\x01", " ")).otherwise(text)
     parts = F.split(F.regexp_replace(unmarked, pattern, F.lit("\x01$0\x01")), "\x01", -1)
-    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"), no_spans().alias("out"))
     details = meta if meta is not None else metadata()
-
-    def step(acc: Column, part: Column) -> Column:
-        span = make_span(type_, part, acc["pos"], confidence, details)
-        return F.struct(
-            (acc["pos"] + F.length(part)).alias("pos"),
-            (~acc["hit"]).alias("hit"),
-            F.when(acc["hit"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
-        )
-
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return F.transform(fenced_hits(parts), lambda h: make_span(type_, h["value"], h["start"], confidence, details))
 
 
 def _type_in(type_: Column, types) -> Column:
@@ -185,6 +171,26 @@ def gram_sizes(grams: DataFrame, size: str) -> list[int]:
     return sorted(r[0] for r in grams.select(size).distinct().collect())
 
 
+#: Bits of the filter that grams of texts pass before they are shuffled.
+FILTER_BITS = 1 << 22
+
+
+def _cell(df: DataFrame, gram: str) -> DataFrame:
+    number = F.pmod(F.xxhash64(gram), F.lit(FILTER_BITS))
+    return df.withColumn("_cell", F.floor(number / 64).cast("int")).withColumn("_bit", F.call_function("shiftleft", F.lit(1).cast("long"), (number % 64).cast("int")))
+
+
+def sift_grams(exploded: DataFrame, listed: DataFrame, gram: str = "_gram") -> DataFrame:
+    """Rows of ``exploded`` whose gram may be among those of ``listed``: all that are, and few others.
+
+    A Bloom filter with one hash, as a table of 64-bit cells. It has at most ``FILTER_BITS / 64`` rows of
+    two numbers, about a megabyte, whatever the list, so it is broadcast; words that no entry begins with never shuffle.
+    """
+    cells = _cell(listed.select(gram), gram).groupBy("_cell").agg(F.bit_or("_bit").alias("_bits"))
+    sought = _cell(exploded, gram).join(F.broadcast(cells), "_cell")
+    return sought.filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_cell", "_bit", "_bits")
+
+
 def word_grams(text: Column, sizes: Sequence[int]) -> Column:
     """Distinct sequences of so many neighbouring words, folded. Size 0 stands for
     values without any word and gives single signs and pairs of them."""
@@ -218,29 +224,31 @@ def _gram_at(words: Column, size: int):
 
 
 def _known_values(
-    texts: DataFrame, detected: DataFrame, vault: DataFrame, session_cols: Sequence[str], keys: Sequence[str]
+    texts: DataFrame, detected: DataFrame, vault: DataFrame, session_cols: Sequence[str], row: str = "_text_row"
 ) -> DataFrame:
-    """``texts`` with ``known``: the vault entries that can occur in each text.
+    """``texts`` with ``known``: the vault entries that can occur in each text. ``row`` tells texts apart.
 
     A value is found through its first four words, folded as the locating pattern
     folds case, so a text meets only values it may contain, sessions of any size are
     matched in the same way, and no group grows with the session.
     """
-    session_cols, keys = list(session_cols), list(keys)
+    session_cols = list(session_cols)
     entry = F.struct("type", "lookup_key", "placeholder", "original_value", "seq", "first_pos")
     leading = leading_gram("original_value")
-    sizes_used = gram_sizes(vault.select(leading["size"].alias("n")), "n")
-    by_gram = vault.select(*session_cols, leading["gram"].alias("_gram"), entry.alias("_entry"))
-    text_grams = texts.select(*keys, F.explode(word_grams(F.col("_text"), sizes_used)).alias("_gram"))
-    mentioned = text_grams.join(by_gram, [*session_cols, "_gram"]).select(*keys, "_entry")
-    own = (
-        detected.select(*keys, "type", lookup_key("value").alias("lookup_key"))
-        .distinct()
-        .join(vault.select(*session_cols, "type", "lookup_key", entry.alias("_entry")), [*session_cols, "type", "lookup_key"])
-        .select(*keys, "_entry")
-    )
-    per_text = mentioned.unionByName(own).groupBy(*keys).agg(F.collect_set("_entry").alias("known"))
-    return texts.join(per_text, keys, "left")
+    by_gram = stage(vault.select(*session_cols, leading["gram"].alias("_gram"), leading["size"].alias("_size"), entry.alias("_entry")))
+    sizes_used = gram_sizes(by_gram, "_size")
+    here = texts.select(row, *session_cols, "_text")
+    if session_cols:  # sessions without a value have nothing to look for
+        here = join_null_safe(here, by_gram.select(*session_cols).distinct(), session_cols, "left_semi")
+    text_grams = sift_grams(here.select(row, *session_cols, F.explode(word_grams(F.col("_text"), sizes_used)).alias("_gram")), by_gram)
+    mentioned = join_null_safe(text_grams, by_gram, [*session_cols, "_gram"], "inner").select(row, "_entry")
+    key = [*session_cols, "type", "lookup_key"]
+    own = join_null_safe(
+        detected.select(row, *session_cols, "type", lookup_key("value").alias("lookup_key")).distinct(),
+        vault.select(*key, entry.alias("_entry")), key, "inner",
+    ).select(row, "_entry")
+    per_text = mentioned.unionByName(own).groupBy(row).agg(F.collect_set("_entry").alias("known"))
+    return texts.join(per_text, row, "left")
 
 
 def _all_spans(own: Column, known: Column, text: Column, allow) -> Column:
@@ -279,17 +287,8 @@ def _all_spans(own: Column, known: Column, text: Column, allow) -> Column:
                 F.create_map(F.lit("placeholder"), e["placeholder"]),
             ),
         )
-        added = F.aggregate(
-            F.flatten(ordered),
-            own,
-            lambda acc, s: F.when(F.exists(acc, lambda a: overlaps(a, s)), acc).otherwise(
-                F.concat(acc, F.array(s))
-            ),
-        )
-        by_start = F.array_sort(
-            added,
-            lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0),
-        )
+        # own spans first, then values in that order, each where nothing is taken yet
+        by_start = greedy_cover(F.concat(own, F.flatten(ordered)), lambda s, i: (i,))
         return F.when(anything, by_start).otherwise(own)
 
     return F.when(F.coalesce(F.size(known), F.lit(0)) > 0, let(usable, rescan)).otherwise(own)
@@ -317,7 +316,7 @@ def anonymize(
 ) -> Anonymized:
     """Replace entities by placeholders, one vault per session.
 
-    ``session_cols`` and ``order_cols`` together identify a row. ``allow`` types stay
+    Null sessions are one session, and rows may repeat their session and order. ``allow`` types stay
     as they are, ``redact`` types become ``[REDACTED_TYPE]`` and never enter the
     vault; both may be array columns of ``df``. ``spans_col`` names a column of spans found
     before, which are then used instead of a search. ``extra_spans`` gives spans from elsewhere,
@@ -331,7 +330,7 @@ def anonymize(
         df, order_cols = df.withColumn("_turn", F.lit(0)), ["_turn"]
     keys = session_cols + order_cols
     names = df.columns
-    prepared = df.withColumn("_text", F.col(text_col))
+    prepared = with_row_key(df.withColumn("_text", F.col(text_col)))
     allow_types, redact_types = allow, redact
     if isinstance(allow, Column):
         prepared, allow_types = prepared.withColumn("_allow", allow), F.col("_allow")
@@ -345,8 +344,9 @@ def anonymize(
     if terms is not None:
         from .dictionary import dictionary_spans
 
-        hits = dictionary_spans(prepared.select(*keys, "_text"), terms, "_text", keys, "_terms").drop("_text")
-        prepared = prepared.join(hits, keys, "left")
+        prepared = stage(prepared)
+        hits = dictionary_spans(prepared.select("_text_row", "_text"), terms, "_text", ["_text_row"], "_terms").drop("_text")
+        prepared = prepared.join(hits, "_text_row", "left")
         more.append(F.col("_terms"))
     if more:
         more = F.concat(*[F.coalesce(m, no_spans()) for m in more])
@@ -354,14 +354,14 @@ def anonymize(
     else:
         found = F.col(spans_col) if spans_col else find_entities("_text", detectors=detectors)
     staged = stage(prepared.withColumn("_own", found))
-    keep = [*keys] + [c for c in ("_allow", "_redact") if c in staged.columns]
+    keep = ["_text_row", *keys] + [c for c in ("_allow", "_redact") if c in staged.columns]
     spans = explode_spans(staged.select(*keep, "_own"), "_own")
     actionable = spans.filter(~allowed(F.col("type")) & ~redacted(F.col("type")))
     built = build_vault(actionable, session_cols, order_cols, prior=vault, block=block)
     # The vault feeds the joins and the caller: write it once.
     built = stage(built)
 
-    joined = _known_values(staged, actionable, built, session_cols, keys)
+    joined = _known_values(staged, actionable, built, session_cols)
     known = F.coalesce(F.col("known"), F.array())
     if not two_pass:
         here = F.struct(*[F.col(c) for c in order_cols], F.lit(2147483647).alias("start"))
@@ -395,7 +395,7 @@ def anonymize(
     rewritten = with_all.withColumn("sanitized", sanitized).select(
         *[c for c in names if c != "_turn"], "sanitized", "entities"
     )
-    out_spans = spans.drop("_allow", "_redact", *(["_turn"] if "_turn" in keys else []))
+    out_spans = spans.drop("_text_row", "_allow", "_redact", *(["_turn"] if "_turn" in keys else []))
     return Anonymized(rewritten, out_spans, built)
 
 
@@ -439,7 +439,7 @@ def placeholder_map(
         F.lower("placeholder").alias("_low"),
         F.struct("placeholder", "original_value", "seq").alias("_entry"),
     )
-    hits = used.join(entries, [*session_cols, "_low"]).select(
+    hits = join_null_safe(used, entries, [*session_cols, "_low"], "inner").select(
         *keys,
         F.struct(
             "_used", (F.col("_used") == F.col("_entry.placeholder")).alias("exact"), "_entry.seq",
@@ -471,11 +471,12 @@ def restore(
     df: DataFrame, vault: DataFrame, text_col: str, session_cols: Sequence[str], order_cols: Sequence[str] = (),
     out: str = "restored",
 ) -> DataFrame:
-    """Put originals back. ``session_cols`` and ``order_cols`` identify a row."""
+    """Put originals back. Rows are told apart by ``session_cols`` and ``order_cols``, nulls
+    included; rows that repeat them share what their placeholders stand for."""
     keys = [*session_cols, *order_cols]
     originals = placeholder_map(df, vault, text_col, session_cols, keys)
     return (
-        df.join(originals, keys, "left")
+        join_null_safe(df, originals, keys)
         .withColumn(out, fill_placeholders(F.col(text_col), F.col("_originals")))
         .drop("_originals")
     )

@@ -16,6 +16,7 @@ from ..operators.compliance import compliance_summary
 from ..operators.detectors import DetectorSet, find_entities
 from ..operators.documents import rewrite_pieces
 from ..operators.firewall import Rule, score_prompts
+from ..operators.joins import with_row_key
 from ..operators.guard import Limits, judge_usage, with_usage
 from ..operators.leaks import check_responses
 from ..operators.policy import PolicyRule, decide
@@ -49,13 +50,15 @@ def gate_requests(
 
     ``requests``: ``request_id, session_id, client, ts, department, role, model,
     is_streaming, prompt`` with one prompt per request. Cheap tests come first; the
-    detection result is written once and feeds policy, counts and rewriting.
+    detection result is written once and feeds policy, counts and rewriting. Every row is one request, with one
+    verdict and one audit record, also where ids repeat or ids, clients or sessions are null.
     """
-    usage = with_usage(requests.select("request_id", "client", "ts", "prompt"), "prompt").drop("prompt")
-    verdicts = judge_usage(usage, "client", "ts", "request_id", limits).select(
-        "request_id", "allowed", "circuit_state", F.col("reason").alias("_limit_reason")
+    requests_, columns = stage(with_row_key(requests, "_request")), requests.columns
+    usage = with_usage(requests_.select("_request", "request_id", "client", "ts", "prompt"), "prompt").drop("prompt")
+    verdicts = judge_usage(usage, "client", "ts", "request_id", limits, tie="_request").select(
+        "_request", "allowed", "circuit_state", F.col("reason").alias("_limit_reason")
     )
-    judged = requests.join(verdicts, "request_id")
+    judged = requests_.join(verdicts, "_request")
     scored = score_prompts(judged, "prompt", threshold, extra_rules)
     passed_limits, passed_screen = F.col("allowed"), F.col("safe")
     # Texts that are refused anyway are not searched.
@@ -89,12 +92,12 @@ def gate_requests(
             "system_note", F.concat(F.lit(before), token, F.lit(after))
         )
     done = anonymize(
-        passed, "prompt", ["session_id"], [turn or "ts", "request_id"], spans_col="_found",
+        passed, "prompt", ["session_id"], [turn or "ts", "request_id", "_request"], spans_col="_found",
         redact=F.col("decision.redact_types"), allow=F.col("decision.allow_types"), detectors=detectors, vault=vault,
     )
-    outbound = stage(done.rewritten.drop("_found", "_types", "_limit_reason", "refused_by", "refusal"))
+    outbound = stage(done.rewritten.drop("_found", "_types", "_limit_reason", "_request", "refused_by", "refusal"))
     audit = _gate_audit(refused).unionByName(_gate_audit(outbound.withColumn("refused_by", F.lit(None).cast("string"))))
-    keep = [*requests.columns, "refused_by", "refusal", "risk_score", "flags"]
+    keep = [*columns, "refused_by", "refusal", "risk_score", "flags"]
     return Gate(outbound, refused.select(*keep), done.vault, audit)
 
 
@@ -130,16 +133,16 @@ def check_responses_job(
 ) -> DataFrame:
     """Canary check first, then restore and leak check: adds ``canary_alert``,
     ``matched_tokens`` and the columns of ``check_responses``."""
-    keys = [*session_cols, *order_cols]
-    alarms = scan_canaries(responses, registry, text_col, keys)
-    checked = check_responses(responses, vault, text_col, session_cols, order_cols, list(rules), detectors)
-    joined = checked.join(alarms, keys, "left").withColumn("canary_alert", F.coalesce("leak_detected", F.lit(False)))
-    alert = F.col("canary_alert")
+    asked = stage(with_row_key(responses, "_response"))
+    alarms = scan_canaries(asked, registry, text_col, ["_response"])
+    checked = check_responses(asked, vault, text_col, session_cols, order_cols, list(rules), detectors)
+    joined = checked.join(alarms, "_response", "left").drop("_response").withColumn("canary_alert", F.coalesce("leak_detected", F.lit(False)))
+    alert, (before, after) = F.col("canary_alert"), fixed.CANARY_REASON.split("{}")
     return joined.drop("leak_detected").withColumn(
         "checked", F.when(alert, F.lit("")).otherwise(F.col("checked"))
     ).withColumn("blocked", alert | F.col("blocked")).withColumn(
         "block_reason",
-        F.when(alert, F.concat(F.lit("Canary token leakage detected ("), F.array_join("matched_tokens", ", "), F.lit(")"))).otherwise(F.col("block_reason")),
+        F.when(alert, F.concat(F.lit(before), F.array_join("matched_tokens", ", "), F.lit(after))).otherwise(F.col("block_reason")),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import as_column
+from ..operators.joins import join_null_safe
 
 _ENVELOPE = (
     "request_id string, ts timestamp, x_forwarded_for string, remote_addr string, x_session_id string, "
@@ -109,7 +110,7 @@ def rebuild_messages(messages: DataFrame, message: str, parts: DataFrame, keys:
     by_message = parts.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("part_idx", text))).alias("_new")
     )
-    joined = messages.join(by_message, keys, "left")
+    joined = join_null_safe(messages, by_message, keys)
     return joined.withColumn(message, _rebuild(F.col(message), F.col("_new"))).drop("_new")
 
 

@@ -3,7 +3,8 @@
 Windows of benchmark words become a hash set that is broadcast; each window of
 a document's words is hashed in generated code and looked up; hits are verified word
 by word. A benchmark above ``BROADCAST_WINDOWS`` windows is cut by hash into parts below
-it, each with a scan of its own, so what is broadcast stays bounded.
+it, each with a scan of its own, so what is broadcast stays bounded: a window is at most 13 words,
+its hash and a key of 32 bytes. Which items hold a window is joined to the hits afterwards.
 """
 
 from __future__ import annotations
@@ -32,15 +33,20 @@ def _hash(parts: Column, start: Column, length: int) -> Column:
     return F.xxhash64(F.lit(length), *[F.get(parts, start + i) for i in range(length)])
 
 
-def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Each different window once: ``length hash window items``. Items without id or words have none."""
-    items = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), words(F.col("text").cast("string")).alias("ws"))
+def windows(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Each different window once, ``length hash window key``, and ``key item`` of the items that hold it.
+
+    A null id is no item, but its text has windows like any other; a null text has none. ``key`` is
+    SHA-256 of the window's words. A window that all items share stays one narrow row.
+    """
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text").cast("string")).alias("ws"))
     items = items.withColumn("length", F.least(F.size("ws"), F.lit(size))).filter("length > 0")
     starts = items.select("item", "ws", "length", F.explode(F.sequence(F.lit(0), F.size("ws") - F.col("length"))).alias("at"))
     rows = starts.select("item", "length", F.slice("ws", F.col("at") + 1, F.col("length")).alias("window"))
-    grouped = rows.groupBy("length", "window").agg(F.collect_set("item").alias("items"))
+    rows = stage(rows.withColumn("key", F.unhex(F.sha2(F.array_join("window", " "), 256))).distinct())
     by_length = F.coalesce(*[F.when(F.col("length") == k, _hash(F.col("window"), F.lit(0), k)) for k in range(1, size + 1)])
-    return grouped.withColumn("hash", by_length)
+    known = rows.select("length", "window", "key").distinct().withColumn("hash", by_length)
+    return known, rows.filter(F.col("item").isNotNull()).select("key", "item")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -49,8 +55,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = BROADCAST_WINDOWS) -> DataFrame:
-    """Verified occurrences ``doc_id mark at length items``; ``mark`` tells apart texts under one id."""
-    known = stage(windows(benchmark, size))
+    """Verified occurrences ``doc_id mark at length key`` of windows; ``mark`` tells apart texts under one id."""
+    return _find(docs, windows(benchmark, size)[0], size, most)
+
+
+def _find(docs: DataFrame, known: DataFrame, size: int, most: int = BROADCAST_WINDOWS) -> DataFrame:
+    known = stage(known)
     counts = {r["length"]: r["count"] for r in known.groupBy("length").count().collect()}  # at most ``size`` rows
     parts = max(1, -(-sum(counts.values()) // most))
     lengths = sorted(counts) or [size]
@@ -64,11 +74,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int =
     found = None
     for part in range(parts):
         some = known.filter(F.pmod("hash", F.lit(parts)) == part).select(
-            F.col("hash").alias("_hash"), F.col("length").alias("_length"), "window", "items"
+            F.col("hash").alias("_hash"), F.col("length").alias("_length"), "window", "key"
         )
         same = F.slice("ws", F.col("at") + 1, F.col("length")) == F.col("window")
         on = (F.col("hash") == F.col("_hash")) & (F.col("length") == F.col("_length")) & same
-        got = sought.join(F.broadcast(some), on).select("doc_id", "mark", "at", "length", "items")
+        got = sought.join(F.broadcast(some), on).select("doc_id", "mark", "at", "length", "key")
         found = got if found is None else found.unionAll(got)
     return found
 
@@ -79,19 +89,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, sha
     A word inside any occurrence of a benchmark window is hit; a document is contaminated
     if hit words are one in ``share`` or more. Null and empty texts have no words; repeated
     rows get equal results; rows with a null doc_id are judged by their text; an empty
-    benchmark hits nothing. Other columns are ignored.
+    benchmark hits nothing. Items without an id hit words, but are not counted or named. Other
+    columns are ignored.
     """
-    found = stage(hits(docs, benchmark, size))
+    known, holders = windows(benchmark, size)
+    found = stage(_find(docs, known, size))
     key = ["doc_id", "mark"]
     before = Window.partitionBy(*key).orderBy("at", "length").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("at") + F.col("length")
     fresh = found.select(*key, "at", "length").distinct().withColumn("_seen", F.coalesce(F.max(end).over(before), F.lit(0)))
     covered = fresh.groupBy(*key).agg(F.sum(F.greatest(F.lit(0), end - F.greatest("_seen", "at"))).alias("n_hit"))
-    items = found.select(*key, "items").distinct().select(*key, F.explode("items").alias("item")).groupBy(*key).agg(
-        F.array_sort(F.collect_set("item")).alias("items")
-    )
+    held = found.select(*key, F.col("key")).distinct().join(holders, "key")
+    items = held.groupBy(*key).agg(F.array_sort(F.collect_set("item")).alias("items"))
     counts = _keyed(docs).select(*key, F.size("ws").cast("long").alias("n_words"))
-    summary = covered.join(items, [covered[k].eqNullSafe(items[k]) for k in key]).select(
+    summary = covered.join(items, [covered[k].eqNullSafe(items[k]) for k in key], "left").select(
         covered["doc_id"].alias("_id"), covered["mark"].alias("_mark"), "n_hit", "items"
     )
     joined = counts.join(summary, counts["doc_id"].eqNullSafe(F.col("_id")) & (counts["mark"] == F.col("_mark")), "left")

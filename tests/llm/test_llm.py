@@ -119,11 +119,18 @@ def test_decontamination(spark, real, docs, empty):
     for most in (decontaminate.BROADCAST_WINDOWS, 2):
         found = decontaminate.hits(rows, bench, most=most)
         assert found.select("doc_id", "at", "length").distinct().count() == decontaminate.hits(rows, bench).select("doc_id", "at", "length").distinct().count()
+
+    def wanted(text):  # the item without an id hits words, but is neither counted nor named
+        n_words, n_hit, _, _, bad = brute_contamination(text, [*items, ("", "w0 w1")])
+        return (n_words, n_hit, *brute_contamination(text, items)[2:4], bad)
+
     for r in decontaminate.contamination(rows, bench).collect():
-        assert tuple(r)[1:6] == brute_contamination(texts[r["doc_id"]], items), texts[r["doc_id"]]
+        assert tuple(r)[1:6] == wanted(texts[r["doc_id"]]), texts[r["doc_id"]]
+    only = decontaminate.contamination(rows.limit(0).union(spark.createDataFrame([(1, "w0 w1 zz", 0)])), bench.filter("item_id IS NULL")).first()
+    assert (only["n_hit"], only["n_items"], only["contaminated"]) == (2, 0, True)
     kept = decontaminate.remove_documents(rows, bench)
     assert kept.columns == rows.columns
-    assert {r["doc_id"] for r in kept.collect()} == {i for i, t in enumerate(texts) if not brute_contamination(t, items)[4]}
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, t in enumerate(texts) if not wanted(t)[4]}
     clean = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(rows, bench.filter("item_id = 1")).collect()}
     assert clean[40] == "x y" and clean[41] is None and clean[0] == texts[0]
     assert decontaminate.contamination(empty, bench).count() == 0

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as fixed
 from ..functions.json_text import quote_json
 from ..functions.text import as_column, let
+from ..sources.staging import stage
+from .joins import join_null_safe
 from .ordered import default_block, ordered_rank, previous_row
 
 AUDIT_SCHEMA = (
@@ -179,6 +182,104 @@ def verify_audit(
     )
 
 
+# --- chains of blocks -----------------------------------------------------------
+
+#: Children of a node of the tree over block heads.
+TREE_WIDTH = 64
+
+
+class SealedBlocks(NamedTuple):
+    """``rows``: the sealed records; ``heads``: latest hash and length of each block; ``roots``: one hash a chain."""
+
+    rows: DataFrame
+    heads: DataFrame
+    roots: DataFrame
+
+
+def seal_blocks(
+    df: DataFrame, chain: Sequence[str], order: Sequence[str], block: str, genesis: str = fixed.GENESIS_HASH, width: int = TREE_WIDTH
+) -> SealedBlocks:
+    """Seal each ``block`` (a column that never decreases along ``order``) of a chain by itself, then all heads
+    of a chain under one root.
+
+    Blocks are sealed in parallel, so one day of one source is many tasks; only a narrow row per
+    block goes on. Null chains and blocks are values like any other.
+    """
+    rows = stage(seal_audit(df, [*chain, block], order, genesis))
+    heads = stage(chain_heads(rows, [*chain, block], order))
+    return SealedBlocks(rows, heads, block_roots(heads, chain, block, width))
+
+
+def block_roots(heads: DataFrame, chain: Sequence[str], block: str, width: int = TREE_WIDTH) -> DataFrame:
+    """``chain root blocks records``: a tree of hashes over a chain's heads in block order.
+
+    A node is the SHA-256 of up to ``width`` children joined by ``|``; a leaf is ``latest_hash:records``. Each level
+    is one aggregation whose groups hold ``width`` rows at most, until every chain has one node.
+    """
+    chain = list(chain)
+    number = F.row_number().over(Window.partitionBy(*chain).orderBy(block)) - 1
+    leaf = F.concat_ws(":", F.coalesce("latest_hash", F.lit("")), F.col("records").cast("string"))
+    nodes = heads.select(*chain, number.alias("_i"), leaf.alias("_h"), F.lit(1).cast("long").alias("blocks"), "records")
+    done = None
+    while True:
+        children = F.array_sort(F.collect_list(F.struct("_i", "_h")))
+        nodes = nodes.groupBy(*chain, F.floor(F.col("_i") / width).alias("_up")).agg(
+            F.sha2(F.array_join(children["_h"], "|"), 256).alias("_h"), F.sum("blocks").alias("blocks"), F.sum("records").alias("records")
+        )
+        nodes = stage(nodes.withColumnRenamed("_up", "_i"))
+        # a chain whose last node has number 0 is done; others go up a level
+        wider = nodes.filter("_i > 0").select(*chain).distinct()
+        ready = join_null_safe(nodes, wider, chain, "left_anti")
+        done = ready if done is None else done.unionByName(ready)
+        nodes = join_null_safe(nodes, wider, chain, "left_semi")
+        if nodes.isEmpty():
+            return done.select(*chain, F.col("_h").alias("root"), "blocks", "records")
+
+
+def verify_blocks(
+    df: DataFrame, heads: DataFrame, roots: DataFrame, chain: Sequence[str], order: Sequence[str], block: str,
+    genesis: str = fixed.GENESIS_HASH, width: int = TREE_WIDTH,
+) -> DataFrame:
+    """Per chain: ``valid``, ``broken_blocks``, ``first_broken`` and ``error``.
+
+    Records are checked block by block, each block's end and length against its stored head, and the stored
+    heads against the root. So a changed record, a cut, missing or added block and a
+    changed head are all found, and named by their block; where only the root differs no block is named.
+    """
+    chain = list(chain)
+    keys = [*chain, block]
+    checked = verify_audit(df, keys, order, genesis).select(*keys, F.lit(True).alias("_seen"), "valid", "broken_at_index", "error")
+    found = join_null_safe(checked, chain_heads(df, keys, order).withColumnsRenamed({"latest_hash": "_hash", "records": "_records"}), keys)
+    known = heads.select(*keys, "latest_hash", "records").withColumn("_known", F.lit(True))
+    both = join_null_safe(found, known, keys)
+    lost = join_null_safe(known, found, keys, "left_anti")
+    both = both.unionByName(lost, allowMissingColumns=True)
+    name = F.coalesce(F.col(block).cast("string"), F.lit("null"))
+    error = (
+        F.when(F.col("_seen").isNull(), F.concat(F.lit("Block "), name, F.lit(" is missing")))
+        .when(F.col("_known").isNull(), F.concat(F.lit("Block "), name, F.lit(" has no head")))
+        .when(~F.col("valid"), F.concat(F.lit("Block "), name, F.lit(": "), F.col("error")))
+        .when(
+            ~F.col("_hash").eqNullSafe(F.col("latest_hash")) | ~F.col("_records").eqNullSafe(F.col("records")),
+            F.concat(F.lit("Block "), name, F.lit(" does not end at its head")),
+        )
+    )
+    told = both.select(*chain, F.col(block).alias("_block"), error.alias("_error"))
+    broken = F.col("_error").isNotNull()
+    per_chain = told.groupBy(*chain).agg(
+        F.count_if(broken).alias("broken_blocks"),
+        F.min(F.when(broken, F.struct(F.col("_block").alias("block"), F.col("_error").alias("error")))).alias("_first"),
+    )
+    again = block_roots(heads, chain, block, width).select(*chain, F.col("root").alias("_root"))
+    stored = join_null_safe(per_chain, roots.select(*chain, "root"), chain)
+    compared = join_null_safe(stored, again, chain)
+    same = F.col("root").eqNullSafe(F.col("_root")) & F.col("root").isNotNull()
+    return compared.select(
+        *chain, ((F.col("broken_blocks") == 0) & same).alias("valid"), "broken_blocks", F.col("_first.block").alias("first_broken"),
+        F.coalesce(F.col("_first.error"), F.when(~same, F.lit("Heads do not give the root"))).alias("error"),
+    )
+
+
 # --- views ---------------------------------------------------------------------
 
 

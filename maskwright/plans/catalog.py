@@ -538,6 +538,44 @@ def checked_responses(spark, sf):
     return checked.select("conv_id", "turn", F.md5("checked").alias("digest"), F.size("leaks").cast("bigint").alias("leaks"))
 
 
+def _keyless(spark, sf) -> DataFrame:
+    """Chat turns whose session and turn are null for some, so that rows share them."""
+    rows = seeded(spark, sf, S.CHAT).select("conv_id", "turn", "text")
+    return rows.select(
+        F.concat_ws("-", "conv_id", "turn").alias("row_id"), F.expr("CASE WHEN conv_id % 3 > 0 THEN conv_id END").alias("session"),
+        F.expr("CASE WHEN turn % 2 > 0 THEN turn END").alias("step"), "text",
+    )
+
+
+@query(
+    "keyless_replies_checked",
+    f"SELECT conv_id || '-' || turn AS row_id, CAST(1 AS BIGINT) AS leaks, md5(text || ' Also [REDACTED_EMAIL] here.') AS digest FROM conversations",
+)
+def keyless_replies_checked(spark, sf):
+    """Replies without a session or turn are checked one by one: each has its leak taken out."""
+    rows = table(spark, sf, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("row_id"), F.expr("CASE WHEN conv_id % 3 > 0 THEN conv_id END").alias("session"),
+        F.expr("CASE WHEN turn % 2 > 0 THEN turn END").alias("step"), "text",
+    )
+    replies = rows.withColumn("response", F.concat("text", F.lit(" Also leak"), F.regexp_replace("row_id", "-", "x"), F.lit("@example.org here.")))
+    vault = build_vault(spark.createDataFrame([], "session long, step long, type string, value string, start int"), ["session"], ["step"])
+    checked = check_responses(replies, vault, "response", ["session"], ["step"])
+    return checked.select("row_id", F.size("leaks").cast("bigint").alias("leaks"), F.md5("checked").alias("digest"))
+
+
+@query(
+    "keyless_texts_restored",
+    O.duck(f"""SELECT CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS row_id, true AS hidden, md5(text) AS digest FROM ({S.CHAT}) c"""),
+)
+def keyless_texts_restored(spark, sf):
+    """Null sessions share one vault; every text is cloaked whole and comes back whole."""
+    rows = _keyless(spark, sf)
+    done = anonymize(rows, "text", ["session"], ["step"])
+    back = restore(done.rewritten.withColumn("key", F.col("row_id")), done.vault, "sanitized", ["session"], ["row_id"])
+    hidden = ~F.exists("entities", lambda s: F.col("sanitized").contains(s["value"]) & (F.length(s["value"]) > 12))
+    return back.select("row_id", hidden.alias("hidden"), F.md5("restored").alias("digest"))
+
+
 _KEY = hashlib.sha256(b"catalog").digest().ljust(64, b"\0")
 _PAD = lambda n: "from_hex('" + bytes(b ^ n for b in _KEY).hex() + "')"
 _NONCE = "substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 16)"
@@ -606,6 +644,29 @@ def identical_runs(spark, sf):
     )
 
 
+_RUNS = f"""WITH q AS (SELECT * FROM ({_REQ}) r),
+    b AS (SELECT event_id, client, asked_at, topic, CASE WHEN topic = lag(topic) OVER w AND asked_at - lag(asked_at) OVER w <= INTERVAL 60 SECONDS THEN 0 ELSE 1 END AS b FROM q WINDOW w AS (PARTITION BY client ORDER BY asked_at, event_id)),
+    g AS (SELECT *, sum(b) OVER (PARTITION BY client ORDER BY asked_at, event_id ROWS UNBOUNDED PRECEDING) AS run_no FROM b),
+    l AS (SELECT event_id, client, asked_at, topic, row_number() OVER (PARTITION BY client, run_no ORDER BY asked_at, event_id) >= 2 AS looping FROM g)"""
+
+
+@query(
+    "breaker_states",
+    f"""{_RUNS},
+    o AS (SELECT *, max(CASE WHEN looping THEN epoch_us(asked_at) END) OVER (PARTITION BY client ORDER BY asked_at RANGE BETWEEN INTERVAL 29999999 MICROSECONDS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS opened,
+        count(*) OVER (PARTITION BY client ORDER BY asked_at RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS n,
+        sum({_TOK.replace('prompt', 'topic')}) OVER (PARTITION BY client ORDER BY asked_at RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS t FROM l)
+    SELECT event_id, NOT looping AND opened IS NULL AND n <= 3 AND t <= 40 AS allowed, CASE WHEN looping OR opened IS NOT NULL THEN 'OPEN' ELSE 'CLOSED' END AS circuit_state,
+        CASE WHEN looping THEN 'Runaway agentic loop detected: 2 identical consecutive requests. Circuit breaker OPEN.'
+             WHEN opened IS NOT NULL THEN 'Agentic loop circuit breaker tripped. Cooling down for ' || CAST(ceil((opened + 30000000 - epoch_us(asked_at)) / 1000000.0) AS BIGINT) || 's.'
+             WHEN n > 3 THEN 'Rate limit exceeded (3 req/min).' WHEN t > 40 THEN 'Token quota exceeded (40 tokens/min).' END AS reason FROM o""",
+)
+def breaker_states(spark, sf):
+    """Decisions per request; after a loop the client stays refused for half a minute."""
+    judged = G.judge_usage(requests(spark, sf, "topic"), "client", "asked_at", "event_id", LIMITS)
+    return judged.select("event_id", "allowed", "circuit_state", "reason")
+
+
 # --- documents and messages ----------------------------------------------------
 
 
@@ -745,6 +806,33 @@ def audit_chain_heads(spark, sf):
     return A.chain_heads(A.seal_audit(audit_rows(spark, sf), CHAIN, ["event_id"]), CHAIN, ["event_id"])
 
 
+@query(
+    "audit_block_roots",
+    f"""{_SEALED}, h AS (SELECT event_type, day, max_by(hash, n) || ':' || count(*) AS leaf, count(*) AS records FROM s GROUP BY event_type, day),
+      i AS (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY day) - 1) // 8 AS up FROM h),
+      u AS (SELECT event_type, up, sha256(string_agg(leaf, '|' ORDER BY day)) AS node, count(*) AS blocks, sum(records) AS records FROM i GROUP BY event_type, up)
+      SELECT event_type, CASE WHEN count(*) = 1 THEN min(node) ELSE sha256(string_agg(node, '|' ORDER BY up)) END AS root, CAST(sum(blocks) AS BIGINT) AS blocks, CAST(sum(records) AS BIGINT) AS records FROM u GROUP BY event_type""",
+)
+def audit_block_roots(spark, sf):
+    """A chain per event type, sealed day by day in parallel, its heads under one root."""
+    return A.seal_blocks(audit_rows(spark, sf), ["event_type"], ["event_id"], "day", width=8).roots
+
+
+@query(
+    "audit_blocks_verify",
+    """SELECT event_type, count_if(event_id % 997 = 5 OR day % 10 = 7) = 0 AS valid, count(DISTINCT CASE WHEN event_id % 997 = 5 OR day % 10 = 7 THEN day END) AS broken_blocks,
+        min(CASE WHEN event_id % 997 = 5 OR day % 10 = 7 THEN d END) AS first_broken FROM (SELECT event_id, event_type, CAST(ts AS DATE) AS d, day(CAST(ts AS DATE)) AS day FROM events) GROUP BY event_type""",
+)
+def audit_blocks_verify(spark, sf):
+    """After sealing some records change and some days vanish; each chain names its first such block."""
+    sealed = A.seal_blocks(audit_rows(spark, sf), ["event_type"], ["event_id"], "day", width=8)
+    changed = sealed.rows.withColumn(
+        "entities_detected", F.when(F.col("event_id") % 997 == 5, 999).otherwise(F.col("entities_detected"))
+    ).filter(F.dayofmonth("day") % 10 != 7)
+    found = A.verify_blocks(changed, sealed.heads, sealed.roots, ["event_type"], ["event_id"], "day", width=8)
+    return found.select("event_type", "valid", F.col("broken_blocks").cast("bigint").alias("broken_blocks"), "first_broken")
+
+
 @query(
     "compliance_summary",
     f"""SELECT (SELECT {_TS} FROM events ORDER BY event_id LIMIT 1) AS period_start, (SELECT {_TS} FROM events ORDER BY event_id DESC LIMIT 1) AS period_end, count(*) AS total_requests,

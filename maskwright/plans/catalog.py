@@ -464,9 +464,16 @@ _SCREEN = " + ".join(
 )
 
 
-@query("injection_scores", f"SELECT id, CAST(least(100, {_SCREEN}) AS INT) AS risk_score, least(100, {_SCREEN}) < 40 AS safe FROM ({O.CORPUS}) c")
+_CATEGORIES = sorted(dict.fromkeys(c for c, _, _ in fixed.FIREWALL_RULES), key=lambda c: (c == "DELIMITER_SMUGGLING") + 2 * (c == "OBFUSCATION_INDICATORS"))
+_FLAGS = "array_to_string(list_filter([" + ", ".join(
+    "CASE WHEN " + " OR ".join(f"regexp_matches(text, {O.literal('(?i)' + O.re2(p))})" for c, p, _ in fixed.FIREWALL_RULES if c == category) + f" THEN '{category}' END"
+    for category in _CATEGORIES
+) + "], lambda x: x IS NOT NULL), ',')"
+
+
+@query("injection_scores", f"SELECT id, CAST(least(100, {_SCREEN}) AS INT) AS risk_score, least(100, {_SCREEN}) < 40 AS safe, {_FLAGS} AS flags FROM ({O.CORPUS}) c")
 def injection_scores(spark, sf):
-    return score_prompts(corpus(spark, sf)).select("id", "risk_score", "safe")
+    return score_prompts(corpus(spark, sf)).select("id", "risk_score", "safe", F.array_join("flags", ",").alias("flags"))
 
 
 POLICY = [
@@ -487,7 +494,9 @@ _SEC, _RISK = "c_custkey % 5 <> 0 AND c_custkey % 4 = 0", "c_custkey % 100"
         CASE WHEN {_SEC} THEN 'secrets stay inside' WHEN {_RISK} >= 90 THEN 'Blocked by security policy rule: high-risk' END AS reason,
         CASE WHEN {_DEP} THEN 'EMAIL' ELSE '' END AS redact_types,
         CASE WHEN {_DEV} THEN array_to_string(list_filter([CASE WHEN c_custkey % 2 = 0 THEN 'EMAIL' END, CASE WHEN c_custkey % 4 = 0 THEN 'SECRET' END], lambda x: x IS NOT NULL), ',') ELSE '' END AS allow_types,
-        CASE WHEN {_RISK} >= 50 THEN 'Policy warning triggered by rule: warn-risk' ELSE '' END AS warnings FROM customer""",
+        CASE WHEN {_RISK} >= 50 THEN 'Policy warning triggered by rule: warn-risk' ELSE '' END AS warnings, '' AS cloak_types,
+        array_to_string(list_filter([CASE WHEN {_DEP} THEN 'auto-redact' END, CASE WHEN {_DEV} THEN 'dev-allow' END, CASE WHEN {_RISK} >= 50 THEN 'warn-risk' END,
+            CASE WHEN {_SEC} THEN 'no-secrets' WHEN {_RISK} >= 90 THEN 'high-risk' END], lambda x: x IS NOT NULL), ',') AS matched_rules FROM customer""",
 )
 def policy_decisions(spark, sf):
     k = F.col("c_custkey")
@@ -502,7 +511,7 @@ def policy_decisions(spark, sf):
     joined = lambda c: F.array_join(d[c], ",").alias(c)
     return decide(requests, POLICY).select(
         "c_custkey", d["action"].alias("action"), d["blocked"].alias("blocked"), d["reason"].alias("reason"),
-        joined("redact_types"), joined("allow_types"), joined("warnings"),
+        joined("redact_types"), joined("allow_types"), joined("warnings"), joined("cloak_types"), joined("matched_rules"),
     )
 
 
@@ -865,10 +874,10 @@ def compliance_rollup(spark, sf):
     return P.compliance_rollup(audit_rows(spark, sf), ["event_type"])
 
 
-@query("audit_stats", f"SELECT count(*) AS total_requests, CAST(sum({_EMAILS} + {_PERSONS}) AS BIGINT) AS total_entities, CAST(sum({_EMAILS}) AS BIGINT) AS emails, CAST(sum({_PERSONS}) AS BIGINT) AS persons FROM events")
+@query("audit_stats", f"{_SEALED} SELECT (SELECT hash FROM s ORDER BY event_id DESC LIMIT 1) AS latest_hash, count(*) AS total_requests, CAST(sum({_EMAILS} + {_PERSONS}) AS BIGINT) AS total_entities, CAST(sum({_EMAILS}) AS BIGINT) AS emails, CAST(sum({_PERSONS}) AS BIGINT) AS persons FROM events")
 def audit_stats(spark, sf):
-    s = A.audit_stats(audit_rows(spark, sf), ["event_id"])
-    return s.select("total_requests", "total_entities", F.col("type_totals")["EMAIL"].alias("emails"), F.col("type_totals")["PERSON"].alias("persons"))
+    s = A.audit_stats(A.seal_audit(audit_rows(spark, sf), CHAIN, ["event_id"]), ["event_id"])
+    return s.select("latest_hash", "total_requests", "total_entities", F.col("type_totals")["EMAIL"].alias("emails"), F.col("type_totals")["PERSON"].alias("persons"))
 
 
 @query("recent_audit", f"SELECT {O.duck(_A['request_id'])} AS request_id, {_TS} AS timestamp FROM events ORDER BY event_id DESC LIMIT 500")

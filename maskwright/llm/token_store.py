@@ -123,6 +123,30 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, segmen
     ordered.mapInArrow(run, SEGMENT).write.parquet(path)
 
 
+def _bases(segments: DataFrame) -> DataFrame:
+    """``_part _base``: the ids before each write task's, one narrow row per task."""
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    return parts.select(F.col("part").alias("_part"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_base"))
+
+
+def token_at(spark: SparkSession, path: str, i: int) -> int:
+    """The ``i``-th id of a store, counted from 0 over all documents.
+
+    The segment is found from the narrow columns; then one row is read, by filters that reach the Parquet
+    row groups, and the id by its rank directories, without decoding its neighbours. (Parquet itself unpacks the pages
+    of that row.) Raises IndexError beyond the last id.
+    """
+    segments = spark.read.parquet(path)
+    first = F.col("first_token") + F.col("_base")
+    found = segments.select("part", "first_token", "n_tokens").join(F.broadcast(_bases(segments)), F.col("part") == F.col("_part"))
+    home = found.filter((first <= i) & (first + F.col("n_tokens") > i)).select("part", "first_token", first.alias("first")).first() if i >= 0 else None
+    if home is None:
+        raise IndexError(f"no token {i}")
+    row = segments.filter((F.col("part") == home["part"]) & (F.col("first_token") == home["first_token"])).select("levels").first()
+    return access([level.asDict() for level in row["levels"]], i - home["first"])
+
+
 def _read(spark: SparkSession, path: str, kind: str, value: Callable[[bytes], object]) -> DataFrame:
     """``doc_id start n_tokens value`` of every document; ``start`` counts all ids before it.
 
@@ -130,9 +154,7 @@ def _read(spark: SparkSession, path: str, kind: str, value: Callable[[bytes], ob
     as many as the writing session's shuffle partitions, which is what is broadcast.
     """
     segments = spark.read.parquet(path)
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    bases = parts.select(F.col("part").alias("_part"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_base"))
+    bases = _bases(segments)
 
     def work(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("doc_id", "part", "start", "n_tokens", "value")}

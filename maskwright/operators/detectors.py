@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks
@@ -486,6 +485,17 @@ def _ranked(spans: Column, rank: int) -> Column:
 # --- the set -------------------------------------------------------------------
 
 
+def built_once(key: tuple, build: Callable[[], Column]) -> Column:
+    """An expression that is built once per application: a later session of the same process gets its own."""
+    session = SparkSession.getActiveSession()
+    if session is None:
+        return build()
+    key = (session.sparkContext.applicationId, *key)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 @dataclass(frozen=True)
 class DetectorSet:
     """An immutable choice of detectors, rules and enabled types.
@@ -567,12 +577,7 @@ class DetectorSet:
         session and column name.
         """
         build = lambda: detect(text, lambda g: resolve_overlaps(self.raw(g)))
-        if not isinstance(text, str):
-            return build()
-        key = (id(SparkContext._active_spark_context), text, self)
-        if key not in _BUILT:
-            _BUILT[key] = build()
-        return _BUILT[key]
+        return built_once((text, self), build) if isinstance(text, str) else build()
 
 
 def detector_set(enabled: Iterable[str] | None = None) -> DetectorSet:

@@ -20,7 +20,7 @@ _UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a
 #: Characters of texts that are looked up together.
 GROUP = 1_000_000
 #: Words that an encoder remembers, and characters of them for each.
-WORDS, WORD_CHARS = 600_000, 32
+WORDS, WORD_CHARS = 400_000, 32
 #: Rules under which a text's ids are those of its blank-separated words: blanks are no part of
 #: any pre-token, and the short way knows the letters' lower case.
 _BLANK_RULES = {
@@ -121,7 +121,7 @@ class WordEncoder:
         some = list(odd)
         got = dict(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
         cut = {w: _UNITS.findall(w if plain else w.lower()) for w in words if w not in odd}
-        if len(self.units) > self.most // 2:  # two generations: a unit used again moves to the young one
+        if len(self.units) > self.most // 8:  # two generations, since words are remembered whole: a unit used again moves to the young one
             self.units, self.old_units = {}, self.units
         units, old = self.units, self.old_units
         needed = {u for us in cut.values() for u in us}.difference(units)

@@ -1,4 +1,4 @@
-"""Token ids of whole texts through the tokenizers library, each pre-token encoded once."""
+"""Token ids of whole texts through the tokenizers library, each remembered word encoded once."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -69,8 +70,6 @@ class WordEncoder:
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.as_bytes = {c: bytes_of.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
-        self.units: dict[str, list[int]] = {}
-        self.old_units: dict[str, list[int]] = {}
         self.index: dict[str, int] = {"": 0}
         self.flat, self.used, self.chars = np.zeros(1 << 16, np.uint32), 0, 0
         self.at, self.n, self.seen = (np.zeros(1 << 14, np.int64) for _ in range(3))
@@ -104,42 +103,43 @@ class WordEncoder:
         held = [ends - size, size, seen[keep] // 2]
         self.at, self.n, self.seen = (np.concatenate([h, np.zeros(room - len(h), np.int64)]) for h in held)
 
-    def _encode_units(self, units: list[str]) -> None:
-        """Ids per pre-token: the model marks where each of a joined line ends."""
-        for start in range(0, len(units), 256):
-            some = units[start : start + 256]
-            line = " ".join(u if u.isascii() else u.translate(self.as_bytes) for u in some)
-            ids = self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids
-            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+    def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pre-tokens in turn and how many each has: the model marks where each of a joined line ends."""
+        cuts = [units[k : k + 256] for k in range(0, len(units), 256)]
+        lines = [" ".join(u if u.isascii() else u.translate(self.as_bytes) for u in some) for some in cuts]
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for some, got in zip(cuts, self.model.encode_batch_fast(lines, add_special_tokens=False)):
+            line = np.array(got.ids, np.uint32)
+            ends = np.flatnonzero(self.closes[line]) + 1
             if len(ends) != len(some):
-                self.units.update((u, self.tokenizer.encode(u, add_special_tokens=False).ids) for u in some)
-            else:
-                self.units.update((u, ids[a:b]) for u, a, b in zip(some, [0, *ends], ends))
-
-    def _encode(self, words: list[str], odd: set[str], plain: bool) -> list[list[int]]:
-        """Ids of new words; ``plain`` words are in lower case and hold no odd characters."""
-        some = list(odd)
-        got = dict(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
-        cut = {w: _UNITS.findall(w if plain else w.lower()) for w in words if w not in odd}
-        if len(self.units) > self.most // 8:  # two generations, since words are remembered whole: a unit used again moves to the young one
-            self.units, self.old_units = {}, self.units
-        units, old = self.units, self.old_units
-        needed = {u for us in cut.values() for u in us}.difference(units)
-        units.update((u, old[u]) for u in needed & old.keys())
-        self._encode_units(list(needed.difference(units)))
-        for w, us in cut.items():
-            got[w] = units[us[0]] if len(us) == 1 else [i for u in us for i in units[u]]
-        return [got[w] for w in words]
+                each = [self.tokenizer.encode(u, add_special_tokens=False).ids for u in some]
+                line, ends = np.array([i for e in each for i in e], np.uint32), np.cumsum([len(e) for e in each])
+            ids.append(line)
+            sizes.append(np.diff(ends, prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new lower-case words without odd characters, in turn, and how many each has."""
+        cut = [[w] if w.isalpha() else _UNITS.findall(w) for w in words]
+        ids, sizes = self._encode_units(list(chain.from_iterable(cut)))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, cut)])]
+        return ids, np.diff(ends)
 
     def _learn(self, new: list[str], odd: set[str], plain: bool) -> None:
-        got = self._encode(new, odd, plain)
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        first, total = len(self.index), int(sizes.sum())
+        """Remember new words; ``plain`` words are in lower case and hold no odd characters."""
+        if odd:
+            new = [*(w for w in new if w not in odd), *odd]
+        easy = new[: len(new) - len(odd)]
+        flat, sizes = self._encode(easy if plain else [w.lower() for w in easy])
+        if odd:
+            whole = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(new[len(easy) :], add_special_tokens=False)]
+            flat, sizes = np.concatenate([flat, *whole]), np.concatenate([sizes, [len(w) for w in whole]])
+        first, total = len(self.index), len(flat)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while first + len(new) > len(self.at):
             self.at, self.n, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n, self.seen))
-        self.flat[self.used : self.used + total] = np.fromiter((i for g in got for i in g), np.uint32, total)
+        self.flat[self.used : self.used + total] = flat
         self.at[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
         self.n[first : first + len(new)] = sizes
         self.used += total

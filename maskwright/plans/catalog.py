@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
@@ -25,6 +26,7 @@ from ..operators.policy import PolicyRule, decide
 from ..operators.rpc import sanitize_rpc
 from ..operators.spans import explode_spans, redact, type_counts
 from ..operators.vault import anonymize, anonymize_conversations, assign_sessions, build_vault, restore
+from ..sources.files import read_audit_log
 from ..sources.staging import shared_folder, stage
 from . import oracle as O
 from . import seeded as S
@@ -302,6 +304,18 @@ def all_entities(spark, sf):
     return found.select("id", "type", "value", "start", "end", F.round("confidence", 6).alias("confidence"))
 
 
+@query(
+    "rare_entities",
+    f"SELECT c_custkey, type, value, CAST(length(head) AS BIGINT) AS start, secret FROM ({O.duck(S.RARE_ROWS)})",
+)
+def rare_entities(spark, sf):
+    """IPv6, labelled numbers, international phones and each secret format: the checking SQL knows
+    what was planted where and needs no pattern."""
+    texts = spread(seeded(spark, sf, S.RARE_ROWS)).select("c_custkey", F.concat("head", "value", F.lit(" end.")).alias("text"))
+    found = texts.select("c_custkey", F.inline(find_entities("text")))
+    return found.select("c_custkey", "type", "value", F.col("start").cast("bigint").alias("start"), F.col("metadata")["secretType"].alias("secret"))
+
+
 @query(
     "entity_breakdown",
     f"SELECT id, type, count(*) AS n FROM ({_ALL}) GROUP BY id, type",
@@ -787,6 +801,25 @@ _SEALED = f"""WITH RECURSIVE r AS (SELECT event_id, CAST(ts AS DATE) AS day, eve
 CHAIN = ["day", "event_type"]
 
 
+@query(
+    "audit_log_lines",
+    f"""SELECT row_number() OVER (ORDER BY event_id) - 1 AS log_line, CASE WHEN event_id % 11 != 3 THEN 'req_' || event_id END AS request_id,
+        CASE WHEN event_id % 11 != 3 THEN CAST(user_id % 3 AS INT) END AS entities_detected, CASE WHEN event_id % 11 = 3 THEN {O.duck(S.LOG_LINE)} END AS rejected FROM events""",
+)
+def audit_log_lines(spark, sf):
+    """A log of several files, read back in the order of its lines; broken lines are kept apart."""
+    folder = f"{shared_folder(spark)}/maskwright-log-{uuid.uuid4().hex}"
+    ordered = table(spark, sf, "events").repartitionByRange("event_id").sortWithinPartitions("event_id")
+    ordered.select(F.expr(S.LOG_LINE).alias("value")).write.text(folder)
+    log = read_audit_log(spark, folder)
+    lines = log.records.select("file", "line_no", "request_id", "entities_detected", F.lit(None).cast("string").alias("rejected")).unionByName(
+        log.rejects.withColumnRenamed("line", "rejected"), allowMissingColumns=True
+    )
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lines.groupBy("file").count().select("file", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    return lines.join(starts, "file").select((F.col("before") + F.col("line_no")).alias("log_line"), "request_id", "entities_detected", "rejected")
+
+
 @query("audit_sealed", f"{_SEALED} SELECT event_id, previous_hash, hash FROM s")
 def audit_sealed(spark, sf):
     """One chain per day and event type."""

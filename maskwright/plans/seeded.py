@@ -79,6 +79,40 @@ NOTE = " || ".join(
 )
 NOTES = f"SELECT c_custkey, c_nationkey, c_mktsegment, c_acctbal, {NOTE} AS text FROM customer"
 
+# What the notes do not hold: (type, kind of secret, text before, value), one a row in turn.
+_M = f"md5('k' || CAST({K} AS STRING))"
+RARE = [
+    ("IP_ADDRESS", None, "route ", f"'2001:db8:0:0:0:0:0:' || {digits(K, 4)}"),
+    ("INTERNAL_IP", None, "route ", f"'fd00:1:2:3:4:5:6:' || {digits(K, 4)}"),
+    ("INTERNAL_IP", None, "local ", f"'::ffff:10.1.2.' || CAST({K} % 250 AS STRING)"),
+    ("SSN", None, "Social Security Number: ", f"CAST(100 + {K} % 500 AS STRING) || CAST(10 + {K} % 80 AS STRING) || CAST(1000 + {K} % 8000 AS STRING)"),
+    ("NINO", None, "National Insurance: ", f"'AB' || {digits(K, 6)} || 'C'"),
+    ("PHONE", None, "tel", f"'+49 301 2345 ' || {digits(K, 3)}"),
+    ("SECRET", "PRIVATE_KEY", "pem ", f"'-----BEGIN RSA PRIVATE KEY-----' || {_M} || '-----END RSA PRIVATE KEY-----'"),
+    ("SECRET", "DATABASE_URI", "dsn ", f"'postgresql://app:' || {_M} || '@db/main'"),
+    ("SECRET", "JWT", "jwt ", f"'eyJ' || {_M} || '.' || {_M} || '.' || {_M}"),
+    ("SECRET", "STRIPE_SECRET_KEY", "pay ", f"'sk_live_' || {_M}"),
+    ("SECRET", "OPENAI_API_KEY", "key ", f"'sk-' || {_M}"),
+    ("SECRET", "GITHUB_TOKEN", "git ", f"'ghp_' || {_M}"),
+    ("SECRET", "AWS_ACCESS_KEY", "aws ", f"'AKIA' || upper(substr({_M}, 1, 16))"),
+    ("SECRET", "GOOGLE_API_KEY", "map ", f"'AIza' || {_M} || 'xyz'"),
+    ("SECRET", "HUGGINGFACE_TOKEN", "hub ", f"'hf_' || {_M}"),
+    ("SECRET", "SLACK_TOKEN", "bot ", f"'xoxb-' || {digits(K, 5)} || '-' || {_M}"),
+    ("SECRET", "BEARER_TOKEN", "header ", f"'Bearer ' || {_M} || '=='"),
+]
+_RARE_CASE = lambda part: "CASE " + " ".join(f"WHEN {K} % {len(RARE)} = {i} THEN {part(r)}" for i, r in enumerate(RARE)) + " END"
+_quoted = lambda v: "CAST(NULL AS STRING)" if v is None else f"'{v}'"
+RARE_ROWS = (
+    f"SELECT {K}, {_RARE_CASE(lambda r: _quoted(r[0]))} AS type, {_RARE_CASE(lambda r: _quoted(r[1]))} AS secret, "
+    f"'Ref ' || CAST({K} AS STRING) || ', ' || {_RARE_CASE(lambda r: _quoted(r[2]))} AS head, {_RARE_CASE(lambda r: r[3])} AS value FROM customer"
+)
+
+# Log lines; one in eleven breaks off.
+LOG_LINE = (
+    "'{\"request_id\":\"req_' || CAST(event_id AS STRING) || '\",\"status\":\"SUCCESS\",\"entities_detected\":' || CAST(user_id % 3 AS STRING) "
+    "|| CASE WHEN event_id % 11 = 3 THEN '' ELSE '}' END"
+)
+
 # Documents and notes as one text table.
 CORPUS = (
     "SELECT 'd' || CAST(doc_id AS STRING) AS id, text FROM documents UNION ALL "

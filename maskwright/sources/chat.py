@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import as_column
 from ..operators.joins import join_null_safe
+from .lines import read_lines
 
 _ENVELOPE = (
     "request_id string, ts timestamp, x_forwarded_for string, remote_addr string, x_session_id string, "
@@ -162,8 +163,11 @@ def read_sse(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def read_rpc(spark: SparkSession, path: str) -> DataFrame:
-    """NDJSON lines with ``is_json``; a last line without a line end is a line too."""
-    return spark.read.text(path).select(
-        F.col("value").alias("line"), F.input_file_name().alias("session_id"),
-        F.expr("try_parse_json(value) IS NOT NULL").alias("is_json"),
+    """NDJSON lines with ``is_json``, a session per file and ``seq``, the line's number in it.
+
+    A last line without a line end is a line too.
+    """
+    return read_lines(spark, path).select(
+        "line", F.col("file").alias("session_id"), F.col("line_no").alias("seq"),
+        F.expr("try_parse_json(line) IS NOT NULL").alias("is_json"),
     )

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.audit import AUDIT_SCHEMA, siem_payload, to_syslog
+from ..operators.audit import AUDIT_FIELDS, AUDIT_SCHEMA, siem_payload, to_syslog
 from ..operators.compliance import compliance_markdown
 from ..operators.documents import resolve_format
+from .lines import read_lines
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -25,10 +27,34 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Audit records of a JSON-lines log; lines that are no records are dropped."""
+    """Audit records of a JSON-lines log; lines that are no records are dropped.
+
+    ``read_audit_log`` keeps those, and the order of the lines.
+    """
     return spark.read.schema(AUDIT_SCHEMA).option("mode", "DROPMALFORMED").json(path)
 
 
+class AuditLog(NamedTuple):
+    """``records`` with ``file`` and ``line_no``, and ``rejects`` ``(file, line_no, line)``."""
+
+    records: DataFrame
+    rejects: DataFrame
+
+
+def read_audit_log(spark: SparkSession, path: str) -> AuditLog:
+    """Audit records in the order of their lines, and the lines that are no records.
+
+    A line that is no JSON object, or holds a value of another type than its field, is a reject.
+    Blank lines are neither. ``verify_audit(records, ["file"], ["line_no"])`` follows.
+    """
+    lines = read_lines(spark, path).filter(F.trim("line") != "")
+    schema = f"{AUDIT_SCHEMA}, _corrupt string"
+    parsed = lines.withColumn("_r", F.from_json("line", schema, {"columnNameOfCorruptRecord": "_corrupt"}))
+    good = F.ltrim("line").startswith("{") & F.col("_r._corrupt").isNull()
+    records = parsed.filter(good).select("file", "line_no", *[F.col(f"_r.{c}") for c in AUDIT_FIELDS])
+    return AuditLog(records, parsed.filter(~good).select("file", "line_no", "line"))
+
+
 def write_audit(df: DataFrame, path: str) -> None:
     """Append records to a JSON-lines log."""
     df.write.mode("append").json(path)

@@ -6,7 +6,7 @@ import pytest
 from maskwright.plans import catalog
 
 NAMES = ["entities_by_source", "vault_assignments", "cloaked_conversations", "overlap_resolved", "hex_secret_spans",
-         "offered_load_60s", "identical_runs", "audit_sealed", "audit_chain_verify", "canary_hits"]
+         "offered_load_60s", "identical_runs", "audit_sealed", "audit_chain_verify", "canary_hits", "rare_entities", "audit_log_lines"]
 
 
 def test_registry():

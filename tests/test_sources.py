@@ -12,6 +12,8 @@ from maskwright.operators.scored import score_entities, spans_from_reply, spans_
 from maskwright.operators.vault import anonymize
 from maskwright.sources import config as C
 from maskwright.sources import files as S
+from maskwright.operators.rpc import sanitize_rpc
+from maskwright.sources.lines import read_lines
 from maskwright.sources.chat import message_parts, read_chat_requests, read_rpc, read_sse, rebuild_messages
 
 
@@ -94,6 +96,29 @@ def test_lines(spark, tmp_path):
     assert [r["delta"] for r in got] == ["hé", None, None, None, None, None]
     assert [r["done"] for r in got] == [False, True, False, False, False, False]
     assert [r["passthrough"] is None for r in got] == [True, True, False, False, False, False]
+    many = [f'{{"n":{i}}}' for i in range(3000)]
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.split").write_text("\n".join(f"{name}{m}" for m in many) + "\n")
+    (tmp_path / "empty.split").write_text("")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(old, ("1000b", "0")):
+            spark.conf.set(k, v)
+        read = spark.read.text(str(tmp_path / "*.split"))
+        assert read.rdd.getNumPartitions() > 20
+        got = sorted((r["file"][-7], r["line_no"], r["line"]) for r in read_lines(spark, str(tmp_path / "*.split")).collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == [(name, i, f"{name}{m}") for name in "ab" for i, m in enumerate(many)]
+    (tmp_path / "log.jsonl").write_text('{"request_id":"a","hash":"h"}\n\n{"request_id":\n[1]\n{"request_id":"b","risk_score":"x"}\n{"request_id":"c"}\n')
+    log = S.read_audit_log(spark, str(tmp_path / "log.jsonl"))
+    assert [(r["line_no"], r["request_id"], r["hash"]) for r in log.records.orderBy("line_no").collect()] == [(0, "a", "h"), (5, "c", None)]
+    assert [(r["line_no"], r["line"][:2]) for r in log.rejects.orderBy("line_no").collect()] == [(2, '{"'), (3, "[1"), (4, '{"')]
+    call = '{"jsonrpc":"2.0","id":1,"method":"tools/call","params":{"name":"s","arguments":{"to":"%s"}}}'
+    (tmp_path / "rpc.ndjson").write_text("\n".join(call % m for m in ("b@x.com", "a@x.com", "b@x.com")))
+    done, _ = sanitize_rpc(read_rpc(spark, str(tmp_path / "rpc.ndjson")))
+    assert [r["sanitized_line"] for r in done.orderBy("seq").collect()] == [call % f"[EMAIL_{n}]" for n in (1, 2, 1)]
     (tmp_path / "l.ndjson").write_text('{"a":1}\nnope\n{"b":2}')
     assert [r["is_json"] for r in read_rpc(spark, str(tmp_path / "l.ndjson")).collect()] == [True, False, True]
 

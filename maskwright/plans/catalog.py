@@ -316,6 +316,19 @@ def rare_entities(spark, sf):
     return found.select("c_custkey", "type", "value", F.col("start").cast("bigint").alias("start"), F.col("metadata")["secretType"].alias("secret"))
 
 
+@query(
+    "rewritten_by_action",
+    "SELECT c_custkey, head || CASE type WHEN 'SECRET' THEN '[REDACTED_SECRET]' WHEN 'PHONE' THEN value WHEN 'INTERNAL_IP' THEN value ELSE '[' || type || '_1]' END || ' end.' AS sanitized, "
+    f"type NOT IN ('SECRET', 'PHONE', 'INTERNAL_IP') AS in_vault FROM ({O.duck(S.RARE_ROWS)})",
+)
+def rewritten_by_action(spark, sf):
+    """Secrets redacted, phones and internal addresses allowed, other types cloaked; only the last enter the vault."""
+    texts = spread(seeded(spark, sf, S.RARE_ROWS)).select("c_custkey", F.concat("head", "value", F.lit(" end.")).alias("text"))
+    done = anonymize(texts, "text", ["c_custkey"], redact=["SECRET"], allow=["PHONE", "INTERNAL_IP"])
+    held = done.vault.select("c_custkey", F.lit(True).alias("_held")).distinct()
+    return done.rewritten.join(held, "c_custkey", "left").select("c_custkey", "sanitized", F.coalesce("_held", F.lit(False)).alias("in_vault"))
+
+
 @query(
     "entity_breakdown",
     f"SELECT id, type, count(*) AS n FROM ({_ALL}) GROUP BY id, type",

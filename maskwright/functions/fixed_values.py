@@ -122,20 +122,21 @@ OPAQUE_ENTROPY = 4.2
 ENTROPY_WINDOW = 32
 
 # --- names ---------------------------------------------------------------------
-# Names take Unicode word edges, so a name may end in an accented letter.
+# Names take Unicode word edges, so a name may end in an accented letter. They begin with a capital, also
+# where the pattern we follow lets its range of capitals run on to the small letter ß.
 PERSON_TITLED = (
     r"(?<![\p{L}\p{N}_])(?:(?:Bonjour|Salut|Hello|Hi|Dear|Cher|Chère)\s+)?"
     r"(?:M\.|Mme|Mlle|Monsieur|Madame|Mademoiselle|Mr\.?|Mrs\.?|Ms\.?|Miss|Dr\.?|Doctor|Docteur"
     r"|Prof\.?|Professor|Professeur|Ma[iî]tre|Me\b|Sir|Lady|Lord)\s+"
-    r"([A-ZÀ-ÖØ-ß][a-zà-öø-ÿ]+(?:[- ][A-ZÀ-ÖØ-ß][a-zà-öø-ÿ]+){0,3})(?![\p{L}\p{N}_])"
+    r"([A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+(?:[- ][A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+){0,3})(?![\p{L}\p{N}_])"
     r"|(?<![\p{L}\p{N}_])(?:Bonjour|Salut|Hello|Hi|Dear|Cher|Chère)\s+"
-    r"([A-ZÀ-ÖØ-ß][a-zà-öø-ÿ]+(?:[- ][A-ZÀ-ÖØ-ß][a-zà-öø-ÿ]+){0,2})(?![\p{L}\p{N}_])"
+    r"([A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+(?:[- ][A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+){0,2})(?![\p{L}\p{N}_])"
 )
 PERSON_LABELLED = (
     r"(?<![\p{L}\p{N}_])(?:[Pp]atient|[Cc]lient|[Cc]ustomer|[Ss]alarié|[Ee]mployé|[Ee]mployee"
     r"|[Ww]orker|[Cc]ollaborateur|[Cc]andidat|[Cc]andidate|[Cc]ontact|[Mm]onsieur|[Mm]adame"
     r"|[Uu]ser|[Uu]tilisateur|[Nn]ame|[Pp]erson)\s*:\s*"
-    r"([A-ZÀ-ÖØ-ß][a-zà-öø-ÿ]+(?:[- ][A-ZÀ-ÖØ-ß][a-zà-öø-ÿ]+){0,2})(?![\p{L}\p{N}_])"
+    r"([A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+(?:[- ][A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+){0,2})(?![\p{L}\p{N}_])"
 )
 NOT_A_NAME = [
     "monsieur", "madame", "mademoiselle", "docteur", "doctor", "professeur", "professor",
@@ -147,8 +148,8 @@ NOT_A_NAME = [
     "entreprise", "company", "corporation", "agency", "bank", "hospital",
 ]
 ORG_SUFFIXED = (
-    r"\b([A-ZÀ-ÖØ-ß0-9][A-Za-zÀ-ÖØ-ß0-9&.\-_]*"
-    r"(?:\s+[A-ZÀ-ÖØ-ß0-9&][A-Za-zÀ-ÖØ-ß0-9&.\-_]*){0,3})\s+"
+    r"\b([A-ZÀ-ÖØ-Þ0-9][A-Za-zÀ-ÖØ-ß0-9&.\-_]*"
+    r"(?:\s+[A-ZÀ-ÖØ-Þ0-9&][A-Za-zÀ-ÖØ-ß0-9&.\-_]*){0,3})\s+"
     r"(?:SARL|SAS|SASU|SA|EURL|SCI|GIE|Inc\.?|LLC|Corp\.?|Corporation|Ltd\.?|Limited|Co\.?"
     r"|Company|GmbH|PLC|LLP|LP|Holdings)\b"
 )
@@ -156,8 +157,8 @@ ORG_PREFIXED = (
     r"\<(?:[Gg]roupe|[Ss]ociété|[Ee]ntreprise|[Cc]abinet|[Bb]anque|[Mm]utuelle|[Aa]ssurance"
     r"|[Aa]gence|[Cc]linique|[Hh]ôpital|[Cc]ompany|[Cc]orporation|[Gg]roup|[Bb]ank|[Hh]ospital"
     r"|[Cc]linic|[Aa]gency|[Ff]irm|[Hh]oldings)\s+"
-    r"([A-ZÀ-ÖØ-ß0-9][A-Za-zÀ-ÖØ-ß0-9&.\-_]*"
-    r"(?:\s+[A-ZÀ-ÖØ-ß0-9&][A-Za-zÀ-ÖØ-ß0-9&.\-_]*){0,2})\b"
+    r"([A-ZÀ-ÖØ-Þ0-9][A-Za-zÀ-ÖØ-ß0-9&.\-_]*"
+    r"(?:\s+[A-ZÀ-ÖØ-Þ0-9&][A-Za-zÀ-ÖØ-ß0-9&.\-_]*){0,2})\b"
 )
 KNOWN_ORGANIZATIONS = [
     "bnp paribas", "société générale", "credit agricole", "crédit agricole", "bpce", "axa",

@@ -968,8 +968,9 @@ def gate_audit(spark, sf):
 
 
 def _stream(spark, sf, name: str) -> DataFrame:
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream, whether it is one file or a folder of files."""
+    # as a glob: a plain path to a single file would have to be a folder
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf.rstrip('/')}/{{{name}}}.parquet")
 
 
 def _run_stream(df: DataFrame, name: str) -> DataFrame:
@@ -992,14 +993,12 @@ def stream_restore(spark, sf):
     from ..streaming.chunks import realign_chunks
 
     text = F.concat("text", F.lit(" Bonjour [PERSON_"), F.col("conv_id"), F.lit("]."))
-    cut = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.length("_t") / 9).cast("int")), lambda i: F.substr(F.col("_t"), i * 9 + 1, F.lit(9))
-    )
+    last = F.ceil(F.length("_t") / 9).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(F.col("_t"), i * 9 + 1, F.lit(9)))
     turns = _stream(spark, sf, "conversations").withColumn("_t", text)
     chunks = turns.select(
-        F.concat_ws("/", "conv_id", "turn").alias("stream_id"), F.posexplode(cut).alias("seq", "delta"),
-        F.size(cut).alias("_n"),
-    ).select("stream_id", F.col("seq").cast("bigint").alias("seq"), "delta", (F.col("seq") == F.col("_n") - 1).alias("done"))
+        F.concat_ws("/", "conv_id", "turn").alias("stream_id"), F.posexplode(cut).alias("seq", "delta"), last.alias("_last"),
+    ).select("stream_id", F.col("seq").cast("bigint").alias("seq"), "delta", (F.col("seq") == F.col("_last")).alias("done"))
     safe = _run_stream(realign_chunks(chunks), "chunks")
     whole = safe.groupBy("stream_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", "text")))["text"], "").alias("reply"))
     ids = F.split("stream_id", "/")

@@ -23,3 +23,11 @@ def test_checking_sql(spark, sf, name):
     assert sorted(df.columns) == sorted(rel.columns)
     rows = lambda data, columns: sorted(repr([dict(zip(columns, r))[c] for c in sorted(columns)]) for r in data)
     assert rows(map(tuple, df.collect()), df.columns) == rows(rel.fetchall(), rel.columns)
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, sf, tmp_path):
+    whole = catalog.table(spark, sf, "conversations")
+    whole.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    for folder in (sf, str(tmp_path)):
+        seen = catalog._run_stream(catalog._stream(spark, folder, "conversations").select("conv_id", "turn"), "test")
+        assert seen.count() == whole.count() > 0

@@ -407,7 +407,7 @@ def cloaked_orders(spark, sf):
 def rule_hits(spark, sf):
     """A dictionary and a pattern of the user."""
     found = D.detect("text", lambda g: D.user_rules(
-        g, [D.Dictionary("words", "PROJECT", ("Regards",))], [D.PatternRule("hash", "INTERNAL_HOST", "hash [0-9a-f]{6}")]
+        g, [D.Dictionary("words", "PROJECT", ("Regards",))], [D.PatternRule("hash", "INTERNAL_HOST", "hash [0-9a-f]{6}", case_sensitive=True)]
     ))
     return corpus(spark, sf).select("id", F.inline(found)).select("id", "type", "value", "start")
 

@@ -31,3 +31,15 @@ def test_streams_read_tables_of_one_file_and_of_many(spark, sf, tmp_path):
     for folder in (sf, str(tmp_path)):
         seen = catalog._run_stream(catalog._stream(spark, folder, "conversations").select("conv_id", "turn"), "test")
         assert seen.count() == whole.count() > 0
+
+
+def test_rule_hits_mind_case_as_their_sql(spark, sf, tmp_path):
+    texts = [(0, "Hash 416272 of hash 416273, Regards"), (1, "HASH abcdef, hash ABCDEF, regards.")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/customer.parquet").limit(3).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "customer"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    rel = con.sql(catalog.ORACLES["rule_hits"])
+    got = catalog.QUERIES["rule_hits"](spark, str(tmp_path)).select(*rel.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(rel.fetchall())

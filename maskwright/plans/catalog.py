@@ -462,7 +462,7 @@ def cloaked_conversations(spark, sf):
 @query("restored_conversations", O.duck(f"SELECT conv_id, turn, md5(text) AS digest FROM ({S.CHAT}) c"))
 def restored_conversations(spark, sf):
     done = anonymize_conversations(spread(seeded(spark, sf, S.CHAT).select("conv_id", "turn", "text")))
-    back = restore(done.rewritten.select("conv_id", "turn", "sanitized"), done.vault, "sanitized", ["conv_id"], ["turn"])
+    back = restore(done.rewritten.select("conv_id", "turn", "sanitized", "entities"), done.vault, "sanitized", ["conv_id"], ["turn"], own="entities")
     return back.select("conv_id", "turn", F.md5("restored").alias("digest"))
 
 
@@ -607,7 +607,7 @@ def keyless_texts_restored(spark, sf):
     """Null sessions share one vault; every text is cloaked whole and comes back whole."""
     rows = _keyless(spark, sf)
     done = anonymize(rows, "text", ["session"], ["step"])
-    back = restore(done.rewritten.withColumn("key", F.col("row_id")), done.vault, "sanitized", ["session"], ["row_id"])
+    back = restore(done.rewritten, done.vault, "sanitized", ["session"], ["row_id"], own="entities")
     hidden = ~F.exists("entities", lambda s: F.col("sanitized").contains(s["value"]) & (F.length(s["value"]) > 12))
     return back.select("row_id", hidden.alias("hidden"), F.md5("restored").alias("digest"))
 

@@ -34,15 +34,6 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def _hits(text: Column, pattern: str) -> Column:
-    """``array<struct(value, start)>`` of all matches, left to right.
-
-    Spark has no built-in that returns match positions, so matches are fenced
-    with a mark, the text is split on it, and lengths are summed up.
-    """
-    return fenced_hits(F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), _MARK, -1))
-
-
 def _in_blocks(items: Column) -> Column:
     """An array cut into arrays of ``_BLOCK``."""
     last = lambda whole: F.floor((F.size(whole) - 1) / _BLOCK).cast("int")
@@ -137,55 +128,63 @@ def find_spans(
     ``keep`` filters on the value, ``before`` on the given number of characters
     in front of it. ``derive`` computes a column from the value once per match;
     ``keep``, ``type_``, ``confidence`` and ``meta`` may be functions of the value,
-    and of that column if there is one. ``when`` is a cheap test that spares the pattern; the pattern itself is tried
-    once for a hit before the text is cut up.
+    and of that column if there is one. ``when`` is a cheap test that spares the pattern.
+
+    Spark has no built-in that returns match positions, so matches are fenced
+    with a mark, the text is split on it, and lengths are summed up. The pattern runs once over a
+    text; one that comes out as it was has no match.
     """
     text = as_column(text)
-    hits = _hits(text, pattern)
-    if group is not None:
-        offset = group_offset or (lambda whole, part: F.instr(whole, part) - 1)
-        hits = F.transform(
-            hits,
-            lambda h: let(
-                group(h["value"]),
-                lambda part: F.struct(
-                    part.alias("value"), (h["start"] + offset(h["value"], part)).alias("start")
-                ),
-            ),
-        )
-        hits = F.filter(hits, lambda h: h["value"] != "")
-    if before is not None:
-        width, accept = before
-        hits = F.filter(
-            hits,
-            lambda h: accept(
-                F.substr(
-                    text,
-                    F.greatest(h["start"] - width, F.lit(0)) + 1,
-                    F.least(h["start"], F.lit(width)),
-                )
-            ),
-        )
-    if derive is not None:
-        hits = F.transform(hits, lambda h: h.withField("derived", derive(h["value"])))
+
+    def located(fenced: Column) -> Column:
+        return F.when(fenced != text, spans_of(fenced_hits(F.split(fenced, _MARK, -1)))).otherwise(no_spans())
 
     def pick(given, hit: Column):
         if isinstance(given, Column) or not callable(given):
             return given
         return given(hit["value"], hit["derived"]) if derive is not None else given(hit["value"])
 
-    if keep is not None:
-        hits = F.filter(hits, lambda h: pick(keep, h))
-
     def to_span(hit: Column) -> Column:
         return make_span(
             pick(type_, hit), hit["value"], hit["start"], pick(confidence, hit), metadata(pick(meta, hit))
         )
 
-    found = F.regexp_like(text, F.lit(pattern))
-    if when is not None:
-        found = when & found
-    return F.when(found, F.transform(hits, to_span)).otherwise(no_spans())
+    def spans_of(hits: Column) -> Column:
+        return F.transform(narrowed(hits), to_span)
+
+    def narrowed(hits: Column) -> Column:
+        if group is not None:
+            offset = group_offset or (lambda whole, part: F.instr(whole, part) - 1)
+            hits = F.transform(
+                hits,
+                lambda h: let(
+                    group(h["value"]),
+                    lambda part: F.struct(
+                        part.alias("value"), (h["start"] + offset(h["value"], part)).alias("start")
+                    ),
+                ),
+            )
+            hits = F.filter(hits, lambda h: h["value"] != "")
+        if before is not None:
+            width, accept = before
+            hits = F.filter(
+                hits,
+                lambda h: accept(
+                    F.substr(
+                        text,
+                        F.greatest(h["start"] - width, F.lit(0)) + 1,
+                        F.least(h["start"], F.lit(width)),
+                    )
+                ),
+            )
+        if derive is not None:
+            hits = F.transform(hits, lambda h: h.withField("derived", derive(h["value"])))
+        if keep is not None:
+            hits = F.filter(hits, lambda h: pick(keep, h))
+        return hits
+
+    found = let(F.regexp_replace(text, pattern, f"{_MARK}$0{_MARK}"), located)
+    return found if when is None else F.when(when, found).otherwise(no_spans())
 
 
 def scan(text, body: Callable[[Column], Column]) -> Column:
@@ -256,8 +255,11 @@ def greedy_cover(spans: Column, sort_key: Callable[[Column, Column], Sequence[Co
     expression is smaller and the work grows with their square.
     """
 
+    keys = []
+
     def taken(rows: Column) -> Column:
-        by_key = F.transform(rows, lambda r: F.struct(r["key"].alias("key"), r["i"].alias("i"), r["start"].alias("start"), r["end"].alias("end")))
+        # flat: Spark builds an ordering anew for each comparison of structs inside structs
+        by_key = F.transform(rows, lambda r: F.struct(*[r[k].alias(k) for k in [*keys, "i", "start", "end"]]))
         return F.aggregate(
             F.array_sort(by_key),
             F.array().cast("array<struct<start:int,end:int,i:int>>"),
@@ -268,14 +270,13 @@ def greedy_cover(spans: Column, sort_key: Callable[[Column, Column], Sequence[Co
             ),
         )
 
+    def with_keys(s: Column, i: Column) -> Column:
+        values = sort_key(s, i)
+        keys[:] = [f"k{n}" for n in range(len(values))]
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), i.alias("i"), *[v.alias(k) for k, v in zip(keys, values)])
+
     def cover(all_spans: Column) -> Column:
-        keyed = F.transform(
-            all_spans,
-            lambda s, i: F.struct(
-                s["start"].alias("start"), s["end"].alias("end"), i.alias("i"),
-                F.struct(*[k.alias(f"k{n}") for n, k in enumerate(sort_key(s, i))]).alias("key"),
-            ),
-        )
+        keyed = F.transform(all_spans, with_keys)
         kept = let(keyed, lambda rows: _by_group(rows, taken, sweep))
         return F.transform(F.array_sort(kept), lambda k: F.get(all_spans, k["i"]))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -51,10 +53,15 @@ def java_pattern(pattern: str) -> str:
 def has_rare(text: Column) -> Column:
     """Whether a text holds the mark or white space that Java's ``\\s`` does not know.
     Plain ASCII texts, the common case, are told by their byte length."""
-    wide = (F.octet_length(text) != F.length(text)) & F.regexp_like(text, F.lit(f"[{WIDE_SPACES}]"))
+    wide = (F.octet_length(text) != F.length(text)) & has_any(text, WIDE_SPACES)
     return text.contains(MARK) | wide
 
 
+def has_any(text: Column, words: Iterable[str]) -> Column:
+    """Whether a text holds one of the words. Bytes are compared, so many words cost less than one pattern."""
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+
+
 def plain_spaces(text: Column, rare: Column) -> Column:
     """The text with wide spaces as vertical tabs and marks as blanks, same length."""
     return F.when(
@@ -133,6 +140,13 @@ _STABLE = (
 )
 
 
+# Signs that no step of the normalisation touches, most texts in Latin script through.
+_UNTOUCHED = (
+    r"^[\t\n\r -~\x{00A1}-\x{00A7}\x{00A9}\x{00AB}\x{00AC}\x{00AE}\x{00B0}\x{00B1}\x{00B6}\x{00B7}\x{00BB}\x{00BF}-\x{0131}"
+    r"\x{0134}-\x{013E}\x{0141}-\x{0148}\x{014A}-\x{017E}\x{2010}\x{2012}-\x{2016}\x{2018}-\x{201F}\x{2020}-\x{2022}\x{20AC}\x{FFFD}]*+\z"
+)
+
+
 @F.pandas_udf(T.StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
@@ -144,15 +158,17 @@ def normalize_text(col) -> Column:
     Only rows that NFKC could change carry text to Python; the rest pass a null.
     """
     text = F.coalesce(as_column(col), F.lit(""))
-    unstable = ~F.regexp_like(text, F.lit(f"^{_STABLE}$"))
+    untouched = F.regexp_like(text, F.lit(_UNTOUCHED))
+    unstable = ~untouched & ~F.regexp_like(text, F.lit(f"^{_STABLE}$"))
     composed = F.coalesce(_nfkc(F.when(unstable, text)), text)
     hidden = f"(?:{fixed.ZERO_WIDTH}|{fixed.CONTROL_CHARACTERS})"
     visible = let(
         composed, lambda t: F.when(F.regexp_like(t, F.lit(hidden)), F.regexp_replace(t, hidden, "")).otherwise(t)
     )
-    return let(
+    latin = let(
         visible,
         lambda t: F.when(
             F.regexp_like(t, F.lit(r"[\x{0370}-\x{03FF}\x{0400}-\x{052F}]")), F.translate(t, *fixed.LOOKALIKES)
         ).otherwise(t),
     )
+    return F.when(untouched, text).otherwise(latin)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fixed
-from ..functions.text import as_column, has_rare, java_pattern, let, normalize_text, plain_spaces
+from ..functions.text import as_column, has_any, has_rare, java_pattern, let, normalize_text, plain_spaces
 
 
 class Rule(NamedTuple):
@@ -20,16 +21,32 @@ class Rule(NamedTuple):
 
 BUILT_IN = tuple(Rule(*r) for r in fixed.FIREWALL_RULES)
 _HITS = "array<struct<category:string,match:string,weight:int>>"
-# First words of the word-led rules, and marks of the others: a text without any of
-# them matches no built-in rule.
-_LEADS = (
-    "ignore|disregard|forget|bypass|override|drop|oublie|contourne|annule|supprime|system|reset|new"
-    "|stop|ne|nouvelle|do|repeat|print|show|display|echo|output|reveal|dump|r[eéÉ]p[eèÈ]te|affiche"
-    "|montre|donne|r[eéÉ]v[eèÈ]le|what|quelle|dan|jailbreak|developer|uncensored|always|hypothetical"
-    "|mode|fais|pretend|agis|base64|rot13|execute"
+_INSTRUCTIONS = ("instruction", "rule", "prompt", "guideline", "directive", "constraint")
+# Per built-in rule, words in small letters: a text that it matches holds one of each group. Bytes are
+# compared, so this costs a fraction of the rule's pattern.
+_NEEDS: tuple[tuple[tuple[str, ...], ...], ...] = (
+    (_INSTRUCTIONS, ("previous", "prior", "earlier", "above", "initial")),
+    (("cédentes", "cedentes", "térieures", "terieures", "initiales"),),
+    (("override", "instruction", "rules"),),
+    (("suis", "prioritaire"),),
+    (("follow",), ("rules",)),
+    (("above", "prior", "before", "beginning"), ("repeat", "print", "show", "display", "echo", "output", "reveal", "dump")),
+    (("prompt", "instruction", "ci-dessus"),),
+    (("what",), ("prompt", "instruction", "rule", "guideline")),
+    (("initiales",),),
+    (("output",), ("prompt", "instruction", "secret")),
+    (("mode", "anything", "jailbreak"),),
+    (("uncensored", "unfiltered", "hypothetical"),),
+    (("filtre", "importe", "thique"),),
+    (("pretend",),),
+    (("avais", "limite"),),
+    (("---", "===", "###"), ("system", "prompt", "instructions")),
+    (("system>", "instruction>", "admin>", "prompt_context>"),),
+    (("[system", "[admin", "[internal", "<<sys>>", "<|im_start|>system"),),
+    (("base64", "rot13", "execute"),),
 )
-_LEAD_WORD = rf"(?i)(?<!\w)(?:{_LEADS})"
-_DELIMITER = r"---|===|###|[<\[]"
+# Letters beside K that a pattern for any case takes as ASCII ones, and that stay or come apart in small letters.
+_LIKE_ASCII = ("\u017f", "\u0131", "\u0130")
 
 
 def custom_rule(pattern: str, category: str | None = None, weight: int | None = None) -> Rule:
@@ -41,17 +58,17 @@ def _flags(pattern: str) -> str:
     return "(?i)" if pattern.isascii() else "(?iu)"
 
 
-def _hits(text: Column, rules: Sequence[Rule]) -> Column:
-    """One struct per rule that matches, in rule order."""
+def _hits(text: Column, rules: Sequence[Rule], possible: Mapping[Rule, Column] | None = None) -> Column:
+    """One struct per rule that matches, in rule order; a rule whose ``possible`` is false is not tried."""
     if not rules:
         return F.array().cast(_HITS)
+
+    def match(rule: Rule) -> Column:
+        found = F.regexp_extract(text, _flags(rule.pattern) + java_pattern(rule.pattern), 0)
+        return F.when(possible[rule], found).otherwise(F.lit("")) if possible else found
+
     tried = [
-        F.struct(
-            F.lit(r.category).alias("category"),
-            F.regexp_extract(text, _flags(r.pattern) + java_pattern(r.pattern), 0).alias("match"),
-            F.lit(r.weight).alias("weight"),
-        )
-        for r in rules
+        F.struct(F.lit(r.category).alias("category"), match(r).alias("match"), F.lit(r.weight).alias("weight")) for r in rules
     ]
     return F.filter(F.array(*tried), lambda h: h["match"] != "")
 
@@ -67,15 +84,25 @@ def _match(text: Column, extra_rules: Sequence[Rule]) -> Column:
     words = [r for r in BUILT_IN if r.category != "DELIMITER_SMUGGLING"]
     before = [r for r in words if r.category != "OBFUSCATION_INDICATORS"]
     after = [r for r in words if r.category == "OBFUSCATION_INDICATORS"]
-    none = F.array().cast(_HITS)
-    led = F.regexp_like(text, F.lit(_LEAD_WORD))
-    marked = F.regexp_like(text, F.lit(_DELIMITER))
-    return F.concat(
-        F.when(led, _hits(text, before)).otherwise(none),
-        F.when(marked, _hits(text, delimiters)).otherwise(none),
-        F.when(led, _hits(text, after)).otherwise(none),
-        _hits(text, list(extra_rules)),
-    )
+    ordered = [*before, *delimiters, *after]
+
+    def gated(gates: Column) -> Column:
+        built_in = {r: gates[f"r{i}"] for i, r in enumerate(ordered)}
+        none = F.array().cast(_HITS)
+        return F.when(gates["any"], _hits(text, ordered, built_in)).otherwise(none)
+
+    def bind(low: Column) -> Column:
+        odd = (F.octet_length(low) != F.length(low)) & has_any(text, _LIKE_ASCII)
+        needed = dict(zip(BUILT_IN, _NEEDS, strict=True))
+        holds = [odd | reduce(lambda a, b: a & b, [has_any(low, group) for group in needed[r]]) for r in ordered]
+        return let(F.array(*holds), lambda flags: let(
+            F.struct(
+                F.array_contains(flags, True).alias("any"), *[flags[i].alias(f"r{i}") for i in range(len(ordered))]
+            ), gated,
+        ))
+
+    found = let(F.lower(text), bind)
+    return F.concat(found, _hits(text, list(extra_rules))) if extra_rules else found
 
 
 def score_matches(matches, threshold: int = fixed.FIREWALL_THRESHOLD) -> Column:

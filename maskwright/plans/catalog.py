@@ -78,11 +78,22 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus(spark, sf):
-    return spread(seeded(spark, sf, S.CORPUS))
+    """Documents and notes. Each table is dealt out by itself: documents of many files would leave all notes,
+    whose table is small and whose texts are not, to the task that reads it."""
+    return _dealt(spark, sf, S.CORPUS)
 
 
 def notes(spark, sf):
-    return spread(seeded(spark, sf, S.NOTES))
+    return _dealt(spark, sf, S.NOTES)
+
+
+def _dealt(spark: SparkSession, sf: str, sql: str) -> DataFrame:
+    """A seeded query over documents and customers, of which rows and not built texts are dealt out."""
+    for name in ("documents", "customer"):
+        if f"FROM {name}" in sql:
+            spread(table(spark, sf, name)).createOrReplaceTempView(f"mw_dealt_{name}")
+            sql = sql.replace(f"FROM {name}", f"FROM mw_dealt_{name}")
+    return spark.sql(sql)
 
 
 def spans_query(name: str, build: Callable[[Gates], Column], sql: str, columns=("id", "value", "start")) -> None:

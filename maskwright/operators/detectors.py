@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import checks
 from ..functions import fixed_values as fixed
 from ..functions.entropy import shannon_entropy, window_entropy
-from ..functions.text import SPACE, as_column, java_pattern, java_quote, let, trim_all
+from ..functions.text import MARK, SPACE, WIDE_SPACES, as_column, has_any, java_pattern, java_quote, let, trim_all
 from .spans import (
     claim_in_order,
     find_spans,
@@ -24,6 +25,15 @@ from .spans import (
 
 DEFAULT_TYPES = tuple(fixed.ENTITY_PRIORITY)
 _BUILT: dict = {}
+# Cards, SIRET, NIR and French and US numbers have ten digits or more, no two of them more than two signs
+# apart (a NIR of Corsica holds a letter). SSN and a bare SIREN are cut after three digits.
+_LONG_NUMBER = r"[0-9](?:[\s.\-_()ABab]{0,2}[0-9]){9}"
+_UK_NUMBER = r"0[127](?:[\s.\-]?[0-9]){7}"
+_BEFORE_LETTER = r"[0-9][\s.-]?[A-Da-d](?!\w)"
+_DOTTED = r"[0-9]\.[0-9]"
+_LONG_RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{20}"
+_ORG_LEAD = r"\s(?:S[AC]|EURL|GIE|Inc|L[LPit]|Co|GmbH|PLC|Holdings)"
+_SPLIT_NUMBER = r"[0-9]{3}[\s.\-][0-9]{2}"
 
 
 @dataclass(frozen=True)
@@ -31,26 +41,49 @@ class Gates:
     """A text and cheap facts about it that spare whole families of patterns.
 
     Every digit-led format needs a digit and every address an ``@``; testing that
-    once costs far less than a pattern that fails at each position.
+    once costs far less than a pattern that fails at each position. ``low`` is the text in small
+    letters, ``long_number`` says whether ten digits stand together, ``split_number`` whether
+    three and two are set apart by one sign.
     """
 
     text: Column
     has_digit: Column
     has_at: Column
+    low: Column
+    long_number: Column
+    split_number: Column
 
     @classmethod
     def of(cls, text) -> "Gates":
         text = as_column(text)
-        return cls(text, F.regexp_like(text, F.lit("[0-9]")), text.contains("@"))
+        digit = F.regexp_like(text, F.lit("[0-9]"))
+        return cls(
+            text, digit, text.contains("@"), F.lower(text),
+            digit & F.regexp_like(text, F.lit(_LONG_NUMBER)), digit & F.regexp_like(text, F.lit(_SPLIT_NUMBER)),
+        )
+
+    def bound(self) -> Column:
+        return F.struct(*[getattr(self, f.name).alias(f.name) for f in fields(self)])
+
+    @classmethod
+    def within(cls, bound: Column) -> "Gates":
+        return cls(*[bound[f.name] for f in fields(cls)])
+
+    def holds(self, *words: str) -> Column:
+        """Whether one of the words occurs, letter for letter."""
+        return has_any(self.text, words)
+
+    def mentions(self, *words: str) -> Column:
+        """Whether one of the words, given in small letters, occurs in any case. Enough for a pattern
+        that minds the case of ASCII letters only."""
+        return has_any(self.low, words)
 
 
 def detect(text, build: Callable[[Gates], Column]) -> Column:
     """Run detectors on a text: its plain form and the gates are computed once."""
 
     def gated(plain: Column) -> Column:
-        facts = Gates.of(plain)
-        bound = F.struct(plain.alias("t"), facts.has_digit.alias("digit"), facts.has_at.alias("at"))
-        return let(bound, lambda b: build(Gates(b["t"], b["digit"], b["at"])))
+        return let(Gates.of(plain).bound(), lambda b: build(Gates.within(b)))
 
     return scan(text, gated)
 
@@ -97,6 +130,12 @@ def _not_version(prefix: Column) -> Column:
 # --- secrets -------------------------------------------------------------------
 
 
+# Each format starts with or contains one of these letters or marks.
+_SECRET_LEADS = (
+    "-----BEGIN ", "://", "eyJ", "k_", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "AKIA", "ASIA", "AIza", "hf_", "xox", "earer",
+)
+
+
 def known_secrets(g: Gates) -> Column:
     """Tokens in public formats: one scan over all formats, then a name per hit."""
     # All but one format begin at a word edge; testing it once spares ten branches.
@@ -111,9 +150,7 @@ def known_secrets(g: Gates) -> Column:
             expr = F.when(hit, label) if expr is None else expr.when(hit, label)
         return expr
 
-    # Each format starts with or contains one of these letters or marks.
-    lead = F.regexp_like(g.text, F.lit(r"-----BEGIN |://|eyJ|k_|sk-|gh[pousr]_|A[KS]IA|AIza|hf_|xox|earer\s"))
-    return find_spans(g.text, every, "SECRET", 0.99, meta=lambda v: {"secretType": name(v)}, when=lead)
+    return find_spans(g.text, every, "SECRET", 0.99, meta=lambda v: {"secretType": name(v)}, when=g.holds(*_SECRET_LEADS))
 
 
 def _entropy(size: int) -> Callable[[Column], Column]:
@@ -186,7 +223,8 @@ def entropy_secrets(g: Gates, hex_threshold=fixed.HEX_ENTROPY, opaque_threshold=
             ),
         ),
     )
-    long_run = F.regexp_like(g.text, F.lit(r"[A-Za-z0-9+/_\-]{20}"))
+    # tried where a run begins, not at each sign of it
+    long_run = F.regexp_like(g.text, F.lit(_LONG_RUN))
     return F.when(long_run, merged).otherwise(no_spans())
 
 
@@ -202,20 +240,20 @@ def cards(g: Gates) -> Column:
         0.99,
         keep=checks.luhn_ok,
         meta=lambda v: {"issuer": checks.card_issuer(digits(v))},
-        when=g.has_digit,
+        when=g.long_number,
     )
 
 
 def nirs(g: Gates) -> Column:
     return find_spans(
-        g.text, _p("NIR"), "NIR", 0.98, keep=checks.nir_ok, meta={"country": "FR"}, when=g.has_digit
+        g.text, _p("NIR"), "NIR", 0.98, keep=checks.nir_ok, meta={"country": "FR"}, when=g.long_number
     )
 
 
 def sirets(g: Gates) -> Column:
     return find_spans(
         g.text, _p("SIRET"), "SIRET", 0.96, keep=checks.luhn_ok,
-        meta={"country": "FR", "kind": "SIRET"}, when=g.has_digit,
+        meta={"country": "FR", "kind": "SIRET"}, when=g.long_number,
     )
 
 
@@ -227,13 +265,13 @@ def sirens(g: Gates) -> Column:
     )
     return find_spans(
         g.text, pattern, "SIRET", 0.95, group=number, keep=checks.luhn_ok,
-        meta={"country": "FR", "kind": "SIREN"}, when=g.has_digit,
+        meta={"country": "FR", "kind": "SIREN"}, when=g.split_number | (g.has_digit & g.mentions("siren")),
     )
 
 
 def ssns(g: Gates) -> Column:
     return find_spans(
-        g.text, _p("SSN"), "SSN", 0.97, keep=checks.ssn_ok, meta={"country": "US"}, when=g.has_digit
+        g.text, _p("SSN"), "SSN", 0.97, keep=checks.ssn_ok, meta={"country": "US"}, when=g.split_number
     )
 
 
@@ -241,13 +279,14 @@ def labelled_ssns(g: Gates) -> Column:
     return find_spans(
         g.text, _p("SSN_LABELLED"), "SSN", 0.98,
         group=lambda m: F.regexp_extract(m, _p("SSN_NUMBER"), 0),
-        keep=checks.ssn_ok, meta={"country": "US", "context": "true"}, when=g.has_digit,
+        keep=checks.ssn_ok, meta={"country": "US", "context": "true"}, when=g.has_digit & g.mentions("ssn", "social"),
     )
 
 
 def ninos(g: Gates) -> Column:
     return find_spans(
-        g.text, _p("NINO"), "NINO", 0.97, keep=checks.nino_ok, meta={"country": "UK"}, when=g.has_digit
+        g.text, _p("NINO"), "NINO", 0.97, keep=checks.nino_ok, meta={"country": "UK"},
+        when=g.has_digit & F.regexp_like(g.text, F.lit(_BEFORE_LETTER)),
     )
 
 
@@ -255,7 +294,7 @@ def labelled_ninos(g: Gates) -> Column:
     return find_spans(
         g.text, _p("NINO_LABELLED"), "NINO", 0.98,
         group=lambda m: F.regexp_extract(m, _p("NINO_NUMBER"), 0),
-        keep=checks.nino_ok, meta={"country": "UK", "context": "true"}, when=g.has_digit,
+        keep=checks.nino_ok, meta={"country": "UK", "context": "true"}, when=g.has_digit & g.mentions("nino", "national"),
     )
 
 
@@ -281,11 +320,14 @@ def ibans(g: Gates) -> Column:
     return find_spans(g.text, _p("IBAN"), "IBAN", 0.99, keep=checks.iban_ok, when=g.has_digit)
 
 
+_MONEY = ("$", "€", "£", "¥", "usd", "eur", "gbp", "chf", "dollar", "livre")
+
+
 def amounts(g: Gates) -> Column:
     return find_spans(
         g.text, _p("AMOUNT"), "AMOUNT", 0.94,
         keep=lambda v: (F.length(trim_all(v)) > 1) & F.regexp_like(v, F.lit("[0-9]")),
-        when=g.has_digit,
+        when=g.has_digit & g.mentions(*_MONEY),
     )
 
 
@@ -314,17 +356,21 @@ def _by_subnet(inside_label: str, version: str) -> dict:
     }
 
 
+def _has_dotted(g: Gates) -> Column:
+    return g.has_digit & F.regexp_like(g.text, F.lit(_DOTTED))
+
+
 def classified_ipv4(g: Gates) -> Column:
     return find_spans(
         g.text, _p("IPV4"), confidence=0.98, derive=checks.private_ipv4,
         before=(10, lambda pre: _not_version(pre) & ~F.regexp_like(pre, F.lit(_p("MAPPED_V4_BEFORE")))),
-        when=g.has_digit, **_by_subnet("RFC_1918_OR_LOCAL", "v4"),
+        when=_has_dotted(g), **_by_subnet("RFC_1918_OR_LOCAL", "v4"),
     )
 
 
 def _has_ipv6(g: Gates) -> Column:
     """Every spelling holds a colon before a hex digit or a second colon."""
-    return F.regexp_like(g.text, F.lit(":[0-9a-fA-F:]"))
+    return g.holds(":") & F.regexp_like(g.text, F.lit(":[0-9a-fA-F:]"))
 
 
 def classified_ipv6(g: Gates) -> Column:
@@ -347,16 +393,18 @@ def emails(g: Gates) -> Column:
 
 def phones(g: Gates, strict_intl: bool = False) -> Column:
     """French, US, UK, then international numbers; the first kind keeps its text."""
-    one = lambda pattern, conf, country: find_spans(
-        g.text, _p(pattern), "PHONE", conf, meta={"country": country}, when=g.has_digit
+    one = lambda pattern, conf, country, when: find_spans(
+        g.text, _p(pattern), "PHONE", conf, meta={"country": country}, when=when
     )
+    plus = g.holds("+")
+    uk = plus | (g.has_digit & F.regexp_like(g.text, F.lit(_UK_NUMBER)))
     return F.when(
-        g.has_digit,
+        g.has_digit & (g.long_number | uk),
         claim_in_order(
-            one("PHONE_FR", 0.95, "FR"),
-            one("PHONE_US", 0.94, "US"),
-            one("PHONE_UK", 0.93, "UK"),
-            one("PHONE_INTL_STRICT" if strict_intl else "PHONE_INTL", 0.90, "INTL"),
+            one("PHONE_FR", 0.95, "FR", g.long_number),
+            one("PHONE_US", 0.94, "US", g.long_number),
+            one("PHONE_UK", 0.93, "UK", uk),
+            one("PHONE_INTL_STRICT" if strict_intl else "PHONE_INTL", 0.90, "INTL", plus),
         ),
     ).otherwise(no_spans())
 
@@ -364,7 +412,7 @@ def phones(g: Gates, strict_intl: bool = False) -> Column:
 def plain_ipv4(g: Gates) -> Column:
     return find_spans(
         g.text, _p("IPV4"), "IP_ADDRESS", 0.95, before=(10, _not_version),
-        meta={"version": "v4"}, when=g.has_digit,
+        meta={"version": "v4"}, when=_has_dotted(g),
     )
 
 
@@ -382,6 +430,19 @@ def contact_data(g: Gates) -> Column:
 # --- names ---------------------------------------------------------------------
 
 
+# What every title or greeting, and every word before an organisation's name, begins with or holds.
+_TITLES = (
+    "M.", "Mme", "Mlle", "Monsieur", "Ma", "Mr", "Ms", "Miss", "Dr", "Do", "Prof", "Me", "Sir", "Lady", "Lord",
+    "Bonjour", "Salut", "Hello", "Hi", "Dear", "Ch",
+)
+_PREFIXES = (
+    "roup", "ociété", "ntreprise", "abinet", "an", "utuelle", "ssurance", "genc", "lini", "pital", "orporation", "irm", "oldings",
+)
+# Letters beside K that a pattern for any case takes as ASCII ones, and that stay or come apart in small letters.
+_LIKE_ASCII = ("\u017f", "\u0131", "\u0130")
+_MANY_NAMES = 64
+
+
 def _is_name(value: Column) -> Column:
     return ~F.lower(value).isin(fixed.NOT_A_NAME)
 
@@ -395,6 +456,7 @@ def titled_persons(g: Gates) -> Column:
     return find_spans(
         g.text, pattern, "PERSON", 0.92, group=name,
         group_offset=lambda whole, part: F.length(whole) - F.length(part), keep=_is_name,
+        when=g.holds(*_TITLES),
     )
 
 
@@ -409,12 +471,17 @@ def labelled_persons(g: Gates) -> Column:
 def suffixed_organizations(g: Gates) -> Column:
     pattern = _p("ORG_SUFFIXED")
     # The suffix words alone are quick to look for and rare.
-    lead = F.regexp_like(g.text, F.lit(r"\s(?:S[AC]|EURL|GIE|Inc|L[LPit]|Co|GmbH|PLC|Holdings)"))
+    lead = F.regexp_like(g.text, F.lit(_ORG_LEAD))
     return find_spans(g.text, pattern, "ORGANIZATION", 0.94, when=lead)
 
 
 def prefixed_organizations(g: Gates) -> Column:
-    return find_spans(g.text, _p("ORG_PREFIXED"), "ORGANIZATION", 0.93)
+    return find_spans(g.text, _p("ORG_PREFIXED"), "ORGANIZATION", 0.93, when=g.holds(*_PREFIXES))
+
+
+def _plain_parts(names: Iterable[str]) -> list[str]:
+    """The longest stretch of ASCII signs of each name, in small letters."""
+    return list(dict.fromkeys(max(re.findall(r"[ -~]*", n.lower()), key=len) for n in names))
 
 
 def listed_names(g: Gates, names: Iterable[str], type_: str, confidence: float) -> Column:
@@ -428,7 +495,9 @@ def listed_names(g: Gates, names: Iterable[str], type_: str, confidence: float)
         branches.setdefault(name[0].upper()[0].lower()[0], []).append(java_quote(name))
     firsts = "".join(c if c.isalnum() else "\\" + c for c in branches)
     pattern = f"(?iu)(?=[{firsts}])(?<![a-z0-9])(?:" + "|".join("(?:" + "|".join(b) + ")" for b in branches.values()) + ")(?![a-z0-9])"
-    return find_spans(g.text, pattern, type_, confidence)
+    plain = _plain_parts(ordered)
+    gate = g.mentions(*plain, *_LIKE_ASCII) if all(plain) and len(plain) <= _MANY_NAMES else None
+    return find_spans(g.text, pattern, type_, confidence, when=gate)
 
 
 def names(g: Gates, registered: Mapping[str, str] | None = None) -> Column:
@@ -516,6 +585,37 @@ def _ranked(spans: Column, rank: int) -> Column:
 
 # --- the set -------------------------------------------------------------------
 
+def _one_of(words: Iterable[str]) -> str:
+    """A pattern for any of the words, one branch per first letter."""
+    branches: dict[str, list[str]] = {}
+    for word in words:
+        branches.setdefault(word[0], []).append(java_quote(word[1:]))
+    return "|".join(java_quote(first) + "(?:" + "|".join(rest) + ")" for first, rest in branches.items())
+
+
+# Bytes of a text that is asked first whether it can hold anything; longer ones nearly always do.
+_SHORT = 400
+
+
+def may_hold(text: Column) -> Column:
+    """False only for a short text in which no built-in detector can find anything.
+
+    Spark compiles this test, but not what stands inside a higher-order function, so a table of
+    short texts without entities costs a fraction of the detectors.
+    """
+    numbers = "|".join([_LONG_NUMBER, _UK_NUMBER, _SPLIT_NUMBER, _BEFORE_LETTER, _DOTTED])
+    any_case = (*_MONEY, "siren", "ssn", "social", "nino", "national", *_plain_parts(fixed.KNOWN_ORGANIZATIONS))
+    return (
+        (F.octet_length(text) > _SHORT)
+        | F.regexp_like(text, F.lit(_one_of(("@", "+", ":", MARK, *_SECRET_LEADS, *_TITLES, *_PREFIXES))))
+        | F.regexp_like(text, F.lit("(?i)" + _one_of(any_case)))
+        | ((F.octet_length(text) != F.length(text)) & has_any(text, (*_LIKE_ASCII, *WIDE_SPACES)))
+        | F.regexp_like(text, F.lit(f"(?=[0-9])(?:{numbers})"))
+        | F.regexp_like(text, F.lit("[A-Z]{2}[0-9]{2}"))
+        | F.regexp_like(text, F.lit(_LONG_RUN))
+        | F.regexp_like(text, F.lit(_ORG_LEAD))
+    )
+
 
 def built_once(key: tuple, build: Callable[[], Column]) -> Column:
     """An expression that is built once per application: a later session of the same process gets its own."""
@@ -597,10 +697,17 @@ class DetectorSet:
             arrays.append(_ranked(spans, rank))
         return F.concat(*arrays) if arrays else no_spans()
 
+    def _where_any(self, text, build: Callable[[Gates], Column], without: Callable[[], Column]) -> Column:
+        """``detect``, or ``without`` where the built-in detectors have nothing to find and there are no others."""
+        found = detect(text, build)
+        if self.dictionaries or self.patterns or self.registered or self.extra:
+            return found
+        return F.when(may_hold(as_column(text)), found).otherwise(without())
+
     def find_with(self, text, extra: Column) -> Column:
         """Resolved spans of a text column and of spans found elsewhere, which rank last."""
         more = _ranked(extra, len(self.detectors))
-        return detect(text, lambda g: resolve_overlaps(F.concat(self.raw(g), more)))
+        return self._where_any(text, lambda g: resolve_overlaps(F.concat(self.raw(g), more)), lambda: resolve_overlaps(more))
 
     def find(self, text) -> Column:
         """Resolved spans of a text column.
@@ -608,7 +715,7 @@ class DetectorSet:
         Building the expression takes longer than planning it, so it is kept per
         session and column name.
         """
-        build = lambda: detect(text, lambda g: resolve_overlaps(self.raw(g)))
+        build = lambda: self._where_any(text, lambda g: resolve_overlaps(self.raw(g)), no_spans)
         return built_once((text, self), build) if isinstance(text, str) else build()
 
 

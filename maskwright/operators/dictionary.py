@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import quote_pattern
 from ..sources.staging import stage
 from .joins import join_null_safe
-from .spans import fenced_hits, longest_cover, make_span
-from .vault import WORD, gram_sizes, leading_gram, sift_grams, word_grams
+from .spans import longest_cover, make_span
+from .vault import gram_sizes, leading_gram, sift_grams, value_hits, word_grams
 
 
 def dictionary_spans(
@@ -38,15 +37,9 @@ def dictionary_spans(
     found = join_null_safe(df.select(*keys, text_col), candidates, keys, "inner").withColumn("_text", F.col(text_col))
 
     def locate(t):
-        flags = F.when(t["case_sensitive"], "").otherwise("(?iu)")
-        pattern = F.concat(
-            flags, F.lit(f"(?<![{WORD}])(?:"), quote_pattern(t["term"]), F.lit(f")(?![{WORD}])")
-        )
-        text = F.col("_text")
-        unmarked = F.when(text.contains("\x01"), F.translate(text, "\x01", " ")).otherwise(text)
-        parts = F.split(F.regexp_replace(unmarked, pattern, F.lit("\x01$0\x01")), "\x01", -1)
+        hits = value_hits(F.col("_text"), t["term"], minds_case=t["case_sensitive"])
         meta = F.create_map(F.lit("source"), F.lit("dictionary"), F.lit("dictionary"), t["dict_name"])
-        return F.transform(fenced_hits(parts), lambda h: make_span(t["type"], h["value"], h["start"], 1.0, meta))
+        return F.transform(hits, lambda h: make_span(t["type"], h["value"], h["start"], 1.0, meta))
 
     # A fixed order of terms, so that equal spans resolve the same way everywhere.
     spans = F.flatten(F.transform(F.array_sort("_terms"), locate))

@@ -384,7 +384,7 @@ def _order_texts(spark, sf) -> tuple[DataFrame, DataFrame]:
         F.lit("Order "), F.col("o_orderkey"), F.lit(" ("), F.col("o_orderpriority"), F.lit(") for customer#"),
         F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit("."),
     )
-    return table(spark, sf, "orders").select("o_orderkey", text.alias("text")), terms
+    return spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")).select("o_orderkey", text.alias("text")), terms
 
 
 @query(

@@ -9,20 +9,24 @@ from . import fixed_values as fixed
 from .text import as_column, let
 
 
+def signs(text: Column) -> Column:
+    """The different characters of a text."""
+    return F.array_distinct(F.split(text, ""))
+
+
+def may_reach(text: Column, bits: float) -> Column:
+    """Whether a text has signs enough for so many bits per character: n different ones give log2(n) at most,
+    in the text and in any window of it."""
+    return F.size(signs(text)) >= 2.0 ** (bits - 1e-9)
+
+
 def shannon_entropy(col) -> Column:
     """Bits per character; 0 for an empty string."""
 
     def bits(text: Column) -> Column:
         length = F.length(text)
-        return F.aggregate(
-            F.array_distinct(F.split(text, "")),
-            F.lit(0.0),
-            lambda acc, c: acc
-            + let(
-                (length - F.length(F.replace(text, c, F.lit("")))) / length,
-                lambda p: -p * F.log2(p),
-            ),
-        )
+        shares = F.transform(signs(text), lambda c: (length - F.length(F.replace(text, c, F.lit("")))) / length)
+        return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc + -p * F.log2(p))
 
     return let(
         F.coalesce(as_column(col), F.lit("")),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checks
 from ..functions import fixed_values as fixed
-from ..functions.entropy import shannon_entropy, window_entropy
+from ..functions.entropy import may_reach, shannon_entropy, window_entropy
 from ..functions.text import MARK, SPACE, WIDE_SPACES, as_column, has_any, java_pattern, java_quote, let, trim_all
 from .spans import (
     claim_in_order,
@@ -105,10 +105,12 @@ _FIRST = {
     "NINO_LABELLED": "Nn", "CARD": "0-9", "PERSON_TITLED": "A-Z", "PERSON_LABELLED": "PpCcSsEeWwMmUuNn",
     "ORG_SUFFIXED": "A-ZÀ-ÖØ-Þ0-9", "ORG_PREFIXED": "GgSsEeCcBbMmAaHhFf",
 }
-# Stretches after which nothing can match that a shorter stretch leaves over: they are not given back.
+# Stretches after which nothing can match that a shorter stretch leaves over: they are not given back. A word edge
+# before a class, and branches, are asked for the sign that comes next first.
 _WHOLE = {
-    "EMAIL": ("[A-Za-z0-9._%+-]+@", "[A-Za-z0-9._%+-]++@"),
-    "AMOUNT": (r"\d+(?:[ \t.,]\d+)*(?:[.,]\d+)?", r"\d++(?:[ \t.,]\d++)*+"),
+    "EMAIL": ((r"\b[A-Za-z0-9._%+-]+@", r"(?:(?=\w)(?<!\w)|(?=[.%+-])(?<=\w))[A-Za-z0-9._%+-]++@"),),
+    "AMOUNT": ((r"\d+(?:[ \t.,]\d+)*(?:[.,]\d+)?", r"\d++(?:[ \t.,]\d++)*+"),),
+    "ORG_SUFFIXED": ((r"[A-Za-zÀ-ÖØ-ß0-9&.\-_]*", r"[A-Za-zÀ-ÖØ-ß0-9&.\-_]*+"), (r"\s+(?:SARL|", r"\s+(?=[SEGILCPH])(?:SARL|")),
 }
 
 
@@ -118,8 +120,8 @@ def _led(pattern: str, first: str) -> str:
 
 def _p(name: str) -> str:
     pattern = getattr(fixed, name)
-    if name in _WHOLE:
-        pattern = pattern.replace(*_WHOLE[name])
+    for plain, quick in _WHOLE.get(name, ()):
+        pattern = pattern.replace(plain, quick)
     return _led(java_pattern(pattern), _FIRST[name]) if name in _FIRST else java_pattern(pattern)
 
 
@@ -155,12 +157,13 @@ def known_secrets(g: Gates) -> Column:
 
 def _entropy(size: int) -> Callable[[Column], Column]:
     """``struct(best, window)``: the larger of whole and windowed entropy, and the latter."""
-    return lambda v: let(
-        F.struct(
-            shannon_entropy(v).alias("whole"), window_entropy(v, size, 4)["max_entropy"].alias("window")
-        ),
-        lambda h: F.struct(F.greatest(h["whole"], h["window"]).alias("best"), h["window"].alias("window")),
-    )
+
+    def both(v: Column, whole: Column) -> Column:
+        # a value no longer than the window is its own window
+        window = F.when(F.length(v) <= size, whole).otherwise(window_entropy(v, size, 4)["max_entropy"])
+        return let(window, lambda w: F.struct(F.greatest(whole, w).alias("best"), w.alias("window")))
+
+    return lambda v: let(shannon_entropy(v), lambda whole: both(v, whole))
 
 
 def _entropy_meta(encoding: str):
@@ -182,6 +185,7 @@ def hex_secrets(g: Gates, threshold: float = fixed.HEX_ENTROPY, size: int = fixe
         _p("HEX_TOKEN"),
         "SECRET",
         lambda v, h: F.least(F.lit(0.98), 0.75 + h["best"] / 4.0 * 0.23),
+        worth=lambda v: may_reach(v, threshold),
         derive=_entropy(size),
         keep=lambda v, h: h["best"] >= threshold,
         before=(50, _not_data_uri),
@@ -199,8 +203,9 @@ def opaque_secrets(g: Gates, threshold: float = fixed.OPAQUE_ENTROPY, size: int
         _p("OPAQUE_TOKEN"),
         "SECRET",
         lambda v, h: F.least(F.lit(0.98), 0.70 + h["best"] / 6.0 * 0.28),
+        worth=lambda v: may_reach(v, threshold) & varied(v) & ~F.regexp_like(v, F.lit("^https?://")),
         derive=_entropy(size),
-        keep=lambda v, h: varied(v) & ~F.regexp_like(v, F.lit("^https?://")) & (h["best"] >= threshold),
+        keep=lambda v, h: h["best"] >= threshold,
         before=(50, _not_data_uri),
         meta=_entropy_meta("base64_or_alphanumeric"),
     )
@@ -422,9 +427,11 @@ def plain_ipv6(g: Gates) -> Column:
     )
 
 
-def contact_data(g: Gates) -> Column:
-    """Addresses found by the generic patterns; classified ones outrank them."""
-    return F.concat(emails(g), phones(g), plain_ipv4(g), plain_ipv6(g))
+def contact_data(g: Gates, classified: bool = False) -> Column:
+    """Addresses found by the generic patterns; classified ones outrank them. ``classified``: these are
+    searched as well, so that of the plain IPv4 only those are missing that stand behind an IPv6 prefix."""
+    ipv4 = F.when(g.mentions("::ffff:"), plain_ipv4(g)).otherwise(no_spans()) if classified else plain_ipv4(g)
+    return F.concat(emails(g), phones(g), ipv4, plain_ipv6(g))
 
 
 # --- names ---------------------------------------------------------------------
@@ -679,7 +686,9 @@ class DetectorSet:
             Detector("identity", ("NIR", "SIRET", "SSN", "NINO"), identity_numbers),
             Detector("financial", ("IBAN", "AMOUNT"), financial),
             Detector("network", ("INTERNAL_IP", "IP_ADDRESS"), network_addresses),
-            Detector("contact", ("EMAIL", "PHONE", "IP_ADDRESS"), contact_data),
+            Detector(
+                "contact", ("EMAIL", "PHONE", "IP_ADDRESS"), lambda g: contact_data(g, {"IP_ADDRESS", "INTERNAL_IP"} <= set(self.types))
+            ),
             Detector("names", ("PERSON", "ORGANIZATION"), lambda g: names(g, dict(self.registered))),
         )
         return built_in + self.extra

@@ -30,9 +30,9 @@ def dictionary_spans(
         leading["gram"].alias("_gram"), leading["size"].alias("_size"),
         F.struct("dict_name", "type", "term", "case_sensitive").alias("_term"),
     ).filter(F.col("_gram").isNotNull()))
-    sizes = gram_sizes(listed, "_size")
+    sizes, bits = gram_sizes(listed, "_size")
     words = df.select(*keys, F.explode(word_grams(F.col(text_col), sizes)).alias("_gram"))
-    hits = sift_grams(words, listed).join(listed.drop("_size"), "_gram")
+    hits = sift_grams(words, listed, bits).join(listed.drop("_size"), "_gram")
     candidates = hits.groupBy(*keys).agg(F.collect_set("_term").alias("_terms"))
     found = join_null_safe(df.select(*keys, text_col), candidates, keys, "inner").withColumn("_text", F.col(text_col))
 

@@ -26,6 +26,8 @@ SPANS = f"array<{SPAN}>"
 _MARK = MARK
 # Parts of a block; even.
 _BLOCK = 64
+# Parts of which each match's place is summed up by itself; even more go in blocks.
+_PARTS = 33
 # Spans that are compared with each other directly; more are first cut where none overlap.
 _FEW = 32
 
@@ -61,7 +63,26 @@ def _scan(items: Column, total: Callable[[Column], Column], add: Callable[[Colum
 
 
 def fenced_hits(parts: Column) -> Column:
-    """``array<struct(value, start)>`` of every second part of a text that was cut around its matches."""
+    """``array<struct(value, start)>`` of every second part of a text that was cut around its matches.
+
+    Few parts are joined natively up to each match: that costs less than a fold, whose steps Spark interprets.
+    """
+    none = F.array().cast("array<struct<value:string,start:int>>")
+    one = lambda value, start: F.struct(value.alias("value"), start.alias("start"))
+
+    def located(cut: Column) -> Column:
+        n = F.size(cut)
+        each = F.transform(
+            F.sequence(F.lit(1), n - 2, F.lit(2)), lambda i: one(F.get(cut, i), F.length(F.array_join(F.slice(cut, F.lit(1), i), "")))
+        )
+        single = F.array(one(F.get(cut, F.lit(1)), F.length(F.get(cut, F.lit(0)))))
+        return F.when(n <= 1, none).when(n == 3, single).when(n <= _PARTS, each).otherwise(_folded_hits(cut))
+
+    return let(parts, located)
+
+
+def _folded_hits(parts: Column) -> Column:
+    """``fenced_hits`` of any number of parts, in time linear in the text."""
     none = F.array().cast("array<struct<value:string,start:int>>")
 
     def step(acc: Column, part: Column) -> Column:
@@ -115,6 +136,7 @@ def find_spans(
     group: Callable[[Column], Column] | None = None,
     group_offset: Callable[[Column, Column], Column] | None = None,
     derive: Callable[[Column], Column] | None = None,
+    worth: Callable[[Column], Column] | None = None,
     keep: Callable[..., Column] | None = None,
     before: tuple[int, Callable[[Column], Column]] | None = None,
     meta: Callable[..., Mapping[str, object]] | Mapping[str, object] | None = None,
@@ -126,7 +148,7 @@ def find_spans(
 
     ``group`` narrows the match to a part of it (an empty part drops it),
     ``keep`` filters on the value, ``before`` on the given number of characters
-    in front of it. ``derive`` computes a column from the value once per match;
+    in front of it. ``derive`` computes a column from the value once per match that is ``worth`` it;
     ``keep``, ``type_``, ``confidence`` and ``meta`` may be functions of the value,
     and of that column if there is one. ``when`` is a cheap test that spares the pattern.
 
@@ -177,6 +199,8 @@ def find_spans(
                     )
                 ),
             )
+        if worth is not None:
+            hits = F.filter(hits, lambda h: worth(h["value"]))
         if derive is not None:
             hits = F.transform(hits, lambda h: h.withField("derived", derive(h["value"])))
         if keep is not None:
@@ -202,7 +226,8 @@ def scan(text, body: Callable[[Column], Column]) -> Column:
 
 
 def overlaps(a: Column, b: Column) -> Column:
-    return F.greatest(a["start"], b["start"]) < F.least(a["end"], b["end"])
+    # the first two tests end it for nearly all pairs; the others keep empty spans from overlapping anything
+    return (a["start"] < b["end"]) & (b["start"] < a["end"]) & (a["start"] < a["end"]) & (b["start"] < b["end"])
 
 
 def overlap_groups(items: Column) -> Column:
@@ -228,13 +253,6 @@ def overlap_groups(items: Column) -> Column:
     return let(F.array_sort(items), cut)
 
 
-def _by_group(items: Column, take: Callable[[Column], Column], sweep: bool = True) -> Column:
-    """``take`` of items; with ``sweep`` many go group by group, since spans of different groups never overlap."""
-    if not sweep:
-        return take(items)
-    return F.when(F.size(items) <= _FEW, take(items)).otherwise(F.flatten(F.transform(overlap_groups(items), take)))
-
-
 def claim_in_order(*groups: Column) -> Column:
     """Concatenate span arrays, dropping spans that overlap an earlier array."""
     return F.aggregate(
@@ -257,11 +275,13 @@ def greedy_cover(spans: Column, sort_key: Callable[[Column, Column], Sequence[Co
 
     keys = []
 
-    def taken(rows: Column) -> Column:
+    def by_key(rows: Column) -> Column:
+        return F.transform(rows, lambda r: F.struct(*[r[k].alias(k) for k in [*keys, "i", "start", "end"]]))
+
+    def taken(ranked: Column) -> Column:
         # flat: Spark builds an ordering anew for each comparison of structs inside structs
-        by_key = F.transform(rows, lambda r: F.struct(*[r[k].alias(k) for k in [*keys, "i", "start", "end"]]))
         return F.aggregate(
-            F.array_sort(by_key),
+            F.array_sort(ranked),
             F.array().cast("array<struct<start:int,end:int,i:int>>"),
             lambda acc, k: F.when(F.exists(acc, lambda a: overlaps(a, k)), acc).otherwise(
                 F.concat(
@@ -273,11 +293,18 @@ def greedy_cover(spans: Column, sort_key: Callable[[Column, Column], Sequence[Co
     def with_keys(s: Column, i: Column) -> Column:
         values = sort_key(s, i)
         keys[:] = [f"k{n}" for n in range(len(values))]
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), i.alias("i"), *[v.alias(k) for k, v in zip(keys, values)])
+        place = [s["start"].alias("start"), s["end"].alias("end")]
+        return F.struct(*place, i.alias("i"), *[v.alias(k) for k, v in zip(keys, values)])
+
+    def ranked_keys(s: Column, i: Column) -> Column:
+        values = [v.alias(f"k{n}") for n, v in enumerate(sort_key(s, i))]
+        return F.struct(*values, i.alias("i"), s["start"].alias("start"), s["end"].alias("end"))
 
     def cover(all_spans: Column) -> Column:
-        keyed = F.transform(all_spans, with_keys)
-        kept = let(keyed, lambda rows: _by_group(rows, taken, sweep))
+        kept = taken(F.transform(all_spans, ranked_keys))
+        if sweep:  # spans of different groups never overlap
+            groups = lambda: overlap_groups(F.transform(all_spans, with_keys))
+            kept = F.when(F.size(all_spans) <= _FEW, kept).otherwise(F.flatten(F.transform(groups(), lambda g: taken(by_key(g)))))
         return F.transform(F.array_sort(kept), lambda k: F.get(all_spans, k["i"]))
 
     return let(spans, lambda s: F.when(F.size(s) <= 1, s).otherwise(cover(s)))
